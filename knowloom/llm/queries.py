@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knowloom.llm import similar_vectors
+from knowloom.llm import eval_leaks, garbled_text, mail_spans, similar_vectors, splitting
 from knowloom.session import table
 
 
@@ -17,5 +17,44 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors.similar_vectors(table(spark, sf_dir, "chunk_embeddings"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours}
-ORACLES: dict[str, str] = {}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mail_spans.found(table(spark, sf_dir, "messages"))
+
+
+def p3_new_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message with the text its sender newly wrote."""
+    return mail_spans.new_text(table(spark, sf_dir, "messages").select("id", "thread_id", "body")).select("id", "thread_id", "new_text")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.found(table(spark, sf_dir, "attachment_texts"))
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces with their new chunk_index."""
+    return splitting.split_items(table(spark, sf_dir, "attachment_texts"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eval_leaks.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks of both kinds with the longest run of words."""
+    return eval_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled_text.found(table(spark, sf_dir, "documents"))
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The affected documents with their restored texts."""
+    return garbled_text.affected(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p3_found, p3_new_text, p4_found, p4_pieces, p8_found, p8_leaks, p10_found, p10_restored)}
+
+ORACLES = {
+    "p4_found": "SELECT DISTINCT content_id, page, chunk_index FROM attachment_texts WHERE length(text) > 1000",
+}
