@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knowloom.llm import eval_leaks, garbled_text, mail_spans, similar_vectors, splitting
+from knowloom.llm import eval_leaks, garbled_text, mail_spans, personal_data, similar_vectors, splitting
 from knowloom.session import table
 
 
@@ -35,6 +35,15 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_items(table(spark, sf_dir, "attachment_texts"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.found(table(spark, sf_dir, "messages"), table(spark, sf_dir, "attachment_texts"))
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All free-text fields with placeholders in place of personal data."""
+    return personal_data.redacted(table(spark, sf_dir, "messages"), table(spark, sf_dir, "attachment_texts"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eval_leaks.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -53,7 +62,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled_text.affected(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p3_found, p3_new_text, p4_found, p4_pieces, p8_found, p8_leaks, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p3_found, p3_new_text, p4_found, p4_pieces, p6_found, p6_redacted, p8_found, p8_leaks, p10_found, p10_restored)}
 
 ORACLES = {
     "p4_found": "SELECT DISTINCT content_id, page, chunk_index FROM attachment_texts WHERE length(text) > 1000",
