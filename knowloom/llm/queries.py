@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knowloom.llm import eval_leaks, garbled_text, mail_spans, personal_data, similar_vectors, splitting
+from knowloom.llm import eval_leaks, garbled_text, mail_spans, mixing, name_links, personal_data, similar_vectors, splitting
 from knowloom.session import table
 
 
@@ -17,6 +17,15 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors.similar_vectors(table(spark, sf_dir, "chunk_embeddings"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_links.found(table(spark, sf_dir, "financial_records"), table(spark, sf_dir, "medical_events"))
+
+
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct value with the entity it names."""
+    return name_links.link(table(spark, sf_dir, "financial_records"), table(spark, sf_dir, "medical_events"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mail_spans.found(table(spark, sf_dir, "messages"))
 
@@ -53,6 +62,16 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eval_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p9_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed corpus, globally shuffled."""
+    return mixing.Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets")).mixed()
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return mixing.Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets")).report()
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled_text.found(table(spark, sf_dir, "documents"))
 
@@ -62,7 +81,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled_text.affected(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p3_found, p3_new_text, p4_found, p4_pieces, p6_found, p6_redacted, p8_found, p8_leaks, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_entities, p3_found, p3_new_text, p4_found, p4_pieces, p6_found, p6_redacted, p8_found, p8_leaks, p9_mixed, p9_shares, p10_found, p10_restored)}
 
 ORACLES = {
     "p4_found": "SELECT DISTINCT content_id, page, chunk_index FROM attachment_texts WHERE length(text) > 1000",
