@@ -22,6 +22,11 @@ class Embedder(Protocol):
     def embed(self, text: Column) -> Column: ...
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def bucket(token: Column, dimensions: int = DIMENSIONS) -> Column:
     """SHA-1 of the token modulo a power of two up to 2^16, from the last hex digits."""
     return (F.conv(F.substring(F.sha1(token), 37, 4), 16, 10).cast("int") % dimensions).cast("int")
@@ -39,8 +44,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector at length one; a zero vector stays zero."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: (x / n).cast("float"))).otherwise(F.transform(v, lambda x: x.cast("float")))
+    return let(v, lambda w: let(F.when(norm(w) > 0, norm(w)).otherwise(1.0), lambda n: F.transform(w, lambda x: (x / n).cast("float"))))
 
 
 class HashedEmbedder:
@@ -54,9 +58,7 @@ class HashedEmbedder:
     def embed(self, text: Column) -> Column:
         d = self.dimensions
         where = F.transform(tokens(text), lambda t: bucket(t, d))
-        zero = F.array_repeat(F.lit(0.0), d)
-        counts = F.aggregate(where, zero, lambda acc, b: F.transform(acc, lambda x, i: F.when(i == b, x + 1.0).otherwise(x)))
-        return unit(counts)
+        return unit(let(where, lambda at: F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: (F.size(at) - F.size(F.array_remove(at, i))).cast("double"))))
 
     def embed_query(self, query: str) -> list[float]:
         """The vector of one query string, on the driver."""

@@ -101,7 +101,7 @@ def span_of(text: Column, needle: Column, start: Column, end: Column) -> Column:
     """Span of a mention: the given one if it is in range and holds the needle in any case, else its first place, else null."""
     given = F.substring(text, start + 1, end - start)
     in_range = (start >= 0) & (end > start) & (end <= F.length(text))
-    at = F.locate(F.lower(needle), F.lower(text)) - 1
+    at = F.position(F.lower(needle), F.lower(text)) - 1
     n = F.length(needle)
     return F.when(in_range & F.contains(F.lower(given), F.lower(needle)), F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))).when(
         (at >= 0) & (n > 0), F.struct(at.cast("int").alias("start"), (at + n).cast("int").alias("end"))

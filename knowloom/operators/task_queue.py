@@ -83,7 +83,7 @@ def fail(queue: DataFrame, task_id: str, error: str, now: Column, retry_seconds:
 def recover(queue: DataFrame, now: Column, lease_seconds: int = LEASE_SECONDS) -> DataFrame:
     """Tasks with a lease that has run out made pending again."""
     stale = (F.col("status") == "in_progress") & (F.col("locked_at") <= _after(now, -lease_seconds))
-    return queue.withColumn("status", F.when(stale, "pending").otherwise(F.col("status"))).withColumn("locked_at", F.when(stale, None).otherwise(F.col("locked_at")))
+    return queue.withColumns({"status": F.when(stale, "pending").otherwise(F.col("status")), "locked_at": F.when(stale, None).otherwise(F.col("locked_at"))})
 
 
 def reschedule(queue: DataFrame, task_ids: list[str], at: Column, now: Column) -> DataFrame:

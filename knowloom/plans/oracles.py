@@ -26,8 +26,9 @@ _QUEUE = """(SELECT event_id::VARCHAR AS task_id, event_type AS task_type,
   CASE WHEN event_type IN ('click', 'view') THEN 'pending' WHEN event_type = 'purchase' THEN 'in_progress' WHEN event_type = 'signup' THEN 'completed' ELSE 'failed' END AS status,
   (user_id % 6)::INT AS attempts, ts, ts AS locked_at FROM events)"""
 _MID = "(SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events)"
-_ORDER_MENTIONS = """(SELECT l_orderkey || ':' || l_linenumber AS mention_id, l_orderkey::VARCHAR AS content_id, 'E:' || l_partkey AS entity_id, CASE WHEN l_returnflag = 'R' THEN 'MONEY' ELSE 'DATE' END AS label,
-  strftime(l_shipdate, '%Y-%m-%d') AS text, (l_partkey % 1000)::INT AS s, (l_partkey % 1000)::INT + 5 AS e FROM lineitem)"""
+_ORDER_MENTIONS = """(SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS mention_id, l_orderkey::VARCHAR AS content_id, 'E:' || l_partkey AS entity_id, CASE WHEN l_returnflag = 'R' THEN 'MONEY' ELSE 'DATE' END AS label,
+  strftime(l_shipdate, '%Y-%m-%d') AS text, (l_partkey % 1000)::INT AS s, (l_partkey % 1000)::INT + 5 AS e
+  FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, min(l_returnflag) AS l_returnflag, min(l_shipdate) AS l_shipdate FROM lineitem GROUP BY ALL))"""
 _NEAREST = f"""SELECT t.mention_id, t.content_id, t.entity_id, t.text, t.s, arg_min(o.mention_id, (least(abs(t.s - o.e), abs(o.s - t.e)), o.s, o.mention_id)) AS nearest_id,
   arg_min(o.text, (least(abs(t.s - o.e), abs(o.s - t.e)), o.s, o.mention_id)) AS day
   FROM {_ORDER_MENTIONS} t LEFT JOIN {_ORDER_MENTIONS} o ON o.content_id = t.content_id AND o.label = 'DATE' WHERE t.label = 'MONEY' GROUP BY ALL"""

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from knowloom.functions import embed, text, values
 from knowloom.operators import extract, facts, fts, graph, index, lookups, merge, retrieve, task_queue, timestamps, units
 from knowloom.plans.oracles import ORACLES
-from knowloom.session import table
+from knowloom.session import materialise, table
 from knowloom.sources import files
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -207,7 +207,8 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("message:"), "id").alias("content_id"), F.col("id").alias("message_id"), F.lit(None).cast("string").alias("attachment_id"), F.lit("mail").alias("filename"),
         F.lit("text/plain").alias("mime_type"), F.lit("message").alias("content_type"), F.to_json(F.struct("subject", "sender", "recipients")).alias("metadata"),
     )
-    vectors = index.embed_chunks(texts, info, F.lit(NOW))
+    # Stored once, as an index is: search then reads each vector a single time.
+    vectors = materialise(index.embed_chunks(texts, info, F.lit(NOW)))
     found = retrieve.search(texts, vectors, m, "latest premium receipt from the insurance brokers", 10)
     return found.select("citation_id", "message_id", F.round("score", 4).alias("score"), F.round("raw_score", 4).alias("raw_score"))
 
@@ -341,10 +342,11 @@ def alias_merge(spark: SparkSession, d: str) -> DataFrame:
 
 def _order_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Line items as mentions inside their order: returned ones are amounts, others dates."""
-    li = table(spark, d, "lineitem")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    li = table(spark, d, "lineitem").groupBy(*keys).agg(F.min("l_returnflag").alias("l_returnflag"), F.min("l_shipdate").alias("l_shipdate"))
     start = (F.col("l_partkey") % 1000).cast("int")
     return li.select(
-        F.concat_ws(":", "l_orderkey", "l_linenumber").alias("mention_id"), F.lit("pattern:orders").alias("extractor"), F.col("l_orderkey").cast("string").alias("content_id"), F.lit(0).alias("chunk_index"),
+        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("mention_id"), F.lit("pattern:orders").alias("extractor"), F.col("l_orderkey").cast("string").alias("content_id"), F.lit(0).alias("chunk_index"),
         F.concat_ws(":", F.lit("E"), "l_partkey").alias("entity_id"), F.when(F.col("l_returnflag") == "R", "MONEY").otherwise("DATE").alias("label"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("text"),
         start.alias("start_char"), (start + 5).alias("end_char"), F.lit("{}").alias("metadata"),
     )
