@@ -27,6 +27,6 @@ def written_number(text: Column, comma_decimal: Column, dot_groups: Column | Non
     ):
         n = F.regexp_replace(n, pattern, repl)
     dot_groups = comma_decimal if dot_groups is None else dot_groups
-    grouped = F.when(dot_groups, r"^(-?[1-9]\d{0,2})\.(\d{3})$").when(comma_decimal, r"$^").otherwise(r"^(-?[1-9]\d*),(\d{3})$")
+    grouped = F.when(dot_groups, r"^(-?[1-9]\d*)\.(\d{3})$").when(comma_decimal, r"$^").otherwise(r"^(-?[1-9]\d*),(\d{3})$")
     n = F.regexp_replace(n, grouped, F.lit("$1$2"))
     return F.translate(n, ",", ".").try_cast("double")
