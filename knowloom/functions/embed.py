@@ -7,7 +7,7 @@ from typing import Protocol
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from knowloom.functions.text import tokens
+from knowloom.functions.text import let, tokens
 
 DIMENSIONS = 128
 MODEL = "hashed-bow-128"
@@ -22,11 +22,6 @@ class Embedder(Protocol):
     def embed(self, text: Column) -> Column: ...
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, however often the body names it."""
-    return F.transform(F.array(value), body).getItem(0)
-
-
 def bucket(token: Column, dimensions: int = DIMENSIONS) -> Column:
     """SHA-1 of the token modulo a power of two up to 2^16, from the last hex digits."""
     return (F.conv(F.substring(F.sha1(token), 37, 4), 16, 10).cast("int") % dimensions).cast("int")

@@ -31,11 +31,20 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, _SPACE), lambda t: t != ""))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def chunks(text: Column, size: int = CHUNK_CHARS) -> Column:
     """Slices of ``size`` characters of the normalised text; empty array for no text."""
-    n = normalise_space(text)
-    count = F.ceil(F.length(n) / F.lit(size)).cast("int")
-    return F.when(F.length(n) > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(n, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+    def cut(n: Column) -> Column:
+        count = F.ceil(F.length(n) / F.lit(size)).cast("int")
+        slices = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(n, i * size + 1, F.lit(size)))
+        return F.when(F.length(n) > 0, slices).otherwise(F.array().cast("array<string>"))
+
+    return let(normalise_space(text), cut)
 
 
 def sha256(value: Column) -> Column:

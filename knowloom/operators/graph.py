@@ -169,14 +169,16 @@ def payments(nodes: DataFrame, relations: DataFrame, counterparty: str, limit: i
     The counterparty is found by its canonical name; rows are distinct and, for
     a limit, ordered by content and amount text.
     """
-    schema = "canonical string, aliases array<string>, filename string, subject string, message_id string, attachment_id string, content_type string"
-    n = nodes.select("entity_id", "label", F.from_json("properties", schema).alias("p"))
-    who = n.filter(F.col("p.canonical") == counterparty.strip().lower()).select(F.col("entity_id").alias("source_id"))
-    money = n.filter(F.col("label") == "MONEY").select(F.col("entity_id").alias("source_id"), "p.canonical", "p.aliases")
-    content = n.filter(F.col("label") == "Content").select(F.col("entity_id").alias("target_id"), "p.filename", "p.subject", "p.message_id", "p.attachment_id", "p.content_type")
-    e = relations.filter(F.col("relation_type") == "MENTIONED_IN").select("source_id", "target_id").distinct()
-    where = e.join(F.broadcast(who), "source_id", "left_semi").select("target_id").distinct()
-    rows = e.join(where, "target_id", "left_semi").join(money, "source_id").join(content, "target_id").drop("source_id").distinct()
+    name = counterparty.strip().lower()
+    who = nodes.filter(F.get_json_object("properties", "$.canonical") == name).select(F.col("entity_id").alias("source_id"))
+    e = relations.filter(F.col("relation_type") == "MENTIONED_IN").select("source_id", "target_id")
+    where = e.join(who, "source_id", "left_semi").select("target_id").distinct()
+    money = nodes.filter(F.col("label") == "MONEY").select(F.col("entity_id").alias("source_id"), F.col("properties").alias("m"))
+    content = nodes.filter(F.col("label") == "Content").select(F.col("entity_id").alias("target_id"), F.col("properties").alias("c"))
+    # Properties are parsed last, for the few rows that are left.
+    met = e.join(where, "target_id", "left_semi").distinct().join(money, "source_id").join(content, "target_id")
+    amounts, infos = "canonical string, aliases array<string>", "filename string, subject string, message_id string, attachment_id string"
+    rows = met.select("target_id", F.from_json("m", amounts).alias("m"), F.from_json("c", infos).alias("c")).select("target_id", "m.*", "c.*").distinct()
     read = amount_of_names(F.col("canonical"), F.col("aliases"))
     out = rows.withColumn("r", read).select(
         F.col("target_id").alias("content_id"), F.col("r.value").alias("amount"), F.col("r.text").alias("amount_text"), graph_currency(F.coalesce("r.text", "canonical")).alias("currency"), "filename", "subject", "message_id", "attachment_id"

@@ -67,8 +67,14 @@ def chunk_pages(pages: DataFrame) -> DataFrame:
 
 
 def embed_chunks(texts: DataFrame, records: DataFrame, created_at: Column, embedder: Embedder | None = None) -> DataFrame:
-    """Embedding rows of chunks, with the provenance of their content as JSON."""
+    """Embedding rows of chunks, with the provenance of their content as JSON.
+
+    Embedding is bound by computing, not by bytes, so the rows are spread over
+    a fixed number of tasks that is not reduced by their small size.
+    """
     e = embedder or HashedEmbedder()
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = texts.repartition(tasks, "content_id", "chunk_index")
     info = records.select("content_id", "message_id", "attachment_id", "filename", "mime_type", "content_type", F.col("metadata").alias("content_meta"))
     joined = texts.join(info, "content_id", "left")
     meta = F.to_json(

@@ -355,7 +355,7 @@ def _order_mentions(spark: SparkSession, d: str) -> DataFrame:
 @query
 def nearest_mention(spark: SparkSession, d: str) -> DataFrame:
     """Each amount with the nearest date of its order."""
-    m = _order_mentions(spark, d)
+    m = materialise(_order_mentions(spark, d))
     t = facts.nearest(m.filter("label = 'MONEY'"), m.filter("label = 'DATE'"), "day")
     return t.select("mention_id", F.col("day.mention_id").alias("nearest_id"), F.col("day.text").alias("day"))
 
@@ -363,7 +363,7 @@ def nearest_mention(spark: SparkSession, d: str) -> DataFrame:
 @query
 def first_mention(spark: SparkSession, d: str) -> DataFrame:
     """Each amount with the first date of its order."""
-    m = _order_mentions(spark, d)
+    m = materialise(_order_mentions(spark, d))
     t = facts.first_in_chunk(m.filter("label = 'MONEY'"), m.filter("label = 'DATE'"), "day")
     return t.select("mention_id", F.col("day.text").alias("day"))
 
@@ -371,14 +371,14 @@ def first_mention(spark: SparkSession, d: str) -> DataFrame:
 @query
 def order_facts(spark: SparkSession, d: str) -> DataFrame:
     """Financial records built from the order mentions."""
-    r = facts.financial_records(_order_mentions(spark, d), "pattern:orders", F.lit(NOW))
+    r = facts.financial_records(materialise(_order_mentions(spark, d)), "pattern:orders", F.lit(NOW))
     return r.select("record_id", "record_type", "amount_value", "date_raw", "date_parsed", "content_id")
 
 
 @query
 def lab_facts(spark: SparkSession, d: str) -> DataFrame:
     """Lab results built from the mentions in all attachment texts."""
-    return facts.lab_results(_pattern_mentions(spark, d), "pattern:default", F.lit(NOW)).drop("metadata")
+    return facts.lab_results(materialise(_pattern_mentions(spark, d)), "pattern:default", F.lit(NOW)).drop("metadata")
 
 
 @query
