@@ -29,6 +29,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import hmac
+import math
 import re
 from datetime import date, timedelta
 
@@ -229,9 +230,7 @@ def permute(value: int, size: int, key: bytes, tweak: bytes) -> int:
     """Keyed permutation of 0..size-1: a Feistel network on two halves, walked until the value is in range."""
     if size < 2:
         return value
-    half = 1
-    while half * half < size:
-        half += 1
+    half = math.isqrt(size - 1) + 1
     while True:
         a, b = divmod(value, half)
         for i in range(ROUNDS):
