@@ -11,6 +11,8 @@ device note.  The score of a segmentation is the sum of
   signature is not new, copied text runs to the end,
 * boundary cues at the first line of the span (``START_CUES``),
 * a length score (signatures, notes and introductions are short),
+* the place of a copy: one at the head of the body may be followed by the own
+  text, if that begins with a greeting,
 * a whole-span feature: a greeting belongs at the head of authored text, and a
   second one inside it speaks against the span.
 
@@ -41,10 +43,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-AUTHORED, QUOTED, INTRO, FORWARD, COPIED, SIGNATURE, NOTE = range(7)
-KINDS = ("authored", "quoted", "introduction", "forward", "copied", "signature", "note")
+AUTHORED, QUOTED, INTRO, FORWARD, COPIED, SIGNATURE, NOTE, INTRO_FIRST, COPIED_FIRST, AUTHORED_BELOW = range(10)
+KINDS = ("authored", "quoted", "introduction", "forward", "copied", "signature", "note", "introduction", "copied", "authored")
 LOOK_BACK = 64
 
+#: Kinds that are newly written; authored text below a copy at the head of a body begins with a greeting.
+NEW = (AUTHORED, AUTHORED_BELOW)
+
 # Line classes.
 (PREFIX, NUMBER_GT, WRAPPED, INTRODUCES, FORWARDS, HEADER, HEADER_LIKE, RULE, CLOSING, GREETING, DEVICE, LEGAL, SHORT, SENTENCE) = range(14)
 
@@ -52,41 +57,46 @@ LOOK_BACK = 64
 LINE_SCORES = np.array(
     [
         # A     Q     I     F     C     S     N
-        [-5.0, 3.0, -6.0, -6.0, 0.5, -6.0, -6.0],  # PREFIX
-        [1.5, 1.0, -6.0, -6.0, 0.3, -6.0, -6.0],  # NUMBER_GT
-        [-1.5, 2.0, -3.0, -3.0, 0.3, -3.0, -3.0],  # WRAPPED
-        [-7.0, -8.0, 4.0, 3.5, 0.2, -7.0, -7.0],  # INTRODUCES
-        [-7.0, -8.0, 1.0, 5.0, 0.2, -7.0, -7.0],  # FORWARDS
-        [-3.0, -8.0, 2.5, 2.5, 0.2, -4.0, -4.0],  # HEADER
-        [1.0, -8.0, 0.5, 0.5, 0.2, -4.0, -4.0],  # HEADER_LIKE
-        [-3.0, -8.0, 0.0, 0.0, 0.0, 2.5, 1.0],  # RULE
-        [-3.5, -8.0, -7.0, -7.0, 0.0, 4.0, -4.0],  # CLOSING
-        [-1.0, -8.0, -7.0, -7.0, 0.3, -2.0, -5.0],  # GREETING
-        [-4.0, -8.0, -7.0, -7.0, 0.0, 0.5, 4.0],  # DEVICE
-        [-4.0, -8.0, -7.0, -7.0, 0.0, -3.0, 4.0],  # LEGAL
-        [-2.0, -8.0, -6.0, -6.0, 0.0, 2.0, -1.5],  # SHORT
-        [2.0, -8.0, -7.0, -7.0, 0.3, -5.0, -3.0],  # SENTENCE
+        [-5.0, 3.0, -6.0, -6.0, 3.0, -6.0, -6.0],  # PREFIX
+        [1.5, 1.0, -6.0, -6.0, 1.0, -6.0, -6.0],  # NUMBER_GT
+        [-1.5, 2.0, -3.0, -3.0, 2.0, -3.0, -3.0],  # WRAPPED
+        [-30.0, -60.0, 4.0, 3.5, 3.5, -7.0, -7.0],  # INTRODUCES
+        [-30.0, -60.0, 1.0, 5.0, 4.0, -7.0, -7.0],  # FORWARDS
+        [-3.0, -60.0, 2.5, 2.5, 2.5, -4.0, -4.0],  # HEADER
+        [1.0, -60.0, 0.5, 0.5, 0.5, -4.0, -4.0],  # HEADER_LIKE
+        [-3.0, -60.0, 0.0, 0.0, 1.5, 2.5, 1.0],  # RULE
+        [-3.5, -60.0, -7.0, -7.0, 2.0, 4.0, -4.0],  # CLOSING
+        [-1.0, -60.0, -7.0, -7.0, 0.3, -2.0, -5.0],  # GREETING
+        [-4.0, -60.0, -7.0, -7.0, 2.0, 0.5, 4.0],  # DEVICE
+        [-4.0, -60.0, -7.0, -7.0, 2.0, -3.0, 4.0],  # LEGAL
+        [-2.0, -60.0, -6.0, -6.0, 1.5, 2.0, -1.5],  # SHORT
+        [2.0, -60.0, -7.0, -7.0, 0.3, -5.0, -3.0],  # SENTENCE
     ]
 )
+# The three kinds of a body that begins with a copy score like their plain forms.
+LINE_SCORES = np.concatenate([LINE_SCORES, LINE_SCORES[:, [INTRO, COPIED, AUTHORED]]], axis=1)
 _NO = -1e9
 #: Score of a span of each kind (column) after one of each kind (row); the last row is the start of the body.
 TRANSITIONS = np.array(
     [
-        # A     Q     I     F     C     S     N
-        [-0.5, -1.0, 0.0, 0.0, -6.0, 0.0, -0.5],
-        [-0.3, -0.5, -0.5, -0.5, _NO, -1.0, -1.0],
-        [_NO, 0.0, -0.2, _NO, -0.5, _NO, _NO],
-        [_NO, _NO, _NO, -0.2, 0.0, _NO, _NO],
-        [_NO, _NO, _NO, _NO, 0.0, _NO, _NO],
-        [-8.0, -0.5, 0.0, 0.0, -1.0, -3.0, 0.0],
-        [-8.0, -0.5, 0.0, 0.0, -1.0, -1.5, -0.5],
-        [0.0, -0.5, 0.0, 0.0, _NO, -2.0, -2.0],
+        # A     Q     I     F     C     S     N     I1    C1    A1
+        [-0.5, -1.0, 0.0, 0.0, -6.0, 0.0, -0.5, _NO, _NO, _NO],
+        [-0.3, -0.5, -0.5, -0.5, _NO, -1.0, -1.0, _NO, _NO, _NO],
+        [_NO, 0.0, -0.2, _NO, -0.5, _NO, _NO, _NO, _NO, _NO],
+        [_NO, _NO, _NO, -0.2, 0.0, _NO, _NO, _NO, _NO, _NO],
+        [_NO, _NO, _NO, _NO, 0.0, _NO, _NO, _NO, _NO, _NO],
+        [-25.0, -0.5, 0.0, 0.0, -1.0, -3.0, 0.0, _NO, _NO, _NO],
+        [-25.0, -0.5, 0.0, 0.0, -1.0, -1.5, -0.5, _NO, _NO, _NO],
+        [_NO, 0.0, _NO, _NO, _NO, _NO, _NO, -0.2, -0.5, _NO],
+        [_NO, -0.5, _NO, _NO, _NO, _NO, _NO, _NO, 0.0, -4.0],
+        [-0.5, _NO, _NO, _NO, _NO, 0.0, -0.5, _NO, _NO, _NO],
+        [0.0, -0.5, _NO, 0.0, _NO, -2.0, -2.0, 0.0, _NO, _NO],
     ]
 )
 #: Bonus of a span that begins with a line of a class.
-START_CUES = {(AUTHORED, GREETING): 3.0, (COPIED, GREETING): 3.5, (SIGNATURE, CLOSING): 1.0, (SIGNATURE, RULE): 0.5, (FORWARD, FORWARDS): 1.0}
+START_CUES = {(AUTHORED_BELOW, c): 3.0 if c == GREETING else -30.0 for c in range(14)} | {(AUTHORED, GREETING): 3.0, (COPIED, GREETING): 3.5, (SIGNATURE, CLOSING): 1.0, (SIGNATURE, RULE): 0.5, (FORWARD, FORWARDS): 1.0}
 #: Lines a span of a kind normally has at most, and the cost of each further line.
-LENGTHS = {INTRO: (5, 2.0), FORWARD: (8, 1.0), SIGNATURE: (8, 1.5), NOTE: (6, 0.5)}
+LENGTHS = {INTRO: (5, 2.0), INTRO_FIRST: (5, 2.0), FORWARD: (8, 1.0), SIGNATURE: (8, 1.5), NOTE: (6, 0.5)}
 
 _PREFIX = re.compile(r"\s*(?:>|\||:(?:\s|$)|[A-Z]{2}>)")
 _NUMBER_GT = re.compile(r">\s?\d[\d.,]*\s+[a-z]")
@@ -143,6 +153,8 @@ def line_classes(lines: list[str]) -> tuple[list[int], list[int]]:
             open_quote = s[-1] not in ".?!:,>" and len(s) > 40
         else:
             c = _plain_class(s)
+            if c == GREETING and out and out[-1] in (INTRODUCES, FORWARDS, HEADER, HEADER_LIKE):
+                c = SENTENCE
             if open_quote and before == i - 1 and c in (SENTENCE, SHORT, GREETING):
                 follows = lines[i + 1] if i + 1 < n else ""
                 if s[0].islower() or s[0].isdigit() or _PREFIX.match(follows) or not follows.strip():
@@ -251,7 +263,7 @@ def _old_rows(batches):
     for pdf in batches:
         ids, nos = [], []
         for key, (at, kk) in zip(pdf["id"], spans_of(pdf["body"].tolist())):
-            old = [n for n, k in zip(at, kk) if k != AUTHORED]
+            old = [n for n, k in zip(at, kk) if k not in NEW]
             ids.extend([key] * len(old))
             nos.extend(old)
         yield pd.DataFrame({"id": ids, "line_no": nos})
@@ -265,7 +277,7 @@ def _new_text(bodies: pd.Series) -> pd.Series:
         if not body:
             out.append(body)
             continue
-        new = {n for n, k in zip(at, kk) if k == AUTHORED}
+        new = {n for n, k in zip(at, kk) if k in NEW}
         blank = {n for n, s in enumerate(body.split("\n"), 1)} - set(at)
         kept, lines = [], body.split("\n")
         for n, line in enumerate(lines, 1):
