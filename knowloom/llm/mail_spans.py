@@ -12,7 +12,7 @@ device note.  The score of a segmentation is the sum of
 * boundary cues at the first line of the span (``START_CUES``),
 * a length score (signatures, notes and introductions are short),
 * the place of a copy: one at the head of the body may be followed by the own
-  text, if that begins with a greeting,
+  text, if that begins with a greeting or after the end of the copied mail,
 * a whole-span feature: a greeting belongs at the head of authored text, and a
   second one inside it speaks against the span.
 
@@ -47,11 +47,11 @@ AUTHORED, QUOTED, INTRO, FORWARD, COPIED, SIGNATURE, NOTE, INTRO_FIRST, COPIED_F
 KINDS = ("authored", "quoted", "introduction", "forward", "copied", "signature", "note", "introduction", "copied", "authored")
 LOOK_BACK = 64
 
-#: Kinds that are newly written; authored text below a copy at the head of a body begins with a greeting.
+#: Kinds that are newly written; authored text below a copy at the head of a body begins with a greeting or after the copied signature.
 NEW = (AUTHORED, AUTHORED_BELOW)
 
 # Line classes.
-(PREFIX, NUMBER_GT, WRAPPED, INTRODUCES, FORWARDS, HEADER, HEADER_LIKE, RULE, CLOSING, GREETING, DEVICE, LEGAL, SHORT, SENTENCE) = range(14)
+(PREFIX, NUMBER_GT, WRAPPED, INTRODUCES, FORWARDS, HEADER, HEADER_LIKE, RULE, CLOSING, GREETING, DEVICE, LEGAL, SHORT, SENTENCE, RESTART) = range(15)
 
 #: Score of a line of each class (row) in a span of each kind (column).
 LINE_SCORES = np.array(
@@ -73,6 +73,8 @@ LINE_SCORES = np.array(
         [2.0, -60.0, -7.0, -7.0, 0.3, -5.0, -3.0],  # SENTENCE
     ]
 )
+# RESTART, a sentence right after a short line, a device note or a disclaimer, scores like any sentence.
+LINE_SCORES = np.concatenate([LINE_SCORES, LINE_SCORES[[SENTENCE]]])
 # The three kinds of a body that begins with a copy score like their plain forms.
 LINE_SCORES = np.concatenate([LINE_SCORES, LINE_SCORES[:, [INTRO, COPIED, AUTHORED]]], axis=1)
 _NO = -1e9
@@ -94,7 +96,7 @@ TRANSITIONS = np.array(
     ]
 )
 #: Bonus of a span that begins with a line of a class.
-START_CUES = {(AUTHORED_BELOW, c): 3.0 if c == GREETING else -30.0 for c in range(14)} | {(AUTHORED, GREETING): 3.0, (COPIED, GREETING): 3.5, (SIGNATURE, CLOSING): 1.0, (SIGNATURE, RULE): 0.5, (FORWARD, FORWARDS): 1.0}
+START_CUES = {(AUTHORED_BELOW, c): 3.0 if c in (GREETING, RESTART) else -30.0 for c in range(15)} | {(AUTHORED, GREETING): 3.0, (COPIED, GREETING): 3.5, (SIGNATURE, CLOSING): 1.0, (SIGNATURE, RULE): 0.5, (FORWARD, FORWARDS): 1.0}
 #: Lines a span of a kind normally has at most, and the cost of each further line.
 LENGTHS = {INTRO: (5, 2.0), INTRO_FIRST: (5, 2.0), FORWARD: (8, 1.0), SIGNATURE: (8, 1.5), NOTE: (6, 0.5)}
 
@@ -155,7 +157,9 @@ def line_classes(lines: list[str]) -> tuple[list[int], list[int]]:
             c = _plain_class(s)
             if c == GREETING and out and out[-1] in (INTRODUCES, FORWARDS, HEADER, HEADER_LIKE):
                 c = SENTENCE
-            if open_quote and before == i - 1 and c in (SENTENCE, SHORT, GREETING):
+            elif c == SENTENCE and out and out[-1] in (SHORT, DEVICE, LEGAL):
+                c = RESTART
+            if open_quote and before == i - 1 and c in (SENTENCE, RESTART, SHORT, GREETING):
                 follows = lines[i + 1] if i + 1 < n else ""
                 if s[0].islower() or s[0].isdigit() or _PREFIX.match(follows) or not follows.strip():
                     c = WRAPPED

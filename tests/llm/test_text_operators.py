@@ -87,7 +87,7 @@ def score(classes, kinds):
 
 
 @settings(max_examples=25, deadline=None)
-@given(st.lists(st.integers(0, 13), min_size=1, max_size=4))
+@given(st.lists(st.integers(0, 14), min_size=1, max_size=4))
 def test_decoder_against_all_segmentations(classes):
     import numpy as np
 
