@@ -16,9 +16,9 @@ Scale
   bounded by ``MAX_BITS``) before they are shuffled, so only cells that exist
   travel; vectors are shuffled once, and only those in a surviving pair leave
   that join.
-* A cell with more than ``HOT`` vectors is split: its members are hashed again
-  with narrower cells, up to ``LEVELS`` times.  The last level has no limit, so
-  no row is dropped; it is reached only by vectors closer than any width.
+* A cell with more than ``HOT`` vectors takes no part in the join.  Its members
+  are compared whole, by blocked matrix products, with every vector that lies in
+  such a cell or probes one: exact, but quadratic in those vectors.
 * ``functions`` grows with the logarithm of the collection, which keeps the
   candidates of a vector about constant.
 
@@ -49,8 +49,11 @@ from pyspark.sql import types as T
 from knowloom.session import bounded_broadcast, materialise
 
 HOT = 256
-LEVELS = 3
-SHRINK = 4.0
+#: Vectors compared at once by an exact search: those of one broadcast, and the numbers of one product.
+SLAB = 65_536
+PRODUCT = 1 << 23
+#: Single precision may move a cosine by so much.
+SLACK = 1e-5
 MAX_BITS = 1 << 29
 BITS_PER_CELL = 64
 #: Sign bits that may differ; at a cosine of 0.85 the mean is 23 of 128, with deviation 4.3.
@@ -62,6 +65,7 @@ _SIGN_SCHEMA = T.StructType(
         T.StructField("c1", T.LongType()),
         T.StructField("c2", T.LongType()),
         T.StructField("embedding_id", T.StringType()),
+        T.StructField("content_id", T.StringType()),
         T.StructField("cells", T.ArrayType(T.LongType())),
         T.StructField("s1", T.LongType()),
         T.StructField("s2", T.LongType()),
@@ -104,10 +108,9 @@ def probe_sets(m: int, count: int) -> list[tuple[int, ...]]:
 
 
 @functools.lru_cache(maxsize=256)
-def _projection(dim: int, m: int, table: int, level: int, width: float, seed: int):
-    rng = np.random.default_rng([seed, dim, table, level])
-    w = width / SHRINK**level
-    a = rng.standard_normal((dim, m)).astype(np.float32) / np.float32(w)
+def _projection(dim: int, m: int, table: int, width: float, seed: int):
+    rng = np.random.default_rng([seed, dim, table, 0])
+    a = rng.standard_normal((dim, m)).astype(np.float32) / np.float32(width)
     return a, rng.uniform(0, 1, m).astype(np.float32), rng.integers(1, 2**63, m, dtype=np.uint64) | np.uint64(1), rng.integers(1, 2**63, dtype=np.uint64)
 
 
@@ -116,9 +119,9 @@ def _sketch_projection(dim: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim, 99]).standard_normal((dim, 128)).astype(np.float32)
 
 
-def _cells(v: np.ndarray, m: int, table: int, level: int, width: float, seed: int):
+def _cells(v: np.ndarray, m: int, table: int, width: float, seed: int):
     """Own cell of every vector, its fractions inside the cell, and the multipliers."""
-    a, b, r, salt = _projection(v.shape[1], m, table, level, width, seed)
+    a, b, r, salt = _projection(v.shape[1], m, table, width, seed)
     x = v @ a + b
     low = np.floor(x)
     own = (low.astype(np.int64).astype(np.uint64) * r).sum(1, dtype=np.uint64) + salt
@@ -171,14 +174,14 @@ def _group_names(pdf: pd.DataFrame, rows: np.ndarray, dim: int) -> np.ndarray:
     return np.array([f"{dim}:{m}" if m is not None else f"{dim}" for m in pdf["model"].to_numpy()[rows]], dtype=object)
 
 
-def _sign(width: float, m: int, tables: int, level: int, seed: int):
+def _sign(width: float, m: int, tables: int, seed: int):
     def run(batches):
         for pdf in batches:
             for dim, rows, v in _unit_groups(pdf):
                 c1, c2 = _class_keys(v)
                 s1, s2 = _sketch(v, seed)
-                cells = np.stack([_cells(v, m, t, level, width, seed)[0] for t in range(tables)], axis=1).view(np.int64)
-                yield pd.DataFrame({"grp": _group_names(pdf, rows, dim), "c1": c1, "c2": c2, "embedding_id": pdf["embedding_id"].to_numpy()[rows], "cells": list(cells), "s1": s1, "s2": s2})
+                cells = np.stack([_cells(v, m, t, width, seed)[0] for t in range(tables)], axis=1).view(np.int64)
+                yield pd.DataFrame({"grp": _group_names(pdf, rows, dim), "c1": c1, "c2": c2, "embedding_id": pdf["embedding_id"].to_numpy()[rows], "content_id": pdf["content_id"].to_numpy()[rows], "cells": list(cells), "s1": s1, "s2": s2})
 
     return run
 
@@ -190,7 +193,7 @@ def _name_rows(batches):
             yield pd.DataFrame({"grp": _group_names(pdf, rows, dim), "c1": c1, "c2": c2, "embedding_id": pdf["embedding_id"].to_numpy()[rows], "content_id": pdf["content_id"].to_numpy()[rows]})
 
 
-def _probe(width: float, m: int, tables: int, probes: int, seed: int, bits, levels: list[int]):
+def _probe(width: float, m: int, tables: int, probes: int, seed: int, bits):
     def run(batches):
         words = bits.value
         mask = np.uint64(len(words) * 64 - 1)
@@ -199,19 +202,143 @@ def _probe(width: float, m: int, tables: int, probes: int, seed: int, bits, leve
                 c1, c2 = _class_keys(v)
                 s1, s2 = _sketch(v, seed)
                 grp = _group_names(pdf, rows, dim)
-                for lv in levels:
+                for t in range(tables):
+                    p = _with_probes(*_cells(v, m, t, width, seed), probes)
+                    h = p & mask
+                    there = (words[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)
+                    there[0] = 0
+                    j, i = np.nonzero(there)
+                    if len(i):
+                        yield pd.DataFrame({"grp": grp[i], "c1": c1[i], "c2": c2[i], "s1": s1[i], "s2": s2[i], "cell": p[j, i].view(np.int64)})
+
+    return run
+
+
+def _touching(width: float, m: int, tables: int, probes: int, seed: int, crowded):
+    """Rows of which a cell or a probe is crowded; ``dense`` marks those stored in a crowded cell."""
+
+    def run(batches):
+        cells = crowded.value
+        hit = lambda p: cells[np.minimum(np.searchsorted(cells, p), len(cells) - 1)] == p
+        for pdf in batches:
+            for dim, rows, v in _unit_groups(pdf):
+                c1, c2 = _class_keys(v)
+                own, any_ = np.zeros(len(v), bool), np.zeros(len(v), bool)
+                for a in range(0, len(v), 1000):
                     for t in range(tables):
-                        p = _with_probes(*_cells(v, m, t, lv, width, seed), probes)
-                        h = p & mask
-                        there = (words[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)
-                        there[0] = 0
-                        j, i = np.nonzero(there)
-                        if len(i):
-                            yield pd.DataFrame({"grp": grp[i], "c1": c1[i], "c2": c2[i], "s1": s1[i], "s2": s2[i], "cell": p[j, i].view(np.int64)})
+                        there = hit(_with_probes(*_cells(v[a : a + 1000], m, t, width, seed), probes))
+                        own[a : a + 1000] |= there[0]
+                        any_[a : a + 1000] |= there.any(0)
+                i = np.nonzero(any_)[0]
+                if len(i):
+                    yield pd.DataFrame({"grp": _group_names(pdf, rows, dim)[i], "c1": c1[i], "c2": c2[i], "dense": own[i], "vector": list(pdf["vector"].to_numpy()[rows[i]])})
+
+    return run
+
+
+_TOUCHING_SCHEMA = "grp string, c1 long, c2 long, dense boolean, vector array<float>"
+
+
+def _best(q: np.ndarray, lo: np.ndarray, hi: np.ndarray, s: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (query, stored) of unit vectors that hold the ``k`` best of each query outside ``lo:hi``, itself not counted.
+
+    The (k+1)-th largest of the maxima of short runs is a lower bound of the
+    (k+1)-th largest value, so a sort of all values is not needed.
+    """
+    sims = q @ s.T
+    for i in np.nonzero(hi > lo)[0]:
+        sims[i, lo[i] : hi[i]] = -2
+    run = 32
+    whole = len(s) // run * run
+    tops = sims[:, :whole].reshape(len(q), -1, run).max(2)
+    tops = np.concatenate([tops, sims[:, whole:]], axis=1)
+    bound = np.full(len(q), -1.5, np.float32)
+    if tops.shape[1] > k:
+        bound = np.maximum(bound, np.partition(tops, tops.shape[1] - k - 1, axis=1)[:, -k - 1])
+    return np.nonzero(sims >= np.maximum(bound - SLACK, least - SLACK)[:, None])
+
+
+def _search_slab(slab, k: int, least: float):
+    def run(batches):
+        stored = slab.value
+        for pdf in batches:
+            for grp, part in pdf.groupby("grp", sort=False):
+                if grp not in stored:
+                    continue
+                b1, b2, soles, raw, unit, norm = stored[grp]
+                a1, a2 = part["c1"].to_numpy(), part["c2"].to_numpy()
+                x = np.stack(part["vector"].to_numpy()).astype(np.float32)
+                xn = np.sqrt((x.astype(np.float64) ** 2).sum(1))
+                content = "=" + part["content"].to_numpy().astype(object)
+                lo, hi = np.searchsorted(soles, content, "left"), np.searchsorted(soles, content, "right")
+                step = max(1, PRODUCT // len(unit))
+                for a in range(0, len(x), step):
+                    e = slice(a, a + step)
+                    q = (x[e] / xn[e, None]).astype(np.float32)
+                    i, j = _best(q, lo[e], hi[e], unit, k, least)
+                    i = i + a
+                    other = (a1[i] != b1[j]) | (a2[i] != b2[j])
+                    i, j = i[other], j[other]
+                    sims = np.einsum("nd,nd->n", x[i].astype(np.float64), raw[j].astype(np.float64)) / (xn[i] * norm[j])
+                    ok = sims >= least
+                    i, j = i[ok], j[ok]
+                    if len(i):
+                        yield pd.DataFrame({"grp": grp, "a1": a1[i], "a2": a2[i], "b1": b1[j], "b2": b2[j], "similarity": sims[ok]})
 
     return run
 
 
+def _pack(pdf: pd.DataFrame) -> dict[str, tuple]:
+    """Vectors of a slab by group, in order of the only content of their direction; several come first."""
+    out = {}
+    for grp, part in pdf.groupby("grp", sort=False):
+        soles = ("=" + part["sole"]).fillna("").to_numpy().astype(object)
+        at = np.argsort(soles, kind="stable")
+        raw = np.stack(part["vector"].to_numpy()[at]).astype(np.float32)
+        norm = np.sqrt((raw.astype(np.float64) ** 2).sum(1))
+        out[grp] = (part["c1"].to_numpy()[at], part["c2"].to_numpy()[at], soles[at], raw, (raw / norm[:, None]).astype(np.float32), norm)
+    return out
+
+
+def _search(looking: DataFrame, stored: DataFrame, k: int, least: float) -> DataFrame:
+    """(grp, a1, a2, b1, b2, similarity): all pairs of directions that can be among the best ``k`` of a, by comparing all.
+
+    ``looking`` has (grp, c1, c2, content, vector), ``stored`` (grp, c1, c2, sole,
+    vector).  The stored vectors go to the executors in slabs, one at a time.
+    """
+    sc = looking.sparkSession.sparkContext
+    slabs = max(1, -(-stored.count() // SLAB))
+    numbered = stored.withColumn("slab", F.pmod(F.xxhash64("c1", "c2"), F.lit(slabs)))
+    out = looking.sparkSession.createDataFrame([], _EXACT_SCHEMA)
+    for s in range(slabs):
+        slab = sc.broadcast(_pack(numbered.filter(F.col("slab") == s).drop("slab").toArrow().to_pandas()))
+        out = out.unionByName(materialise(looking.mapInPandas(_search_slab(slab, k, least), _EXACT_SCHEMA)))
+        slab.destroy()
+    return out
+
+
+def _contents(src: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """Directions with each of their contents, to look from; one with more than ``k`` has its neighbours among its copies."""
+    several = classes.filter((F.col("contents") > 1) & (F.col("contents") <= k)).select("grp", "c1", "c2")
+    rows = src.mapInPandas(_name_rows, _ROW_SCHEMA).join(bounded_broadcast(several), ["grp", "c1", "c2"])
+    return classes.filter(F.col("contents") == 1).select("grp", "c1", "c2", "content").unionByName(rows.select("grp", "c1", "c2", F.coalesce("content_id", F.lit("")).alias("content")).distinct())
+
+
+def _sole(classes: DataFrame) -> DataFrame:
+    """Directions with their only content, null if they have several."""
+    return classes.select("grp", "c1", "c2", F.when(F.col("contents") == 1, F.col("content")).alias("sole"))
+
+
+def _crowded_pairs(src: DataFrame, classes: DataFrame, crowded: DataFrame, touching, k: int, least: float) -> DataFrame:
+    """Pairs of which one vector lies in a crowded cell and the other lies in or probes one."""
+    cells = src.sparkSession.sparkContext.broadcast(np.sort(crowded.select("cell").distinct().toPandas()["cell"].to_numpy(dtype=np.int64).view(np.uint64)))
+    rows = src.select("model", "vector").mapInPandas(touching(cells), _TOUCHING_SCHEMA)
+    rows = materialise(rows.groupBy("grp", "c1", "c2").agg(F.first("dense").alias("dense"), F.first("vector").alias("vector")))
+    looking = rows.drop("dense").join(_contents(src, classes, k), ["grp", "c1", "c2"])
+    stored = rows.filter("dense").drop("dense").join(_sole(classes), ["grp", "c1", "c2"])
+    return _search(looking, stored, k, least)
+
+
 def _occupied(stored: DataFrame, n_cells: int) -> np.ndarray:
     """Bit set of the occupied cells as 64-bit words; its length depends on the size of the collection only."""
     bits = 1 << max(16, min(MAX_BITS.bit_length() - 1, (BITS_PER_CELL * max(n_cells, 1)).bit_length()))
@@ -223,27 +350,14 @@ def _occupied(stored: DataFrame, n_cells: int) -> np.ndarray:
     return out
 
 
-def _stored_cells(classes: DataFrame, sign_at, tables: int) -> tuple[DataFrame, list[int]]:
-    """Each representative in its cell of every table, at the first level where that cell is not crowded."""
-    keep = ("grp", "c1", "c2", "s1", "s2", "cell")
+def _stored_cells(classes: DataFrame, tables: int) -> tuple[DataFrame, DataFrame | None]:
+    """Each representative in its cell of every table, without the crowded cells; and these, None if there are none."""
     table_no = F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t")
-    at = classes.select("grp", "c1", "c2", "s1", "s2", "cells", table_no).withColumn("cell", F.element_at("cells", F.col("t") + 1)).drop("cells")
-    done, levels = None, [0]
-    for level in range(LEVELS):
-        crowded = None
-        if level < LEVELS - 1:
-            crowded = materialise(at.groupBy("grp", "cell").count().filter(F.col("count") > HOT).select("grp", "cell"))
-            if crowded.isEmpty():
-                crowded = None
-        now = at if crowded is None else at.join(crowded, ["grp", "cell"], "left_anti")
-        done = now.select(*keep) if done is None else done.unionByName(now.select(*keep))
-        if crowded is None:
-            break
-        rest = at.join(crowded, ["grp", "cell"], "left_semi").select("grp", "c1", "c2", "s1", "s2", "t")
-        finer = sign_at(level + 1).select("grp", "c1", "c2", "cells").dropDuplicates(["grp", "c1", "c2"])
-        at = materialise(rest.join(finer, ["grp", "c1", "c2"]).withColumn("cell", F.element_at("cells", F.col("t") + 1)).drop("cells"))
-        levels.append(level + 1)
-    return done, levels
+    at = classes.select("grp", "c1", "c2", "s1", "s2", "cells", table_no).withColumn("cell", F.element_at("cells", F.col("t") + 1)).drop("cells", "t")
+    crowded = materialise(at.groupBy("grp", "cell").count().filter(F.col("count") > HOT).select("grp", "cell"))
+    if crowded.isEmpty():
+        return at, None
+    return at.join(bounded_broadcast(crowded), ["grp", "cell"], "left_anti").select("grp", "c1", "c2", "s1", "s2", "cell"), crowded
 
 
 def _exact(batches):
@@ -255,6 +369,16 @@ def _exact(batches):
         yield pdf[["grp", "a1", "a2", "b1", "b2"]].assign(similarity=sims)
 
 
+def _classes(rows: DataFrame, *more) -> DataFrame:
+    """One row for each direction, with the number of its contents and the least of them."""
+    by = rows.withColumn("content", F.coalesce("content_id", F.lit(""))).groupBy("grp", "c1", "c2", "content").agg(F.min("embedding_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *more)
+    names = [c for c in by.columns if c not in ("grp", "c1", "c2", "content", "rep", "copies")]
+    once = by.groupBy("grp", "c1", "c2").agg(
+        *(F.first(c).alias(c) for c in names), F.min("rep").alias("rep"), F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("contents"), F.min("content").alias("content")
+    )
+    return materialise(once)
+
+
 def similar_vectors(
     vectors: DataFrame,
     k: int = 5,
@@ -275,15 +399,11 @@ def similar_vectors(
     n = vectors.count()
     m = functions_per_table or default_functions(n)
 
-    def sign_at(level: int) -> DataFrame:
-        return src.select("embedding_id", "model", "vector").mapInPandas(_sign(width, m, tables, level, seed), _SIGN_SCHEMA)
-
-    classes = materialise(
-        sign_at(0).groupBy("grp", "c1", "c2").agg(F.first("cells").alias("cells"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.min("embedding_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    )
-    stored, levels = _stored_cells(classes, sign_at, tables)
+    signed = src.mapInPandas(_sign(width, m, tables, seed), _SIGN_SCHEMA)
+    classes = _classes(signed, F.first("cells").alias("cells"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
+    stored, crowded = _stored_cells(classes, tables)
     bits = spark.sparkContext.broadcast(_occupied(stored, n * tables))
-    probing = src.select("model", "vector").mapInPandas(_probe(width, m, tables, probes, seed, bits, levels), _PROBE_SCHEMA)
+    probing = src.select("model", "vector").mapInPandas(_probe(width, m, tables, probes, seed, bits), _PROBE_SCHEMA)
     looking = probing.unionByName(stored.select("grp", "c1", "c2", "s1", "s2", "cell"))
     b = stored.select("grp", "cell", F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
     other = (F.col("c1") != F.col("b1")) | (F.col("c2") != F.col("b2"))
@@ -309,6 +429,11 @@ def similar_vectors(
     va = fetched.select("grp", F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("vector").alias("va"))
     vb = fetched.select("grp", F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("vector").alias("vb"))
     exact = pairs.join(va, ["grp", "a1", "a2"]).join(vb, ["grp", "b1", "b2"]).mapInPandas(_exact, _EXACT_SCHEMA).filter(F.col("similarity") >= min_similarity)
+    if crowded is not None:
+        dense = _crowded_pairs(src, classes, crowded, functools.partial(_touching, width, m, tables, probes, seed), k, min_similarity)
+        back = F.struct("a1", "a2") > F.struct("b1", "b2")
+        dense = dense.select("grp", *(F.when(back, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a1", "b1"), ("a2", "b2"), ("b1", "a1"), ("b2", "a2"))), "similarity")
+        exact = exact.unionByName(dense).groupBy("grp", "a1", "a2", "b1", "b2").agg(F.max("similarity").alias("similarity"))
     exact = materialise(exact)
     named = src.mapInPandas(_name_rows, _ROW_SCHEMA)
     return _ranked(named, classes, exact, k)

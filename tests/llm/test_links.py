@@ -107,3 +107,32 @@ def test_crowded_cells_are_split(spark, monkeypatch):
 def test_empty_vectors(spark):
     df = spark.createDataFrame([], "embedding_id string, content_id string, model string, vector array<float>")
     assert similar_vectors.found(df).count() == 0
+
+
+def vector_rows(spark, rows):
+    return spark.createDataFrame([(a, c, m, [float(x) for x in v]) for a, c, m, v in rows], "embedding_id string, content_id string, model string, vector array<float>")
+
+
+def test_a_dense_cluster_loses_no_neighbours(spark):
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x)
+    base = unit(rng.standard_normal(64))
+    # A third of the rows at a cosine of about 0.95 to each other, more than a cell may hold.
+    rows = [(f"e{i:04d}", f"c{i % 300}", "m", unit(base + 0.23 * unit(rng.standard_normal(64)))) for i in range(1500)]
+    rows += [(f"r{i:04d}", f"d{i}", "m", rng.standard_normal(64)) for i in range(1500)]
+    got = {tuple(r) for r in similar_vectors.found(vector_rows(spark, rows)).collect()}
+    want = brute_by_product(rows, 5, 0.85)
+    assert len(got & want) >= 0.97 * len(want) and len(got & want) >= 0.97 * len(got)
+
+
+def brute_by_product(rows, k, least):
+    v = np.array([np.float32(r[3]) for r in rows], dtype=np.float64)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    contents = np.array([r[1] for r in rows])
+    out = set()
+    for i, r in enumerate(rows):
+        s = np.where(contents == r[1], -2, v @ v[i])
+        for j in np.argsort(-s, kind="stable")[:k]:
+            if s[j] >= least:
+                out.add((min(r[0], rows[j][0]), max(r[0], rows[j][0])))
+    return out
