@@ -136,3 +136,22 @@ def brute_by_product(rows, k, least):
             if s[j] >= least:
                 out.add((min(r[0], rows[j][0]), max(r[0], rows[j][0])))
     return out
+
+
+def test_modelled_recall_holds_at_every_size():
+    import inspect
+
+    given = {n: p.default for n, p in inspect.signature(similar_vectors.similar_vectors).parameters.items()}
+    rng = np.random.default_rng(2)
+    x, z = rng.standard_normal((2, 1000, 128))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z -= (z * x).sum(1)[:, None] * x
+    y = 0.85 * x + np.sqrt(1 - 0.85**2) * z / np.linalg.norm(z, axis=1)[:, None]
+    for n in (14_000, 140_000, 1_400_000):
+        m = similar_vectors.default_functions(n)
+        tables = given["tables"] or similar_vectors.default_tables(m, given["width"], given["probes"], 0.85)
+        met = np.zeros(1000, bool)
+        for t in range(tables):
+            a, b = (similar_vectors._with_probes(*similar_vectors._cells(v.astype(np.float32), m, t, given["width"], 20240), given["probes"]) for v in (x, y))
+            met |= (a == b[0]).any(0) | (b == a[0]).any(0)
+        assert met.mean() >= 0.9, (n, met.mean())
