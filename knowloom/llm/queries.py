@@ -13,8 +13,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row's up to five neighbours with similarity and rank."""
-    return similar_vectors.similar_vectors(table(spark, sf_dir, "chunk_embeddings"))
+    """Every row's five neighbours with similarity and rank, however far they are."""
+    return similar_vectors.similar_vectors(table(spark, sf_dir, "chunk_embeddings"), min_similarity=None)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,9 @@ looks into the ``probes`` perturbed cells most likely to hold a near vector
 all tables are merged, thinned by a 128-bit sign sketch, and re-ranked by the
 exact cosine.
 
+Without a least similarity, or with one below ``LEAST_HASHED``, all directions of
+a group are compared by blocked matrix products: exact, but quadratic.
+
 Scale
 -----
 * Copies are collapsed first: all hashing runs over one representative of each
@@ -59,6 +62,8 @@ MAX_BITS = 1 << 29
 BITS_PER_CELL = 64
 #: Bits that one task packs, so that the driver receives whole pieces of the set and no rows of words.
 PIECE = 1 << 20
+#: Below this cosine, or without a limit, all vectors are compared: hashing tells near from far no longer.
+LEAST_HASHED = 0.8
 #: Part of the pairs at the least similarity that the tables are to find, by the model of ``hit_rate``.
 RECALL = 0.92
 
@@ -424,20 +429,22 @@ def _classes(rows: DataFrame, *more) -> DataFrame:
 def similar_vectors(
     vectors: DataFrame,
     k: int = 5,
-    min_similarity: float = 0.85,
+    min_similarity: float | None = 0.85,
     tables: int | None = None,
     probes: int = 1024,
     width: float = 2.2,
     functions_per_table: int | None = None,
     seed: int = 20240,
 ) -> DataFrame:
-    """(embedding_id, neighbour_id, similarity, rank) of up to ``k`` neighbours at or above ``min_similarity``.
+    """(embedding_id, neighbour_id, similarity, rank) of up to ``k`` neighbours at or above ``min_similarity``, of all if it is None.
 
     ``tables`` and the sketch limit follow from ``min_similarity`` and the number
     of vectors, see ``default_tables``.
     """
     spark = vectors.sparkSession
     src = vectors.select("embedding_id", "content_id", "model", "vector").filter(F.size("vector") > 0)
+    if min_similarity is None or min_similarity < LEAST_HASHED:
+        return _all_compared(src, k, -2.0 if min_similarity is None else min_similarity)
     n = vectors.count()
     m = functions_per_table or default_functions(n)
     tables = tables or default_tables(m, width, probes, min_similarity)
@@ -482,15 +489,34 @@ def similar_vectors(
     return _ranked(named, classes, exact, k)
 
 
-def _ranked(named: DataFrame, classes: DataFrame, exact: DataFrame, k: int) -> DataFrame:
-    """Neighbour lists of the rows from the pairs of directions.
+def _units(batches):
+    for pdf in batches:
+        for dim, rows, v in _unit_groups(pdf):
+            c1, c2 = _class_keys(v)
+            yield pd.DataFrame({"grp": _group_names(pdf, rows, dim), "c1": c1, "c2": c2, "embedding_id": pdf["embedding_id"].to_numpy()[rows], "content_id": pdf["content_id"].to_numpy()[rows], "vector": list(pdf["vector"].to_numpy()[rows])})
+
+
+def _all_compared(src: DataFrame, k: int, least: float) -> DataFrame:
+    rows = src.mapInPandas(_units, T.StructType([*_ROW_SCHEMA.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
+    classes = _classes(rows, F.first("vector").alias("vector"))
+    vectors = classes.select("grp", "c1", "c2", "vector")
+    one = classes.filter(F.col("contents") == 1).select("grp", "c1", "c2", "content", "vector")
+    several = _contents(src, classes.filter(F.col("contents") > 1), k).join(vectors, ["grp", "c1", "c2"])
+    stored = classes.select("grp", "c1", "c2", F.when(F.col("contents") == 1, F.col("content")).alias("sole"), "vector")
+    exact = _search(one.unionByName(several.select(*one.columns)), stored, k, least)
+    exact = exact.dropDuplicates(["grp", "a1", "a2", "b1", "b2"])
+    return _ranked(src.mapInPandas(_name_rows, _ROW_SCHEMA), classes, exact, k, directed=True)
+
+
+def _ranked(named: DataFrame, classes: DataFrame, exact: DataFrame, k: int, directed: bool = False) -> DataFrame:
+    """Neighbour lists of the rows from the pairs of directions, or from those seen from a only.
 
     Works on (direction, content) groups: of a direction only the first ``k``
     rows of its first ``k + 1`` contents can be among anybody's first ``k``.
     """
     from pyspark.sql import Window as W
 
-    both = exact.unionByName(exact.select("grp", F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2"), "similarity"))
+    both = exact if directed else exact.unionByName(exact.select("grp", F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2"), "similarity"))
     own = classes.filter(F.col("copies") > 1).select("grp", F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.lit(1.0).alias("similarity"))
     links = both.unionByName(own)
     rows = named.select("grp", "c1", "c2", F.coalesce("content_id", F.lit("")).alias("content"), "embedding_id")

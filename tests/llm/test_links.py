@@ -155,3 +155,24 @@ def test_modelled_recall_holds_at_every_size():
             a, b = (similar_vectors._with_probes(*similar_vectors._cells(v.astype(np.float32), m, t, given["width"], 20240), given["probes"]) for v in (x, y))
             met |= (a == b[0]).any(0) | (b == a[0]).any(0)
         assert met.mean() >= 0.9, (n, met.mean())
+
+
+def test_the_query_gives_every_row_its_whole_five(spark, tmp_path):
+    from knowloom.llm import queries
+
+    rng = np.random.default_rng(4)
+    rows = [(f"e{i:04d}", f"c{i % 90}", "m", rng.standard_normal(32)) for i in range(600)]
+    rows += [(f"x{i:04d}", f"x{i}", "m", rows[i][3] * 2) for i in range(60)]
+    rows += [("y0000", "y", "m", rows[0][3]), ("lone", "c0", "m2", rows[0][3]), ("zero", "c0", "m", np.zeros(32))]
+    vector_rows(spark, rows).write.parquet(str(tmp_path / "chunk_embeddings.parquet"))
+    got = queries.p1_neighbours(spark, str(tmp_path)).collect()
+    v = np.array([np.float32(r[3]) for r in rows[:-2]], dtype=np.float64)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    ids, contents = np.array([r[0] for r in rows[:-2]]), np.array([r[1] for r in rows[:-2]])
+    want = {}
+    for i, a in enumerate(ids):
+        s = np.where(contents == contents[i], -2, v @ v[i])
+        for rank, j in enumerate(sorted(range(len(ids)), key=lambda j: (-round(s[j], 6), ids[j]))[:5], 1):
+            want[a, rank] = (ids[j], s[j])
+    assert {(r.embedding_id, r["rank"]): r.neighbour_id for r in got} == {key: b for key, (b, _) in want.items()}
+    assert all(abs(r.similarity - want[r.embedding_id, r["rank"]][1]) < 1e-6 for r in got)
