@@ -6,18 +6,16 @@ like digits), freed of titles, legal forms and remarks, and split into a *core*
 (given name or initials; line of business; place word).  Values with the same
 parse are one form.
 
-Forms are blocked by the phonetic code of their core, the consonant classes in
-order, together with every code that lacks one class; two cores that differ by
-one consonant, by a swap, or by vowels share a key.  Pairs in a block are
-compared by Jaro-Winkler similarity and single-edit distance of the cores and
+Forms are blocked by their core and every string that lacks one letter of it;
+any two cores one edit apart (a letter more, less or another, or a swap of
+neighbours) share such a key.  Pairs in a block are compared by Jaro-Winkler similarity and single-edit distance of the cores and
 by the rest, given names through a nickname table.  Accepted pairs are clustered
 by connected components.  A form with initials only joins a person if exactly
 one person with that surname and initial is known.
 
 Scale: values are counted down to distinct ones before anything else, so hot
-names cost one row; a block with more than ``LARGE_BLOCK`` forms is divided by
-the first and, apart, by the last letters of the core, one of which any single
-edit leaves alone, so no pair is lost.  Components are found by label
+names cost one row; a block with more than ``LARGE_BLOCK`` forms is compared
+whole, in pieces of about that size.  Components are found by label
 propagation over checkpointed tables; nothing is collected.
 
 Defined results
@@ -39,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from knowloom.session import materialise
+from knowloom.session import bounded_broadcast, materialise
 
 LARGE_BLOCK = 400
 #: Least Jaro-Winkler similarity of two cores.
@@ -265,13 +263,14 @@ def _parse(field: pd.Series, name: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse(f, n) or (None, None, None, None) for f, n in zip(field, name)], columns=["kind", "core", "rest", "place"])
 
 
+def block_keys(core: str) -> list[str]:
+    """Keys of which any two cores that ``same_core`` accepts share one."""
+    return sorted({core} | {core[:i] + core[i + 1 :] for i in range(len(core))}) if len(core) >= 5 else [core]
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _keys(core: pd.Series) -> pd.Series:
-    out = []
-    for c in core:
-        p = phonetic_code(c)
-        out.append(sorted({p} | {p[:i] + p[i + 1 :] for i in range(len(p))}) if len(p) > 2 else [p or c])
-    return pd.Series(out, dtype=object)
+    return pd.Series([block_keys(c) for c in core], dtype=object)
 
 
 @F.pandas_udf(T.BooleanType())
@@ -294,12 +293,15 @@ def values(financial: DataFrame, medical: DataFrame) -> DataFrame:
     return out.filter(F.col("name").isNotNull()).distinct()
 
 
-def _blocked(forms: DataFrame) -> DataFrame:
-    """Forms with their block keys; large blocks are divided by both ends of the core."""
+def _blocked(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Forms with their block keys, to be joined: a large block is cut in pieces on one side and repeated for each on the other."""
+    by = ["field", "kind", "part", "key"]
     keyed = forms.withColumn("key", F.explode(_keys("core"))).withColumn("part", F.when(F.col("kind") == "o", F.col("rest")).otherwise(""))
-    large = keyed.groupBy("field", "kind", "part", "key").count().filter(F.col("count") > LARGE_BLOCK).select("field", "kind", "part", "key", F.lit(True).alias("large"))
-    ends = F.array(F.concat(F.lit("^"), F.substring("core", 1, 3)), F.concat(F.lit("$"), F.substring("core", -3, 3)))
-    return keyed.join(large, ["field", "kind", "part", "key"], "left").withColumn("end", F.explode(F.when(F.col("large"), ends).otherwise(F.array(F.lit("")))))
+    keyed = materialise(keyed)
+    large = keyed.groupBy(*by).count().filter(F.col("count") > LARGE_BLOCK).select(*by, F.ceil(F.col("count") / LARGE_BLOCK).cast("int").alias("pieces"))
+    keyed = keyed.join(bounded_broadcast(materialise(large)), by, "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    whole = keyed.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+    return whole, keyed.withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).drop("pieces")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -327,9 +329,11 @@ def link(financial: DataFrame, medical: DataFrame) -> DataFrame:
     parsed = materialise(parsed.withColumn("id", F.concat_ws("\x1f", "field", "kind", "core", "rest", "place")))
     forms = materialise(parsed.select("id", "field", "kind", "core", "rest", "place").distinct())
     full = forms.filter((F.col("kind") == "o") | (F.length("rest") > 1))
-    blocks = _blocked(full)
-    b = blocks.select("field", "kind", "part", "key", "end", *(F.col(c).alias(f"{c}_b") for c in ("id", "core", "rest", "place")))
-    pairs = blocks.join(b, ["field", "kind", "part", "key", "end"]).filter(F.col("id") < F.col("id_b"))
+    blocks, pieces = _blocked(full)
+    b = pieces.select("field", "kind", "part", "key", "piece", *(F.col(c).alias(f"{c}_b") for c in ("id", "core", "rest", "place")))
+    # Equal cores share all their keys and are taken from one.
+    once = (F.col("core") != F.col("core_b")) | (F.col("key") == F.col("core"))
+    pairs = blocks.join(b, ["field", "kind", "part", "key", "piece"]).filter((F.col("id") < F.col("id_b")) & once)
     pairs = pairs.select("kind", "id", "core", "rest", "place", "id_b", "core_b", "rest_b", "place_b").distinct()
     pairs = pairs.filter(_accept("kind", "core", "rest", "place", "core_b", "rest_b", "place_b")).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
     pairs = materialise(pairs)

@@ -176,3 +176,16 @@ def test_the_query_gives_every_row_its_whole_five(spark, tmp_path):
             want[a, rank] = (ids[j], s[j])
     assert {(r.embedding_id, r["rank"]): r.neighbour_id for r in got} == {key: b for key, (b, _) in want.items()}
     assert all(abs(r.similarity - want[r.embedding_id, r["rank"]][1]) < 1e-6 for r in got)
+
+
+def test_pairs_do_not_depend_on_the_size_of_a_block(spark, monkeypatch):
+    pairs = [("weber", "wefer"), ("meyer", "meier"), ("patel", "padel"), ("gupta", "gubta"), ("kumar", "kunar"), ("mohan", "moahn"), ("mohan", "mokan"), ("sharma", "shrama"), ("hartrodt", "harrodt"), ("aiyau", "aiyou")]
+    names = {s for p in pairs for s in p} | {"solano", "drifake"}
+    med = spark.createDataFrame([(f"{g} {s.title()}", None, None) for s in names for g in ("Kavya", "Uma")], "patient string, clinician string, facility string")
+    fin = spark.createDataFrame([], "counterparty string")
+    found = lambda: {(r.name_a, r.name_b) for r in name_links.found(fin, med).collect()}
+    small = found()
+    monkeypatch.setattr(name_links, "LARGE_BLOCK", 1)
+    assert found() == small
+    accepted = {tuple(sorted((f"{g} {a.title()}", f"{g} {b.title()}"))) for a, b in pairs if name_links.same_core(a, b) for g in ("Kavya", "Uma")}
+    assert len(accepted) >= 18 and accepted <= small and not any("Uma" in a + b and "Kavya" in a + b for a, b in small)
