@@ -113,11 +113,12 @@ def vector_rows(spark, rows):
     return spark.createDataFrame([(a, c, m, [float(x) for x in v]) for a, c, m, v in rows], "embedding_id string, content_id string, model string, vector array<float>")
 
 
-def test_a_dense_cluster_loses_no_neighbours(spark):
+def test_a_dense_cluster_loses_no_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(similar_vectors, "HOT", 16)
     rng = np.random.default_rng(8)
     unit = lambda x: x / np.linalg.norm(x)
     base = unit(rng.standard_normal(64))
-    # A third of the rows at a cosine of about 0.95 to each other, more than a cell may hold.
+    # Half of the rows at a cosine of about 0.95 to each other, more than a cell may hold.
     rows = [(f"e{i:04d}", f"c{i % 300}", "m", unit(base + 0.23 * unit(rng.standard_normal(64)))) for i in range(1500)]
     rows += [(f"r{i:04d}", f"d{i}", "m", rng.standard_normal(64)) for i in range(1500)]
     got = {tuple(r) for r in similar_vectors.found(vector_rows(spark, rows)).collect()}
