@@ -125,22 +125,29 @@ _LEGAL = re.compile(
 _GROUP_CLASS = {"i": INTRODUCES, "f": FORWARDS, "o": INTRODUCES, "h": HEADER, "r": RULE, "c": CLOSING, "d": DEVICE, "g": GREETING}
 
 
-@functools.lru_cache(maxsize=200_000)
-def _plain_class(s: str) -> int:
+def _class_of(s: str) -> int:
     """Class of a stripped line without prefix, from the line alone."""
-    m = _LINE.match(s) if len(s) <= 260 else None
+    # In a long line runs of white space count as one, which keeps the time of the patterns linear.
+    m = _LINE.match(s if len(s) <= 260 else " ".join(s.split()))
     if m:
         c = _GROUP_CLASS[m.lastgroup]
         if c == HEADER and s[-1] in ".!?" and len(s) > 30:
             return HEADER_LIKE
         return c
-    if len(s) <= 400 and _LEGAL.search(s):
+    if _LEGAL.search(s):
         return LEGAL
     if len(s) < 90 and s[-1] not in ".?!:;" and not (s.startswith("-- ") and s.endswith("--")):
         return SHORT
     return SENTENCE
 
 
+_short_class = functools.lru_cache(maxsize=200_000)(_class_of)
+
+
+def _plain_class(s: str) -> int:
+    return _short_class(s) if len(s) <= 400 else _class_of(s)
+
+
 def line_classes(lines: list[str]) -> tuple[list[int], list[int]]:
     """Numbers (from 1) and classes of the lines that are not blank."""
     at, out = [], []

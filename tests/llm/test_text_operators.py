@@ -50,6 +50,25 @@ def test_long_bodies_and_batches():
     assert mail_spans.spans_of([body, None, REPLY])[2] == mail_spans.spans_of([REPLY])[0]
 
 
+def test_lines_of_any_length_are_classified():
+    legal = "This message and its parts are confidential and meant for the named reader. " + "Whoever else reads it is asked to tell the sender and to keep no copy of it. " * 26
+    assert len(legal) > 2000
+    assert old_lines(f"Yes, gladly, at noon.\n\n{legal}") == [3]
+    late = "Whoever else reads it is asked to tell the sender and to keep no copy of it. " * 26 + "This message is confidential."
+    assert old_lines(f"Yes, gladly, at noon.\n\n{late}") == [3]
+    c = mail_spans.line_classes(["To: " + ", ".join(f"p{i} <p{i}@x.example>" for i in range(100)), "Sent from my telephone " + "x" * 400])[1]
+    assert c == [mail_spans.HEADER, mail_spans.DEVICE]
+
+
+def test_time_of_long_lines_is_linear():
+    import time
+
+    for s in ("on " + "wrote " * 40_000, "wrote " * 40_000 + ".", "a" * 240_000, "-" * 240_000 + "x", "hi " + "\u00a0 " * 80_000 + "x", "le " + "schrieb \t" * 30_000 + "x", "wrote " + " " * 200_000 + "x"):
+        began = time.perf_counter()
+        mail_spans.line_classes([s])
+        assert time.perf_counter() - began < 1, s[:20]
+
+
 def brute_best(classes):
     """Best score of all segmentations by plain recursion."""
     k, n = len(mail_spans.KINDS), len(classes)
