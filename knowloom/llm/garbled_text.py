@@ -220,8 +220,10 @@ def repair(text: str | None) -> tuple[str, str | None, bool] | None:
         kind = kind or "controls"
         now = _CONTROLS.sub(lambda m: char_of_byte("cp1252")[ord(m[0])], now)
     lost = "\ufffd" in text
-    if lost:
-        return (kind or "lost", now if now != text else None, False)
+    # Irregular words that no pair of code pages explains are reported, not restored.
+    odd = _odd().search(after) is not None
+    if lost or odd:
+        return (kind or ("lost" if lost else "page"), now if now != text else None, False)
     return (kind, now, True) if kind else None
 
 

@@ -285,3 +285,10 @@ def test_garbled_tables(spark):
     assert garbled_text.found(df.filter("false")).count() == 0
 
 
+
+
+def test_irregular_words_are_reported_also_if_not_restored():
+    bad = "Die Prüfung der Gebühren läuft".encode("cp1252").decode("mac_roman")
+    assert garbled_text.repair(bad + ".") == ("page", "Die Prüfung der Gebühren läuft.", True)
+    assert garbled_text.repair(bad + " für ₹5 अ.") == ("page", None, False)
+    assert garbled_text.repair("Die Prüfung der Gebühren für ₹5 अ läuft.") is None
