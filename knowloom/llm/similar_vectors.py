@@ -5,8 +5,8 @@ similarity.  Each of ``tables`` hash tables cuts ``functions`` Gaussian
 projections into cells of ``width``; a vector is stored in its own cell and
 looks into the ``probes`` perturbed cells most likely to hold a near vector
 (sets of cell borders in order of expected squared distance).  Candidates of
-all tables are merged, thinned by a 128-bit sign sketch, and re-ranked by the
-exact cosine.
+all tables are merged, thinned by a 128-bit sign sketch and by bytewise
+vectors, and re-ranked by the exact cosine.
 
 Without a least similarity, or with one below ``LEAST_HASHED``, all directions of
 a group are compared by blocked matrix products: exact, but quadratic.
@@ -15,16 +15,19 @@ Scale
 -----
 * Copies are collapsed first: all hashing runs over one representative of each
   direction, and copies are attached again at the end, at most ``k`` per row.
-* Probes are tested against a bit set of the occupied cells (its size is
-  bounded by ``MAX_BITS``) before they are shuffled, so only cells that exist
-  travel; vectors are shuffled once, and only those in a surviving pair leave
-  that join.
+* A direction and its group (model and length) are one 64-bit key, a cell with
+  its group another; a row of a table is 32 bytes.
+* Probes are tested against a bit set of the occupied cells before they are
+  shuffled, so only cells that exist travel.  The set has ``MAX_BITS`` at most;
+  where all tables would need more, the tables are searched in several passes.
+* Vectors are shuffled for pairs only that pass the sketch and the bytewise
+  comparison.
 * A cell with more than ``HOT`` vectors takes no part in the join.  Its members
   are compared whole, by blocked matrix products, with every vector that lies in
   such a cell or probes one: exact, but quadratic in those vectors.
 * ``functions`` grows with the logarithm of the collection, which keeps the
-  candidates of a vector about constant; ``tables`` grows with it, so that the
-  modelled recall at the least similarity is ``RECALL`` at every size.
+  candidates of a vector about constant; ``probes`` and ``tables`` grow with it,
+  so that the modelled recall at the least similarity is ``RECALL`` at every size.
 
 Defined results
 ---------------
@@ -40,12 +43,12 @@ Defined results
 from __future__ import annotations
 
 import functools
-import hashlib
 import heapq
 import math
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,10 +59,11 @@ HOT = 256
 #: Vectors compared at once by an exact search: those of one broadcast, and the numbers of one product.
 SLAB = 65_536
 PRODUCT = 1 << 23
-#: Single precision may move a cosine by so much.
+#: Single precision may move a cosine by so much, bytewise vectors by so much.
 SLACK = 1e-5
+BYTE_SLACK = 0.02
 MAX_BITS = 1 << 29
-BITS_PER_CELL = 64
+BITS_PER_CELL = 48
 #: Bits that one task packs, so that the driver receives whole pieces of the set and no rows of words.
 PIECE = 1 << 20
 #: Below this cosine, or without a limit, all vectors are compared: hashing tells near from far no longer.
@@ -67,23 +71,12 @@ LEAST_HASHED = 0.8
 #: Part of the pairs at the least similarity that the tables are to find, by the model of ``hit_rate``.
 RECALL = 0.92
 
-_SIGN_SCHEMA = T.StructType(
-    [
-        T.StructField("grp", T.StringType()),
-        T.StructField("c1", T.LongType()),
-        T.StructField("c2", T.LongType()),
-        T.StructField("embedding_id", T.StringType()),
-        T.StructField("content_id", T.StringType()),
-        T.StructField("cells", T.ArrayType(T.LongType())),
-        T.StructField("s1", T.LongType()),
-        T.StructField("s2", T.LongType()),
-    ]
-)
-_PROBE_SCHEMA = T.StructType([f for f in _SIGN_SCHEMA.fields if f.name in ("grp", "c1", "c2", "s1", "s2")] + [T.StructField("cell", T.LongType())])
-_ROW_SCHEMA = T.StructType([f for f in _SIGN_SCHEMA.fields if f.name in ("grp", "c1", "c2", "embedding_id")] + [T.StructField("content_id", T.StringType())])
-_EXACT_SCHEMA = T.StructType(
-    [T.StructField(n, t) for n, t in (("grp", T.StringType()), ("a1", T.LongType()), ("a2", T.LongType()), ("b1", T.LongType()), ("b2", T.LongType()), ("similarity", T.DoubleType()))]
-)
+_NAMED_SCHEMA = "c long, g long, embedding_id string, content_id string"
+_SIGN_SCHEMA = f"{_NAMED_SCHEMA}, cells array<long>, s1 long, s2 long, bytes binary"
+_CELL_SCHEMA = "cell long, c long, s1 long, s2 long"
+_TOUCHING_SCHEMA = "c long, g long, dense boolean, vector array<float>"
+_PAIR_SCHEMA = "a long, b long"
+_EXACT_SCHEMA = "a long, b long, similarity double"
 
 
 def default_functions(n: int) -> int:
@@ -91,16 +84,25 @@ def default_functions(n: int) -> int:
     return max(12, round((math.log(max(n, 2)) + 7.4) / 0.68))
 
 
+def default_probes(n: int) -> int:
+    """Cells a vector looks into besides its own, for ``n`` vectors."""
+    return max(128, round(1024 * (n / 140_000) ** 0.3))
+
+
 @functools.lru_cache(maxsize=64)
-def hit_rate(m: int, width: float, probes: int, cosine: float, pairs: int = 3000) -> float:
+def hit_rate(m: int, width: float, probes: int, cosine: float, pairs: int = 2000) -> float:
     """Part of the pairs at a cosine that meet in one table, one vector probing the cell of the other; by simulation."""
     rng = np.random.default_rng([m, probes])
-    x, z = rng.standard_normal((2, pairs, 64))
+    x, z = rng.standard_normal((2, pairs, 128))
     x /= np.linalg.norm(x, axis=1)[:, None]
     z -= (z * x).sum(1)[:, None] * x
     y = cosine * x + math.sqrt(1 - cosine**2) * z / np.linalg.norm(z, axis=1)[:, None]
-    a, b = (_with_probes(*_cells(v.astype(np.float32), m, 0, width, 7), probes) for v in (x, y))
-    return float(((a == b[0]).any(0) | (b == a[0]).any(0)).mean())
+    met = []
+    for t in range(4):
+        part = slice(t * pairs // 4, (t + 1) * pairs // 4)
+        a, b = (_with_probes(*_cells(v[part].astype(np.float32), m, t, width, 7), probes) for v in (x, y))
+        met.append(((a == b[0]).any(0) | (b == a[0]).any(0)).mean())
+    return float(np.mean(met))
 
 
 def default_tables(m: int, width: float, probes: int, cosine: float) -> int:
@@ -139,6 +141,14 @@ def probe_sets(m: int, count: int) -> list[tuple[int, ...]]:
     return out
 
 
+@functools.lru_cache(maxsize=64)
+def _probe_steps(m: int, count: int) -> list[tuple[int, int]]:
+    """Each probe as (an earlier probe, or 0 for the own cell; the border that comes in)."""
+    sets = probe_sets(m, count)
+    at = {(): 0} | {s: i for i, s in enumerate(sets, 1)}
+    return [(at[s[:-1]], s[-1]) for s in sets]
+
+
 @functools.lru_cache(maxsize=256)
 def _projection(dim: int, m: int, table: int, width: float, seed: int):
     rng = np.random.default_rng([seed, dim, table, 0])
@@ -161,39 +171,64 @@ def _cells(v: np.ndarray, m: int, table: int, width: float, seed: int):
 
 
 def _with_probes(own: np.ndarray, frac: np.ndarray, r: np.ndarray, count: int) -> np.ndarray:
+    """Own cells (first row) and probed cells, one column for each vector."""
     m = len(r)
     order = np.argsort(np.concatenate([frac, 1 - frac], axis=1), axis=1)
     step = np.ascontiguousarray(np.concatenate([(~r) + np.uint64(1), r])[order].T)
-    sets = probe_sets(m, count)
-    out = np.empty((len(sets) + 1, len(own)), np.uint64)
+    steps = _probe_steps(m, count)
+    out = np.empty((len(steps) + 1, len(own)), np.uint64)
     out[0] = own
-    for i, s in enumerate(sets, 1):
-        np.add(out[0], step[s[0]], out=out[i])
-        for k in s[1:]:
-            out[i] += step[k]
+    for i, (before, border) in enumerate(steps, 1):
+        np.add(out[before], step[border], out=out[i])
     return out
 
 
+def _places(cell: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The three bits of a cell, all in one piece of the set."""
+    piece = min(PIECE, bits)
+    base = cell & np.uint64(bits - piece)
+    low = np.uint64(piece - 1)
+    return [base | (x & low) for x in (cell, cell >> np.uint64(29), cell >> np.uint64(44))]
+
+
+def _is_set(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    w = words.take((places >> np.uint64(6)).view(np.int64))
+    w >>= places & np.uint64(63)
+    w &= np.uint64(1)
+    return w
+
+
+def _occupied_of(words: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(probe number, column) of the probes whose cell is occupied."""
+    flat = p.ravel()
+    bits = len(words) * 64
+    at = np.flatnonzero(_is_set(words, flat & np.uint64(bits - 1)))
+    for k in (1, 2):
+        at = at[_is_set(words, _places(flat[at], bits)[k]) > 0]
+    return np.divmod(at, p.shape[1])
+
+
 def _unit_groups(pdf: pd.DataFrame):
-    """Unit vectors of a batch by dimension: (row positions, matrix)."""
+    """Unit vectors of a batch by dimension: (row positions, group of each, matrix)."""
     by: dict[int, list[int]] = {}
     for i, v in enumerate(pdf["vector"].array):
         if v is not None and len(v):
             by.setdefault(len(v), []).append(i)
+    models = pdf["model"].to_numpy()
     for dim, rows in by.items():
         m = np.array([np.asarray(pdf["vector"].iat[i], dtype=np.float32) for i in rows], dtype=np.float64)
         norm = np.sqrt((m * m).sum(1))
         ok = np.isfinite(norm) & (norm > 0)
         if ok.any():
-            yield dim, np.array(rows)[ok], (m[ok] / norm[ok, None]).astype(np.float32)
+            at = np.array(rows)[ok]
+            names: dict = {x: xxhash.xxh3_64_intdigest(f"{dim}" if x is None else f"{dim}:{x}") for x in set(models[at])}
+            yield at, np.array([names[x] for x in models[at]], np.uint64), (m[ok] / norm[ok, None]).astype(np.float32)
 
 
-def _class_keys(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit key of each direction, equal for copies of any length."""
+def _keys(g: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """64-bit key of each direction in its group, equal for copies of any length."""
     q = np.round(v * 1e4).astype(np.int16)
-    d = [hashlib.blake2b(row.tobytes(), digest_size=16).digest() for row in q]
-    k = np.frombuffer(b"".join(d), dtype=np.int64).reshape(-1, 2)
-    return k[:, 0], k[:, 1]
+    return np.array([xxhash.xxh3_64_intdigest(row.tobytes(), seed=int(s)) for row, s in zip(q, g)], np.uint64).view(np.int64)
 
 
 def _sketch(v: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,51 +237,48 @@ def _sketch(v: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return s[:, 0], s[:, 1]
 
 
-def _group_names(pdf: pd.DataFrame, rows: np.ndarray, dim: int) -> np.ndarray:
-    return np.array([f"{dim}:{m}" if m is not None else f"{dim}" for m in pdf["model"].to_numpy()[rows]], dtype=object)
+def _as_bytes(v: np.ndarray) -> list[bytes]:
+    """Unit vectors with one byte for each component, their scale in front."""
+    scale = np.abs(v).max(1, keepdims=True)
+    q = np.round(v / scale * 127).astype(np.int8)
+    return [s.tobytes() + row.tobytes() for s, row in zip(scale.astype(np.float32), q)]
 
 
 def _sign(width: float, m: int, tables: int, seed: int):
     def run(batches):
         for pdf in batches:
-            for dim, rows, v in _unit_groups(pdf):
-                c1, c2 = _class_keys(v)
+            for rows, g, v in _unit_groups(pdf):
                 s1, s2 = _sketch(v, seed)
-                cells = np.stack([_cells(v, m, t, width, seed)[0] for t in range(tables)], axis=1).view(np.int64)
-                yield pd.DataFrame({"grp": _group_names(pdf, rows, dim), "c1": c1, "c2": c2, "embedding_id": pdf["embedding_id"].to_numpy()[rows], "content_id": pdf["content_id"].to_numpy()[rows], "cells": list(cells), "s1": s1, "s2": s2})
+                cells = np.stack([_cells(v, m, t, width, seed)[0] + g for t in range(tables)], axis=1).view(np.int64)
+                yield pd.DataFrame({"c": _keys(g, v), "g": g.view(np.int64), "embedding_id": pdf["embedding_id"].to_numpy()[rows], "content_id": pdf["content_id"].to_numpy()[rows], "cells": list(cells), "s1": s1, "s2": s2, "bytes": _as_bytes(v)})
 
     return run
 
 
 def _name_rows(batches):
     for pdf in batches:
-        for dim, rows, v in _unit_groups(pdf):
-            c1, c2 = _class_keys(v)
-            yield pd.DataFrame({"grp": _group_names(pdf, rows, dim), "c1": c1, "c2": c2, "embedding_id": pdf["embedding_id"].to_numpy()[rows], "content_id": pdf["content_id"].to_numpy()[rows]})
+        for rows, g, v in _unit_groups(pdf):
+            yield pd.DataFrame({"c": _keys(g, v), "g": g.view(np.int64), "embedding_id": pdf["embedding_id"].to_numpy()[rows], "content_id": pdf["content_id"].to_numpy()[rows]})
 
 
-def _probe(width: float, m: int, tables: int, probes: int, seed: int, bits):
+def _probe(width: float, m: int, tables: list[int], probes: int, seed: int, bits):
     def run(batches):
         words = bits.value
-        mask = np.uint64(len(words) * 64 - 1)
-        is_set = lambda h: (words[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)
         for pdf in batches:
-            for dim, rows, v in _unit_groups(pdf):
-                c1, c2 = _class_keys(v)
+            for _, g, v in _unit_groups(pdf):
+                c = _keys(g, v)
                 s1, s2 = _sketch(v, seed)
-                grp = _group_names(pdf, rows, dim)
-                for t in range(tables):
+                for t in tables:
                     at, cells = [], []
                     for a in range(0, len(v), 1000):
-                        p = _with_probes(*_cells(v[a : a + 1000], m, t, width, seed), probes)[1:]
-                        j, i = np.nonzero(is_set(p & mask))
-                        c = p[j, i]
-                        both = is_set((c >> np.uint64(32)) & mask) > 0
-                        at.append(i[both] + a)
-                        cells.append(c[both])
-                    i, c = np.concatenate(at), np.concatenate(cells)
+                        own, frac, r = _cells(v[a : a + 1000], m, t, width, seed)
+                        p = _with_probes(own + g[a : a + 1000], frac, r, probes)[1:]
+                        j, i = _occupied_of(words, p)
+                        at.append(i + a)
+                        cells.append(p[j, i])
+                    i, cell = np.concatenate(at), np.concatenate(cells)
                     if len(i):
-                        yield pd.DataFrame({"grp": grp[i], "c1": c1[i], "c2": c2[i], "s1": s1[i], "s2": s2[i], "cell": c.view(np.int64)})
+                        yield pd.DataFrame({"cell": cell.view(np.int64), "c": c[i], "s1": s1[i], "s2": s2[i]})
 
     return run
 
@@ -258,24 +290,22 @@ def _touching(width: float, m: int, tables: int, probes: int, seed: int, crowded
         cells = crowded.value
         hit = lambda p: cells[np.minimum(np.searchsorted(cells, p), len(cells) - 1)] == p
         for pdf in batches:
-            for dim, rows, v in _unit_groups(pdf):
-                c1, c2 = _class_keys(v)
+            for rows, g, v in _unit_groups(pdf):
                 own, any_ = np.zeros(len(v), bool), np.zeros(len(v), bool)
                 for a in range(0, len(v), 1000):
+                    e = slice(a, a + 1000)
                     for t in range(tables):
-                        there = hit(_with_probes(*_cells(v[a : a + 1000], m, t, width, seed), probes))
-                        own[a : a + 1000] |= there[0]
-                        any_[a : a + 1000] |= there.any(0)
+                        at, frac, r = _cells(v[e], m, t, width, seed)
+                        there = hit(_with_probes(at + g[e], frac, r, probes))
+                        own[e] |= there[0]
+                        any_[e] |= there.any(0)
                 i = np.nonzero(any_)[0]
                 if len(i):
-                    yield pd.DataFrame({"grp": _group_names(pdf, rows, dim)[i], "c1": c1[i], "c2": c2[i], "dense": own[i], "vector": list(pdf["vector"].to_numpy()[rows[i]])})
+                    yield pd.DataFrame({"c": _keys(g, v)[i], "g": g.view(np.int64)[i], "dense": own[i], "vector": list(pdf["vector"].to_numpy()[rows[i]])})
 
     return run
 
 
-_TOUCHING_SCHEMA = "grp string, c1 long, c2 long, dense boolean, vector array<float>"
-
-
 def _best(q: np.ndarray, lo: np.ndarray, hi: np.ndarray, s: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers (query, stored) of unit vectors that hold the ``k`` best of each query outside ``lo:hi``, itself not counted.
 
@@ -299,53 +329,53 @@ def _search_slab(slab, k: int, least: float):
     def run(batches):
         stored = slab.value
         for pdf in batches:
-            for grp, part in pdf.groupby("grp", sort=False):
-                if grp not in stored:
+            for g, part in pdf.groupby("g", sort=False):
+                if g not in stored:
                     continue
-                b1, b2, soles, raw, unit, norm = stored[grp]
-                a1, a2 = part["c1"].to_numpy(), part["c2"].to_numpy()
+                b, soles, raw, unit, norm = stored[g]
+                a = part["c"].to_numpy()
                 x = np.stack(part["vector"].to_numpy()).astype(np.float32)
                 xn = np.sqrt((x.astype(np.float64) ** 2).sum(1))
                 content = "=" + part["content"].to_numpy().astype(object)
                 lo, hi = np.searchsorted(soles, content, "left"), np.searchsorted(soles, content, "right")
                 step = max(1, PRODUCT // len(unit))
-                for a in range(0, len(x), step):
-                    e = slice(a, a + step)
+                for at in range(0, len(x), step):
+                    e = slice(at, at + step)
                     q = (x[e] / xn[e, None]).astype(np.float32)
                     i, j = _best(q, lo[e], hi[e], unit, k, least)
-                    i = i + a
-                    other = (a1[i] != b1[j]) | (a2[i] != b2[j])
+                    i = i + at
+                    other = a[i] != b[j]
                     i, j = i[other], j[other]
                     sims = np.einsum("nd,nd->n", x[i].astype(np.float64), raw[j].astype(np.float64)) / (xn[i] * norm[j])
                     ok = sims >= least
                     i, j = i[ok], j[ok]
                     if len(i):
-                        yield pd.DataFrame({"grp": grp, "a1": a1[i], "a2": a2[i], "b1": b1[j], "b2": b2[j], "similarity": sims[ok]})
+                        yield pd.DataFrame({"a": a[i], "b": b[j], "similarity": sims[ok]})
 
     return run
 
 
-def _pack(pdf: pd.DataFrame) -> dict[str, tuple]:
+def _pack(pdf: pd.DataFrame) -> dict[int, tuple]:
     """Vectors of a slab by group, in order of the only content of their direction; several come first."""
     out = {}
-    for grp, part in pdf.groupby("grp", sort=False):
+    for g, part in pdf.groupby("g", sort=False):
         soles = ("=" + part["sole"]).fillna("").to_numpy().astype(object)
         at = np.argsort(soles, kind="stable")
         raw = np.stack(part["vector"].to_numpy()[at]).astype(np.float32)
         norm = np.sqrt((raw.astype(np.float64) ** 2).sum(1))
-        out[grp] = (part["c1"].to_numpy()[at], part["c2"].to_numpy()[at], soles[at], raw, (raw / norm[:, None]).astype(np.float32), norm)
+        out[g] = (part["c"].to_numpy()[at], soles[at], raw, (raw / norm[:, None]).astype(np.float32), norm)
     return out
 
 
 def _search(looking: DataFrame, stored: DataFrame, k: int, least: float) -> DataFrame:
-    """(grp, a1, a2, b1, b2, similarity): all pairs of directions that can be among the best ``k`` of a, by comparing all.
+    """(a, b, similarity): all pairs of directions that can be among the best ``k`` of a, by comparing all.
 
-    ``looking`` has (grp, c1, c2, content, vector), ``stored`` (grp, c1, c2, sole,
-    vector).  The stored vectors go to the executors in slabs, one at a time.
+    ``looking`` has (c, g, content, vector), ``stored`` (c, g, sole, vector).
+    The stored vectors go to the executors in slabs, one at a time.
     """
     sc = looking.sparkSession.sparkContext
     slabs = max(1, -(-stored.count() // SLAB))
-    numbered = stored.withColumn("slab", F.pmod(F.xxhash64("c1", "c2"), F.lit(slabs)))
+    numbered = stored.withColumn("slab", F.pmod(F.xxhash64("c"), F.lit(slabs)))
     out = looking.sparkSession.createDataFrame([], _EXACT_SCHEMA)
     for s in range(slabs):
         slab = sc.broadcast(_pack(numbered.filter(F.col("slab") == s).drop("slab").toArrow().to_pandas()))
@@ -356,55 +386,75 @@ def _search(looking: DataFrame, stored: DataFrame, k: int, least: float) -> Data
 
 def _contents(src: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """Directions with each of their contents, to look from; one with more than ``k`` has its neighbours among its copies."""
-    several = classes.filter((F.col("contents") > 1) & (F.col("contents") <= k)).select("grp", "c1", "c2")
-    rows = src.mapInPandas(_name_rows, _ROW_SCHEMA).join(bounded_broadcast(several), ["grp", "c1", "c2"])
-    return classes.filter(F.col("contents") == 1).select("grp", "c1", "c2", "content").unionByName(rows.select("grp", "c1", "c2", F.coalesce("content_id", F.lit("")).alias("content")).distinct())
-
-
-def _sole(classes: DataFrame) -> DataFrame:
-    """Directions with their only content, null if they have several."""
-    return classes.select("grp", "c1", "c2", F.when(F.col("contents") == 1, F.col("content")).alias("sole"))
+    several = classes.filter((F.col("contents") > 1) & (F.col("contents") <= k)).select("c")
+    rows = src.mapInPandas(_name_rows, _NAMED_SCHEMA).join(bounded_broadcast(several), "c")
+    return classes.filter(F.col("contents") == 1).select("c", "content").unionByName(rows.select("c", F.coalesce("content_id", F.lit("")).alias("content")).distinct())
 
 
 def _crowded_pairs(src: DataFrame, classes: DataFrame, crowded: DataFrame, touching, k: int, least: float) -> DataFrame:
     """Pairs of which one vector lies in a crowded cell and the other lies in or probes one."""
-    cells = src.sparkSession.sparkContext.broadcast(np.sort(crowded.select("cell").distinct().toPandas()["cell"].to_numpy(dtype=np.int64).view(np.uint64)))
+    cells = src.sparkSession.sparkContext.broadcast(np.sort(crowded.toPandas()["cell"].to_numpy(dtype=np.int64).view(np.uint64)))
     rows = src.select("model", "vector").mapInPandas(touching(cells), _TOUCHING_SCHEMA)
-    rows = materialise(rows.groupBy("grp", "c1", "c2").agg(F.first("dense").alias("dense"), F.first("vector").alias("vector")))
-    looking = rows.drop("dense").join(_contents(src, classes, k), ["grp", "c1", "c2"])
-    stored = rows.filter("dense").drop("dense").join(_sole(classes), ["grp", "c1", "c2"])
-    return _search(looking, stored, k, least)
+    rows = materialise(rows.groupBy("c", "g").agg(F.first("dense").alias("dense"), F.first("vector").alias("vector")))
+    looking = rows.drop("dense").join(_contents(src, classes, k), "c")
+    # The only content of a direction, null if it has several.
+    sole = classes.select("c", F.when(F.col("contents") == 1, F.col("content")).alias("sole"))
+    return _search(looking, rows.filter("dense").drop("dense").join(sole, "c"), k, least)
 
 
 def _occupied(stored: DataFrame, n_cells: int) -> np.ndarray:
-    """Bit set of the occupied cells as 64-bit words, two bits for each; its length depends on the size of the collection only."""
+    """Bit set of the occupied cells as 64-bit words; its length depends on the number of cells only and is ``MAX_BITS`` at most."""
     bits = 1 << max(16, min(MAX_BITS.bit_length() - 1, (BITS_PER_CELL * max(n_cells, 1)).bit_length()))
-    places = F.array(F.col("cell"), F.shiftrightunsigned("cell", 32))
-    h = F.col("cell").bitwiseAND(F.lit(bits - 1))
     piece = min(PIECE, bits)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = np.unique(pdf["h"].to_numpy() % piece).astype(np.uint64)
+        cells = pdf["cell"].to_numpy(dtype=np.int64).view(np.uint64)
         words = np.zeros(piece // 64, np.uint64)
-        np.bitwise_or.at(words, (h >> np.uint64(6)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
-        return pd.DataFrame({"piece": [int(pdf["h"].iat[0]) // piece], "words": [words.tobytes()]})
+        for place in _places(cells, bits):
+            h = np.unique(place & np.uint64(piece - 1))
+            np.bitwise_or.at(words, (h >> np.uint64(6)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+        return pd.DataFrame({"piece": [int(cells[0] & np.uint64(bits - 1)) // piece], "words": [words.tobytes()]})
 
-    set_bits = stored.select(F.explode(places).alias("cell")).select(h.alias("h"))
-    got = set_bits.groupBy(F.floor(F.col("h") / piece).alias("p")).applyInPandas(pack, "piece long, words binary").toArrow()
+    at = F.col("cell").bitwiseAND(F.lit(bits - piece))
+    got = stored.select("cell").groupBy(at.alias("p")).applyInPandas(pack, "piece long, words binary").toArrow()
     out = np.zeros(bits // 64, np.uint64)
-    for at, words in zip(got["piece"].to_pylist(), got["words"].to_pylist()):
-        out[at * piece // 64 : (at + 1) * piece // 64] = np.frombuffer(words, np.uint64)
+    for n, words in zip(got["piece"].to_pylist(), got["words"].to_pylist()):
+        out[n * piece // 64 : (n + 1) * piece // 64] = np.frombuffer(words, np.uint64)
     return out
 
 
 def _stored_cells(classes: DataFrame, tables: int) -> tuple[DataFrame, DataFrame | None]:
-    """Each representative in its cell of every table, without the crowded cells; and these, None if there are none."""
+    """Each representative in its cell of every table (t), without the crowded cells; and these, None if there are none."""
     table_no = F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t")
-    at = classes.select("grp", "c1", "c2", "s1", "s2", "cells", table_no).withColumn("cell", F.element_at("cells", F.col("t") + 1)).drop("cells", "t")
-    crowded = materialise(at.groupBy("grp", "cell").count().filter(F.col("count") > HOT).select("grp", "cell"))
+    at = classes.select("c", "s1", "s2", "cells", table_no).withColumn("cell", F.element_at("cells", F.col("t") + 1)).drop("cells")
+    crowded = materialise(at.groupBy("cell").count().filter(F.col("count") > HOT).select("cell"))
     if crowded.isEmpty():
         return at, None
-    return at.join(bounded_broadcast(crowded), ["grp", "cell"], "left_anti").select("grp", "c1", "c2", "s1", "s2", "cell"), crowded
+    return at.join(bounded_broadcast(crowded), "cell", "left_anti"), crowded
+
+
+def _byte_pairs(least: float):
+    """Map function: pairs with their bytewise vectors to the pairs that may reach the cosine ``least``."""
+
+    def run(batches):
+        for pdf in batches:
+            size = pdf["va"].map(len)
+            for n, part in pdf.groupby(size, sort=False):
+                raw = [np.frombuffer(b"".join(part[x]), np.uint8).reshape(-1, n) for x in ("va", "vb")]
+                scale = [np.ascontiguousarray(x[:, :4]).view(np.float32)[:, 0] for x in raw]
+                a, b = (x[:, 4:].view(np.int8).astype(np.float32) for x in raw)
+                near = (a * b).sum(1) * scale[0] * scale[1] / 127**2 >= least - BYTE_SLACK
+                yield part.loc[near, ["a", "b"]]
+
+    return run
+
+
+def _with_key(batches):
+    """Fetched representatives whose vector has the key that was asked for."""
+    for pdf in batches:
+        for rows, g, v in _unit_groups(pdf):
+            same = _keys(g, v) == pdf["c"].to_numpy()[rows]
+            yield pdf.iloc[rows[same]][["c", "vector"]]
 
 
 def _exact(batches):
@@ -413,16 +463,14 @@ def _exact(batches):
         for x, y in zip(pdf["va"], pdf["vb"]):
             x, y = np.asarray(x, dtype=np.float64), np.asarray(y, dtype=np.float64)
             sims.append(float(x @ y / math.sqrt((x @ x) * (y @ y))))
-        yield pdf[["grp", "a1", "a2", "b1", "b2"]].assign(similarity=sims)
+        yield pdf[["a", "b"]].assign(similarity=sims)
 
 
 def _classes(rows: DataFrame, *more) -> DataFrame:
     """One row for each direction, with the number of its contents and the least of them."""
-    by = rows.withColumn("content", F.coalesce("content_id", F.lit(""))).groupBy("grp", "c1", "c2", "content").agg(F.min("embedding_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *more)
-    names = [c for c in by.columns if c not in ("grp", "c1", "c2", "content", "rep", "copies")]
-    once = by.groupBy("grp", "c1", "c2").agg(
-        *(F.first(c).alias(c) for c in names), F.min("rep").alias("rep"), F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("contents"), F.min("content").alias("content")
-    )
+    by = rows.withColumn("content", F.coalesce("content_id", F.lit(""))).groupBy("c", "g", "content").agg(F.min("embedding_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *more)
+    names = [c for c in by.columns if c not in ("c", "g", "content", "rep", "copies")]
+    once = by.groupBy("c", "g").agg(*(F.first(c).alias(c) for c in names), F.min("rep").alias("rep"), F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("contents"), F.min("content").alias("content"))
     return materialise(once)
 
 
@@ -431,81 +479,78 @@ def similar_vectors(
     k: int = 5,
     min_similarity: float | None = 0.85,
     tables: int | None = None,
-    probes: int = 1024,
+    probes: int | None = None,
     width: float = 2.2,
     functions_per_table: int | None = None,
     seed: int = 20240,
 ) -> DataFrame:
     """(embedding_id, neighbour_id, similarity, rank) of up to ``k`` neighbours at or above ``min_similarity``, of all if it is None.
 
-    ``tables`` and the sketch limit follow from ``min_similarity`` and the number
-    of vectors, see ``default_tables``.
+    ``tables``, ``probes`` and the sketch limit follow from ``min_similarity`` and
+    the number of vectors, see ``default_tables``.
     """
-    spark = vectors.sparkSession
     src = vectors.select("embedding_id", "content_id", "model", "vector").filter(F.size("vector") > 0)
     if min_similarity is None or min_similarity < LEAST_HASHED:
         return _all_compared(src, k, -2.0 if min_similarity is None else min_similarity)
     n = vectors.count()
     m = functions_per_table or default_functions(n)
+    probes = probes or default_probes(n)
     tables = tables or default_tables(m, width, probes, min_similarity)
 
     signed = src.mapInPandas(_sign(width, m, tables, seed), _SIGN_SCHEMA)
-    classes = _classes(signed, F.first("cells").alias("cells"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
+    classes = _classes(signed, *(F.first(x).alias(x) for x in ("cells", "s1", "s2", "bytes")))
     stored, crowded = _stored_cells(classes, tables)
-    bits = spark.sparkContext.broadcast(_occupied(stored, n * tables))
-    probing = src.select("model", "vector").mapInPandas(_probe(width, m, tables, probes, seed, bits), _PROBE_SCHEMA)
-    looking = probing.unionByName(stored.select("grp", "c1", "c2", "s1", "s2", "cell"))
-    b = stored.select("grp", "cell", F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-    other = (F.col("c1") != F.col("b1")) | (F.col("c2") != F.col("b2"))
-    near = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2"))) <= sketch_limit(min_similarity)
-    swap = (F.col("c1") > F.col("b1")) | ((F.col("c1") == F.col("b1")) & (F.col("c2") > F.col("b2")))
-    pairs = (
-        looking.join(b, ["grp", "cell"])
-        .filter(other & near)
-        .select(
-            "grp",
-            F.when(swap, F.col("b1")).otherwise(F.col("c1")).alias("a1"),
-            F.when(swap, F.col("b2")).otherwise(F.col("c2")).alias("a2"),
-            F.when(swap, F.col("c1")).otherwise(F.col("b1")).alias("b1"),
-            F.when(swap, F.col("c2")).otherwise(F.col("b2")).alias("b2"),
-        )
-        .distinct()
-    )
-    pairs = materialise(pairs)
-    ends = pairs.select("grp", F.col("a1").alias("c1"), F.col("a2").alias("c2")).unionByName(pairs.select("grp", F.col("b1").alias("c1"), F.col("b2").alias("c2"))).distinct()
-    wanted = bounded_broadcast(materialise(ends.join(classes.select("grp", "c1", "c2", "rep"), ["grp", "c1", "c2"])))
-    fetched = src.join(wanted, (src.embedding_id == wanted.rep) & (F.concat_ws(":", F.size("vector"), "model") == wanted.grp)).select("grp", "c1", "c2", "vector")
-    fetched = materialise(fetched.dropDuplicates(["grp", "c1", "c2"]))
-    va = fetched.select("grp", F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("vector").alias("va"))
-    vb = fetched.select("grp", F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("vector").alias("vb"))
-    exact = pairs.join(va, ["grp", "a1", "a2"]).join(vb, ["grp", "b1", "b2"]).mapInPandas(_exact, _EXACT_SCHEMA).filter(F.col("similarity") >= min_similarity)
+    passes = min(tables, -(-n * tables * BITS_PER_CELL // MAX_BITS)) or 1
+    pairs = None
+    for some in np.array_split(np.arange(tables), passes):
+        found_here = _candidates(src, stored, [int(t) for t in some], n, (width, m, probes, seed), sketch_limit(min_similarity))
+        pairs = found_here if pairs is None else pairs.unionByName(found_here)
+    pairs = pairs if passes == 1 else materialise(pairs.distinct())
+    exact = _verified(src, classes, pairs, min_similarity)
     if crowded is not None:
         dense = _crowded_pairs(src, classes, crowded, functools.partial(_touching, width, m, tables, probes, seed), k, min_similarity)
-        back = F.struct("a1", "a2") > F.struct("b1", "b2")
-        dense = dense.select("grp", *(F.when(back, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a1", "b1"), ("a2", "b2"), ("b1", "a1"), ("b2", "a2"))), "similarity")
-        exact = exact.unionByName(dense).groupBy("grp", "a1", "a2", "b1", "b2").agg(F.max("similarity").alias("similarity"))
-    exact = materialise(exact)
-    named = src.mapInPandas(_name_rows, _ROW_SCHEMA)
-    return _ranked(named, classes, exact, k)
+        dense = dense.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+        exact = exact.unionByName(dense).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    return _ranked(src.mapInPandas(_name_rows, _NAMED_SCHEMA), classes, materialise(exact), k)
+
+
+def _candidates(src: DataFrame, stored: DataFrame, tables: list[int], n: int, hashing: tuple, most: int) -> DataFrame:
+    """Pairs (a, b) of directions that meet in one of the tables and whose sketches differ in at most ``most`` bits."""
+    width, m, probes, seed = hashing
+    here = stored.filter(F.col("t").isin(tables)).drop("t").select("cell", "c", "s1", "s2")
+    bits = src.sparkSession.sparkContext.broadcast(_occupied(here, n * len(tables)))
+    probing = src.select("model", "vector").mapInPandas(_probe(width, m, tables, probes, seed, bits), _CELL_SCHEMA)
+    b = here.select("cell", F.col("c").alias("b"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
+    near = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2"))) <= most
+    met = probing.join(b, "cell").filter((F.col("c") != F.col("b")) & near).unionByName(here.join(b, "cell").filter((F.col("c") < F.col("b")) & near))
+    return materialise(met.select(F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b")).distinct())
+
+
+def _verified(src: DataFrame, classes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) of the pairs that reach the cosine ``least``, tested bytewise first and exactly then."""
+    side = lambda x: classes.select(F.col("c").alias(x), F.col("bytes").alias(f"v{x}"))
+    likely = materialise(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_byte_pairs(least), _PAIR_SCHEMA))
+    ends = likely.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    wanted = bounded_broadcast(materialise(ends.join(classes.select("c", F.col("rep").alias("embedding_id")), "c")))
+    fetched = src.join(wanted, "embedding_id").select("c", "model", "vector").mapInPandas(_with_key, "c long, vector array<float>")
+    fetched = materialise(fetched.dropDuplicates(["c"]))
+    va, vb = fetched.select(F.col("c").alias("a"), F.col("vector").alias("va")), fetched.select(F.col("c").alias("b"), F.col("vector").alias("vb"))
+    return likely.join(va, "a").join(vb, "b").mapInPandas(_exact, _EXACT_SCHEMA).filter(F.col("similarity") >= least)
 
 
 def _units(batches):
     for pdf in batches:
-        for dim, rows, v in _unit_groups(pdf):
-            c1, c2 = _class_keys(v)
-            yield pd.DataFrame({"grp": _group_names(pdf, rows, dim), "c1": c1, "c2": c2, "embedding_id": pdf["embedding_id"].to_numpy()[rows], "content_id": pdf["content_id"].to_numpy()[rows], "vector": list(pdf["vector"].to_numpy()[rows])})
+        for rows, g, v in _unit_groups(pdf):
+            yield pd.DataFrame({"c": _keys(g, v), "g": g.view(np.int64), "embedding_id": pdf["embedding_id"].to_numpy()[rows], "content_id": pdf["content_id"].to_numpy()[rows], "vector": list(pdf["vector"].to_numpy()[rows])})
 
 
 def _all_compared(src: DataFrame, k: int, least: float) -> DataFrame:
-    rows = src.mapInPandas(_units, T.StructType([*_ROW_SCHEMA.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
-    classes = _classes(rows, F.first("vector").alias("vector"))
-    vectors = classes.select("grp", "c1", "c2", "vector")
-    one = classes.filter(F.col("contents") == 1).select("grp", "c1", "c2", "content", "vector")
-    several = _contents(src, classes.filter(F.col("contents") > 1), k).join(vectors, ["grp", "c1", "c2"])
-    stored = classes.select("grp", "c1", "c2", F.when(F.col("contents") == 1, F.col("content")).alias("sole"), "vector")
+    classes = _classes(src.mapInPandas(_units, f"{_NAMED_SCHEMA}, vector array<float>"), F.first("vector").alias("vector"))
+    one = classes.filter(F.col("contents") == 1).select("c", "g", "content", "vector")
+    several = _contents(src, classes.filter(F.col("contents") > 1), k).join(classes.select("c", "g", "vector"), "c")
+    stored = classes.select("c", "g", F.when(F.col("contents") == 1, F.col("content")).alias("sole"), "vector")
     exact = _search(one.unionByName(several.select(*one.columns)), stored, k, least)
-    exact = exact.dropDuplicates(["grp", "a1", "a2", "b1", "b2"])
-    return _ranked(src.mapInPandas(_name_rows, _ROW_SCHEMA), classes, exact, k, directed=True)
+    return _ranked(src.mapInPandas(_name_rows, _NAMED_SCHEMA), classes, exact.dropDuplicates(["a", "b"]), k, directed=True)
 
 
 def _ranked(named: DataFrame, classes: DataFrame, exact: DataFrame, k: int, directed: bool = False) -> DataFrame:
@@ -516,21 +561,21 @@ def _ranked(named: DataFrame, classes: DataFrame, exact: DataFrame, k: int, dire
     """
     from pyspark.sql import Window as W
 
-    both = exact if directed else exact.unionByName(exact.select("grp", F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2"), "similarity"))
-    own = classes.filter(F.col("copies") > 1).select("grp", F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.lit(1.0).alias("similarity"))
+    both = exact if directed else exact.unionByName(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    own = classes.filter(F.col("copies") > 1).select(F.col("c").alias("a"), F.col("c").alias("b"), F.lit(1.0).alias("similarity"))
     links = both.unionByName(own)
-    rows = named.select("grp", "c1", "c2", F.coalesce("content_id", F.lit("")).alias("content"), "embedding_id")
-    linked = bounded_broadcast(materialise(links.select("grp", F.col("a1").alias("c1"), F.col("a2").alias("c2")).distinct()))
-    rows = materialise(rows.join(linked, ["grp", "c1", "c2"], "left_semi").distinct())
-    heads = rows.withColumn("r", F.row_number().over(W.partitionBy("grp", "c1", "c2", "content").orderBy("embedding_id"))).filter(F.col("r") <= k)
-    first = heads.filter(F.col("r") == 1).withColumn("q", F.row_number().over(W.partitionBy("grp", "c1", "c2").orderBy("embedding_id"))).filter(F.col("q") <= k + 1)
-    kept = heads.join(first.select("grp", "c1", "c2", "content"), ["grp", "c1", "c2", "content"], "left_semi")
-    targets = kept.select("grp", F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("content").alias("to"), F.col("embedding_id").alias("neighbour_id"))
-    groups = rows.select("grp", F.col("c1").alias("a1"), F.col("c2").alias("a2"), "content").distinct()
-    options = links.join(groups, ["grp", "a1", "a2"]).join(targets, ["grp", "b1", "b2"]).filter(F.col("content") != F.col("to"))
-    best = options.withColumn("rank", F.row_number().over(W.partitionBy("grp", "a1", "a2", "content").orderBy(F.desc("similarity"), "neighbour_id"))).filter(F.col("rank") <= k)
-    best = best.select("grp", F.col("a1").alias("c1"), F.col("a2").alias("c2"), "content", "neighbour_id", "similarity", "rank")
-    return rows.join(best, ["grp", "c1", "c2", "content"]).select("embedding_id", "neighbour_id", "similarity", "rank")
+    rows = named.select("c", F.coalesce("content_id", F.lit("")).alias("content"), "embedding_id")
+    linked = bounded_broadcast(materialise(links.select(F.col("a").alias("c")).distinct()))
+    rows = materialise(rows.join(linked, "c", "left_semi").distinct())
+    heads = rows.withColumn("r", F.row_number().over(W.partitionBy("c", "content").orderBy("embedding_id"))).filter(F.col("r") <= k)
+    first = heads.filter(F.col("r") == 1).withColumn("q", F.row_number().over(W.partitionBy("c").orderBy("embedding_id"))).filter(F.col("q") <= k + 1)
+    kept = heads.join(first.select("c", "content"), ["c", "content"], "left_semi")
+    targets = kept.select(F.col("c").alias("b"), F.col("content").alias("to"), F.col("embedding_id").alias("neighbour_id"))
+    groups = rows.select(F.col("c").alias("a"), "content").distinct()
+    options = links.join(groups, "a").join(targets, "b").filter(F.col("content") != F.col("to"))
+    best = options.withColumn("rank", F.row_number().over(W.partitionBy("a", "content").orderBy(F.desc("similarity"), "neighbour_id"))).filter(F.col("rank") <= k)
+    best = best.select(F.col("a").alias("c"), "content", "neighbour_id", "similarity", "rank")
+    return rows.join(best, ["c", "content"]).select("embedding_id", "neighbour_id", "similarity", "rank")
 
 
 def found(vectors: DataFrame, k: int = 5, min_similarity: float = 0.85) -> DataFrame:

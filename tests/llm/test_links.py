@@ -101,7 +101,17 @@ def test_crowded_cells_are_split(spark, monkeypatch):
     rows = [(f"e{i:04d}", f"c{i}", "m", base + 0.02 * rng.standard_normal(32)) for i in range(150)]
     df = spark.createDataFrame([(a, c, m, [float(x) for x in v]) for a, c, m, v in rows], "embedding_id string, content_id string, model string, vector array<float>")
     got = {tuple(r) for r in similar_vectors.found(df).collect()}
-    assert len(got & brute(rows, 5, 0.85)) >= 0.6 * len(got) and len({x for p in got for x in p}) == 150
+    want = brute_by_product(rows, 5, 0.85)
+    assert len(got & want) >= 0.97 * len(want) and len(got & want) >= 0.97 * len(got)
+
+
+def test_tables_are_searched_in_passes_where_the_bit_set_is_too_small(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(f"e{i:04d}", f"c{i}", "m", rng.standard_normal(32)) for i in range(500)]
+    rows += [(f"n{i:04d}", f"d{i}", None if i % 2 else "m", rows[i][3] + 0.3 * rng.standard_normal(32)) for i in range(200)]
+    whole = {tuple(r) for r in similar_vectors.found(vector_rows(spark, rows)).collect()}
+    monkeypatch.setattr(similar_vectors, "MAX_BITS", 1 << 16)
+    assert {tuple(r) for r in similar_vectors.found(vector_rows(spark, rows)).collect()} == whole
 
 
 def test_empty_vectors(spark):
@@ -150,10 +160,11 @@ def test_modelled_recall_holds_at_every_size():
     y = 0.85 * x + np.sqrt(1 - 0.85**2) * z / np.linalg.norm(z, axis=1)[:, None]
     for n in (14_000, 140_000, 1_400_000):
         m = similar_vectors.default_functions(n)
-        tables = given["tables"] or similar_vectors.default_tables(m, given["width"], given["probes"], 0.85)
+        probes = given["probes"] or similar_vectors.default_probes(n)
+        tables = given["tables"] or similar_vectors.default_tables(m, given["width"], probes, 0.85)
         met = np.zeros(1000, bool)
         for t in range(tables):
-            a, b = (similar_vectors._with_probes(*similar_vectors._cells(v.astype(np.float32), m, t, given["width"], 20240), given["probes"]) for v in (x, y))
+            a, b = (similar_vectors._with_probes(*similar_vectors._cells(v.astype(np.float32), m, t, given["width"], 20240), probes) for v in (x, y))
             met |= (a == b[0]).any(0) | (b == a[0]).any(0)
         assert met.mean() >= 0.9, (n, met.mean())
 
