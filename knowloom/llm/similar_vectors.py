@@ -18,7 +18,7 @@ Scale
 * A direction and its group (model and length) are one 64-bit key, a cell with
   its group another; a row of a table is 32 bytes.
 * Probes are tested against a bit set of the occupied cells before they are
-  shuffled, so only cells that exist travel.  The set has ``MAX_BITS`` at most;
+  shuffled, so only cells that exist travel.  The set has ``bit_sets.MAX_BITS`` at most;
   where all tables would need more, the tables are searched in several passes.
 * Vectors are shuffled for pairs only that pass the sketch and the bytewise
   comparison.
@@ -53,6 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from knowloom.llm import bit_sets
 from knowloom.session import bounded_broadcast, materialise
 
 HOT = 256
@@ -62,10 +63,6 @@ PRODUCT = 1 << 23
 #: Single precision may move a cosine by so much, bytewise vectors by so much.
 SLACK = 1e-5
 BYTE_SLACK = 0.02
-MAX_BITS = 1 << 29
-BITS_PER_CELL = 48
-#: Bits that one task packs, so that the driver receives whole pieces of the set and no rows of words.
-PIECE = 1 << 20
 #: Below this cosine, or without a limit, all vectors are compared: hashing tells near from far no longer.
 LEAST_HASHED = 0.8
 #: Part of the pairs at the least similarity that the tables are to find, by the model of ``hit_rate``.
@@ -183,29 +180,9 @@ def _with_probes(own: np.ndarray, frac: np.ndarray, r: np.ndarray, count: int) -
     return out
 
 
-def _places(cell: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The three bits of a cell, all in one piece of the set."""
-    piece = min(PIECE, bits)
-    base = cell & np.uint64(bits - piece)
-    low = np.uint64(piece - 1)
-    return [base | (x & low) for x in (cell, cell >> np.uint64(29), cell >> np.uint64(44))]
-
-
-def _is_set(words: np.ndarray, places: np.ndarray) -> np.ndarray:
-    w = words.take((places >> np.uint64(6)).view(np.int64))
-    w >>= places & np.uint64(63)
-    w &= np.uint64(1)
-    return w
-
-
 def _occupied_of(words: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(probe number, column) of the probes whose cell is occupied."""
-    flat = p.ravel()
-    bits = len(words) * 64
-    at = np.flatnonzero(_is_set(words, flat & np.uint64(bits - 1)))
-    for k in (1, 2):
-        at = at[_is_set(words, _places(flat[at], bits)[k]) > 0]
-    return np.divmod(at, p.shape[1])
+    return np.divmod(bit_sets.members(words, p.ravel()), p.shape[1])
 
 
 def _unit_groups(pdf: pd.DataFrame):
@@ -402,27 +379,6 @@ def _crowded_pairs(src: DataFrame, classes: DataFrame, crowded: DataFrame, touch
     return _search(looking, rows.filter("dense").drop("dense").join(sole, "c"), k, least)
 
 
-def _occupied(stored: DataFrame, n_cells: int) -> np.ndarray:
-    """Bit set of the occupied cells as 64-bit words; its length depends on the number of cells only and is ``MAX_BITS`` at most."""
-    bits = 1 << max(16, min(MAX_BITS.bit_length() - 1, (BITS_PER_CELL * max(n_cells, 1)).bit_length()))
-    piece = min(PIECE, bits)
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        cells = pdf["cell"].to_numpy(dtype=np.int64).view(np.uint64)
-        words = np.zeros(piece // 64, np.uint64)
-        for place in _places(cells, bits):
-            h = np.unique(place & np.uint64(piece - 1))
-            np.bitwise_or.at(words, (h >> np.uint64(6)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
-        return pd.DataFrame({"piece": [int(cells[0] & np.uint64(bits - 1)) // piece], "words": [words.tobytes()]})
-
-    at = F.col("cell").bitwiseAND(F.lit(bits - piece))
-    got = stored.select("cell").groupBy(at.alias("p")).applyInPandas(pack, "piece long, words binary").toArrow()
-    out = np.zeros(bits // 64, np.uint64)
-    for n, words in zip(got["piece"].to_pylist(), got["words"].to_pylist()):
-        out[n * piece // 64 : (n + 1) * piece // 64] = np.frombuffer(words, np.uint64)
-    return out
-
-
 def _stored_cells(classes: DataFrame, tables: int) -> tuple[DataFrame, DataFrame | None]:
     """Each representative in its cell of every table (t), without the crowded cells; and these, None if there are none."""
     table_no = F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t")
@@ -500,7 +456,7 @@ def similar_vectors(
     signed = src.mapInPandas(_sign(width, m, tables, seed), _SIGN_SCHEMA)
     classes = _classes(signed, *(F.first(x).alias(x) for x in ("cells", "s1", "s2", "bytes")))
     stored, crowded = _stored_cells(classes, tables)
-    passes = min(tables, -(-n * tables * BITS_PER_CELL // MAX_BITS)) or 1
+    passes = min(tables, -(-n * tables * bit_sets.BITS_PER_HASH // bit_sets.MAX_BITS)) or 1
     pairs = None
     for some in np.array_split(np.arange(tables), passes):
         found_here = _candidates(src, stored, [int(t) for t in some], n, (width, m, probes, seed), sketch_limit(min_similarity))
@@ -518,7 +474,7 @@ def _candidates(src: DataFrame, stored: DataFrame, tables: list[int], n: int, ha
     """Pairs (a, b) of directions that meet in one of the tables and whose sketches differ in at most ``most`` bits."""
     width, m, probes, seed = hashing
     here = stored.filter(F.col("t").isin(tables)).drop("t").select("cell", "c", "s1", "s2")
-    bits = src.sparkSession.sparkContext.broadcast(_occupied(here, n * len(tables)))
+    bits = src.sparkSession.sparkContext.broadcast(bit_sets.bit_set(here.select("cell"), n * len(tables)))
     probing = src.select("model", "vector").mapInPandas(_probe(width, m, tables, probes, seed, bits), _CELL_SCHEMA)
     b = here.select("cell", F.col("c").alias("b"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
     near = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2"))) <= most

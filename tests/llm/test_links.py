@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from knowloom.llm import name_links, similar_vectors
+from knowloom.llm import bit_sets, name_links, similar_vectors
 
 # Names -----------------------------------------------------------------------
 
@@ -110,7 +110,7 @@ def test_tables_are_searched_in_passes_where_the_bit_set_is_too_small(spark, mon
     rows = [(f"e{i:04d}", f"c{i}", "m", rng.standard_normal(32)) for i in range(500)]
     rows += [(f"n{i:04d}", f"d{i}", None if i % 2 else "m", rows[i][3] + 0.3 * rng.standard_normal(32)) for i in range(200)]
     whole = {tuple(r) for r in similar_vectors.found(vector_rows(spark, rows)).collect()}
-    monkeypatch.setattr(similar_vectors, "MAX_BITS", 1 << 16)
+    monkeypatch.setattr(bit_sets, "MAX_BITS", 1 << 16)
     assert {tuple(r) for r in similar_vectors.found(vector_rows(spark, rows)).collect()} == whole
 
 

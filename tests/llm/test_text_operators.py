@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from knowloom.llm import eval_leaks, garbled_text, mail_spans, mixing, personal_data, splitting
+from knowloom.llm import bit_sets, eval_leaks, garbled_text, mail_spans, mixing, personal_data, splitting
 
 # Mail spans ------------------------------------------------------------------
 
@@ -231,6 +231,19 @@ def test_leaks(spark):
     assert eval_leaks.found(d.filter("false"), i).count() == 0 and eval_leaks.found(d, i.filter("false")).count() == 0
 
 
+def test_a_full_vocabulary_loses_no_leak(spark, monkeypatch):
+    filler = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}" for i in range(3000))
+    docs = [(1, filler[:200] + " " + ITEM), (2, "12 13 " * 40), (3, ITEM.replace("41", "17"))]
+    items = [(10, ITEM), (11, filler), (12, "12 13 " * 30), (13, "14 15 " * 30)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_leaks(docs, items)
+    assert {tuple(r) for r in eval_leaks.found(d, i).collect()} == want
+    kinds = {tuple(r) for r in eval_leaks.leaks(d, i).select("doc_id", "item_id", "kind").collect()}
+    assert (3, 10, "reparameterised") in kinds and not any(doc == 2 and item == 13 for doc, item, _ in kinds)
+    monkeypatch.setattr(bit_sets, "bits_for", lambda n, most=None: 1 << 10)
+    assert {tuple(r) for r in eval_leaks.found(d, i).collect()} == want
+
+
 # Mixing ----------------------------------------------------------------------
 
 
