@@ -120,8 +120,15 @@ def _decode_spans(text: str, page: str) -> str:
 
 
 @functools.lru_cache(maxsize=1)
-def _odd() -> re.Pattern:
-    """Places where a word holds a character that no script puts there."""
+def _may_hold_spans() -> re.Pattern:
+    """A first byte and a next byte of a sequence on any page: texts without such a pair hold no span."""
+    classes = ("".join(dict.fromkeys(c for page in SEEN_AS for c, b in byte_of_char(page).items() if low <= b <= high)) for low, high in ((0xC2, 0xF4), (0x80, 0xBF)))
+    return re.compile("".join(f"[{re.escape(c)}]" for c in classes))
+
+
+@functools.lru_cache(maxsize=1)
+def _odd() -> tuple[re.Pattern, re.Pattern]:
+    """Characters that may be out of place, and the places, from such a character on, where no script writes it."""
     symbols, capitals, foreign = set(), set(), set()
     for page in ("mac_roman", "cp437", "cp850", "cp1251", "cp1252"):
         for ch in char_of_byte(page).values():
@@ -134,21 +141,26 @@ def _odd() -> re.Pattern:
                 symbols.add(ch)
     foreign |= {"\ufb01", "\ufb02"}
     foreign.discard("μ")
+    symbols.discard("·")
     small = "a-zß-öø-ÿœšž"
-    sym = re.escape("".join(sorted(symbols - {"·"})))
-    up = re.escape("".join(sorted(capitals)))
-    far = re.escape("".join(sorted(foreign)))
-    return re.compile(
-        f"[A-Za-z{small}][{sym}]+[A-Za-z{small}]"
+    sym, up, far = (re.escape("".join(sorted(x))) for x in (symbols, capitals, foreign))
+    places = re.compile(
+        f"(?<=[A-Za-z{small}])[{sym}]+[A-Za-z{small}]"
         f"|(?<![lL])(?<=[{small}])·(?=[{small}])"
-        f"|[{small}][{up}](?![A-Z{up}])"
-        f"|[A-Za-z][{far}]+[a-z]"
-        f"|[a-z]{{2}}[{far}]+(?!\\w)"
+        f"|(?<=[{small}])[{up}](?![A-Z{up}])"
+        f"|(?<=[A-Za-z])[{far}]+[a-z]"
+        f"|(?<=[a-z][a-z])[{far}]+(?!\\w)"
         f"|(?<!\\w)[{far}]+[a-z]{{2}}"
-        f"|\\d\\s?[ÄÇЂ](?!\\w)"
-        f"|\\d\\s[╡Á](?=m|g\\b|l\\b|L\\b|IU)"
-        f"|(?<!\\w)ì\\w[\\w ]*î(?!\\w)|(?<!\\w)ô\\w[\\w ]*ö(?!\\w)|(?<!\\w)Ò\\w[\\w ]*Ó(?!\\w)"
+        f"|(?:(?<=\\d)|(?<=\\d\\s))(?:[ÄÇЂ](?!\\w)|[╡Á](?=m|g\\b|l\\b|L\\b|IU))"
+        f"|(?<!\\w)(?:ì\\w[\\w ]*î|ô\\w[\\w ]*ö|Ò\\w[\\w ]*Ó)(?!\\w)"
     )
+    return re.compile("[" + re.escape("".join(sorted(symbols | capitals | foreign | set("·ìôÒ╡")))) + "]"), places
+
+
+def _is_odd(text: str) -> bool:
+    """Does a word of the text hold a character that no script puts there?"""
+    suspects, places = _odd()
+    return any(places.match(text, m.start()) for m in suspects.finditer(text))
 
 
 @functools.lru_cache(maxsize=16)
@@ -166,7 +178,7 @@ def _regular(word: str) -> bool:
             continue
         if not unicodedata.name(ch, "").startswith("LATIN"):
             return False
-    return _odd().search(word) is None
+    return not _is_odd(word)
 
 
 _WORDS = re.compile(r"\S*[^\x00-\x7f]\S*")
@@ -175,11 +187,11 @@ _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]*")
 
 def _exchange(text: str) -> str:
     """The text with garbled sentences converted by the best pair of code pages, or the text itself."""
-    if _odd().search(text) is None:
+    if not _is_odd(text):
         return text
     out = []
     for sentence in _SENTENCE.findall(text):
-        if not sentence or _odd().search(sentence) is None:
+        if not sentence or not _is_odd(sentence):
             out.append(sentence)
             continue
         best, score = sentence, 0
@@ -190,7 +202,7 @@ def _exchange(text: str) -> str:
                 continue
             new = sentence.translate(table)
             new_words = [w.translate(table) for w in words]
-            if _CONTROLS.search(new) or _odd().search(new):
+            if _CONTROLS.search(new) or _is_odd(new):
                 continue
             good = sum(_regular(w) for w in new_words)
             if good == len(words) and good > score:
@@ -206,6 +218,8 @@ def repair(text: str | None) -> tuple[str, str | None, bool] | None:
     kind, now = None, text
     for _ in range(PASSES):
         before = now
+        if not _may_hold_spans().search(now):
+            break
         for page in SEEN_AS:
             now = _decode_spans(now, page)
         if now == before:
@@ -221,8 +235,7 @@ def repair(text: str | None) -> tuple[str, str | None, bool] | None:
         now = _CONTROLS.sub(lambda m: char_of_byte("cp1252")[ord(m[0])], now)
     lost = "\ufffd" in text
     # Irregular words that no pair of code pages explains are reported, not restored.
-    odd = _odd().search(after) is not None
-    if lost or odd:
+    if lost or _is_odd(after):
         return (kind or ("lost" if lost else "page"), now if now != text else None, False)
     return (kind, now, True) if kind else None
 
