@@ -8,11 +8,17 @@ distribution has the target mean, and a target mean at the cap repeats every
 document exactly that often.  Copies are exploded and spread by a hash of
 document and copy number, which is a global shuffle.
 
+Documents differ in size, so the tokens of one draw miss their mean, in small
+sources by much.  The variates of a source may be turned round the unit circle
+without changing their distribution: of ``TURNS`` turns each source takes the
+one whose tokens come nearest to its target.
+
 The size of the mix is the largest for which every present source can reach its
 share under its cap, or ``total_tokens`` if given; then sources at their cap
 fall short, and the report shows it.
 
-Sizes are tokens of a public tokenizer, whose vocabulary file is a parameter.
+Sizes are tokens of a public tokenizer, whose vocabulary file is a parameter; the
+driver reads it and hands it to the workers.
 The first pass counts tokens and leaves one narrow row per document; rates are
 solved from one row per source.
 
@@ -35,33 +41,36 @@ import functools
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from knowloom.session import materialise
+from knowloom.session import bounded_broadcast, materialise
 
-#: Vocabulary of the default tokenizer; copied nowhere, read by every worker.
+#: Vocabulary of the default tokenizer.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Turns of the variates that a source chooses from.
+TURNS = 16
 # Fixed value: split pattern of byte-level BPE vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @functools.lru_cache(maxsize=4)
-def _encoding(path: str):
+def _encoding(vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counter(path: str = TOKENIZER):
+def token_counter(spark: SparkSession, path: str = TOKENIZER):
     """Column function: number of tokens of a text."""
+    with open(path, "rb") as f:
+        vocabulary = spark.sparkContext.broadcast(f.read())
 
     @F.pandas_udf(T.LongType())
     def count(texts: pd.Series) -> pd.Series:
-        enc = _encoding(path)
+        enc = _encoding(vocabulary.value)
         return pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
 
     return count
@@ -134,46 +143,50 @@ class Mix:
 
     def __init__(self, documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: int = 9, total_tokens: int | None = None):
         self.documents, self.seed = documents, seed
-        count = token_counter(tokenizer)
+        spark = documents.sparkSession
+        count = token_counter(spark, tokenizer)
         self.counted = materialise(documents.select("doc_id", source_key(F.col("source")).alias("source"), count("text").alias("tokens")))
-        self.sizes = self.counted.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
-        # One row per source: a target source, or one of the few other spellings summed as one.
-        named = self.sizes.join(F.broadcast(targets.select(source_key(F.col("source")).alias("source")).distinct()), "source", "left_semi")
-        self.targets = {r["s"]: (r["target_share"], r["max_repeats"]) for r in targets.select(source_key(F.col("source")).alias("s"), "target_share", "max_repeats").collect()}
-        self.plan = plan({r["source"]: r["tokens"] for r in named.collect()}, self.targets, total_tokens)
         self.target_table = targets.select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats")
-
-    def repeats(self, doc_id: Column, source: Column, tokens_or_text: Column) -> Column:
-        """Number of copies of a document."""
-        u = uniform(F.lit(self.seed), doc_id)
-        n = F.lit(0)
-        for s, (_, steps) in self.plan.items():
-            k = F.lit(0)
-            for t in steps:
-                k = k + (u >= F.lit(t)).cast("int")
-            n = F.when(source == s, k).otherwise(n)
-        return F.when(tokens_or_text, n).otherwise(0)
+        # One row per target source.
+        named = self.counted.join(bounded_broadcast(self.target_table.select("source").distinct()), "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("tokens"))
+        sizes = {r["source"]: r["tokens"] for r in named.collect()}
+        self.targets = {r["source"]: (r["target_share"], r["max_repeats"]) for r in self.target_table.collect()}
+        self.plan = plan(sizes, self.targets, total_tokens)
+        rows = [(s, float(mean), [float(t) for t in steps], mean * sizes[s]) for s, (mean, steps) in self.plan.items()]
+        table = spark.createDataFrame(rows, "source string, mean double, steps array<double>, wanted double")
+        self.draws = bounded_broadcast(materialise(self._turned(table)))
+
+    def _turned(self, table: DataFrame) -> DataFrame:
+        """The plan with the best turn of every source."""
+        turns = F.explode(F.array(*(F.lit(i / TURNS) for i in range(TURNS)))).alias("turn")
+        drawn = self.counted.filter(F.col("tokens") > 0).join(bounded_broadcast(table), "source").select("*", turns)
+        reached = drawn.groupBy("source", "turn").agg(F.sum(F.col("tokens") * self._copies()).alias("reached"))
+        best = reached.join(bounded_broadcast(table), "source").groupBy("source").agg(F.min_by("turn", F.struct(F.abs(F.col("reached") - F.col("wanted")), "turn")).alias("turn"))
+        return table.join(best, "source").select("source", "mean", "steps", "turn")
+
+    def _copies(self) -> Column:
+        """Number of copies of a row with doc_id, steps and turn."""
+        u = uniform(F.lit(self.seed), F.col("doc_id")) + F.col("turn")
+        u = F.when(u >= 1, u - 1).otherwise(u)
+        return F.aggregate("steps", F.lit(0), lambda n, t: n + (u >= t).cast("int"))
 
     def mixed(self) -> DataFrame:
         """doc_id, copy, source, text and shuffle_key, in the order of the shuffle inside each partition."""
-        key = source_key(F.col("source"))
-        d = self.documents.select("doc_id", key.alias("source"), "text")
-        d = d.withColumn("n", self.repeats(F.col("doc_id"), F.col("source"), F.length("text") > 0)).filter(F.col("n") > 0)
-        d = d.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n")
+        d = self.documents.select("doc_id", source_key(F.col("source")).alias("source"), "text").filter(F.length("text") > 0)
+        d = d.join(self.draws, "source").withColumn("n", self._copies()).filter(F.col("n") > 0)
+        d = d.select("doc_id", "source", "text", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
         d = d.withColumn("shuffle_key", F.xxhash64(F.lit(self.seed), F.lit("shuffle"), "doc_id", "copy"))
         return d.repartition("shuffle_key").sortWithinPartitions("shuffle_key").select("doc_id", "copy", "source", "text", "shuffle_key")
 
     def report(self) -> DataFrame:
         """Target and actual share of every source of the corpus and the targets."""
-        n = self.repeats(F.col("doc_id"), F.col("source"), F.col("tokens") > 0)
-        got = self.counted.withColumn("n", n).groupBy("source").agg(
-            F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("corpus_tokens"), F.sum(F.col("tokens") * F.col("n")).alias("mixed_tokens"), F.max("n").alias("largest_repeat")
+        n = F.when(F.col("tokens") > 0, F.coalesce(self._copies(), F.lit(0))).otherwise(0)
+        got = self.counted.join(self.draws, "source", "left").withColumn("n", n).groupBy("source").agg(
+            F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("corpus_tokens"), F.sum(F.col("tokens") * F.col("n")).alias("mixed_tokens"), F.max("n").alias("largest_repeat"), F.max("mean").alias("mean")
         )
+        got = materialise(got)
         total = F.lit(got.agg(F.sum("mixed_tokens")).first()[0]).cast("double")
         both = self.target_table.join(got, "source", "full")
-        means = F.lit(None).cast("double")
-        for s, (mean, _) in self.plan.items():
-            means = F.when(F.col("source") == s, F.lit(mean)).otherwise(means)
         return both.select(
             "source",
             F.coalesce("target_share", F.lit(0.0)).alias("target_share"),
@@ -182,6 +195,6 @@ class Mix:
             F.coalesce("corpus_tokens", F.lit(0)).alias("corpus_tokens"),
             F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"),
             F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"),
-            F.coalesce(means, F.lit(0.0)).alias("mean_repeats"),
+            F.coalesce("mean", F.lit(0.0)).alias("mean_repeats"),
             F.coalesce("largest_repeat", F.lit(0)).alias("largest_repeat"),
         )

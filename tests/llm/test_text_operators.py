@@ -268,6 +268,18 @@ def test_mix(spark):
     assert mixing.Mix(d.filter("false"), t).mixed().count() == 0
 
 
+def test_reached_shares_of_documents_of_unlike_sizes(spark):
+    import random
+
+    rng = random.Random(3)
+    docs = [(i, "word " * int(3 * 1.02 ** rng.randrange(0, 300)), f"s{i % 5}") for i in range(1500)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    t = spark.createDataFrame([("s0", 0.1, 2), ("s1", 0.15, 2), ("s2", 0.2, 3), ("s3", 0.25, 3), ("s4", 0.3, 4)], "source string, target_share double, max_repeats int")
+    rep = mixing.Mix(d, t).report().collect()
+    assert all(abs(r.actual_share - r.target_share) < 0.01 for r in rep), rep
+    assert all(r.largest_repeat <= r.max_repeats for r in rep)
+
+
 # Garbled text ----------------------------------------------------------------
 
 CLEAN = "Überprüfung für 20 € – “schöne” Grüße, São 34 páginas, crème brûlée"
