@@ -16,7 +16,10 @@ Defined results
   also when the locale is missing: day first);
 * a local time in a daylight-saving overlap is the earlier instant, one in a
   gap is read with the offset before the gap;
-* fractions of a second are dropped, missing seconds are 00.
+* fractions of a second are dropped, missing seconds are 00;
+* years 1 to 9999; local times outside the years of the transition tables
+  are converted one by one, by the same rules;
+* a value of more than ``MOST_TOKENS`` words, numbers and signs names no date.
 """
 
 from __future__ import annotations
@@ -61,7 +64,9 @@ _DAYS = set(_WEEKDAYS.split()) | {w[:3] for w in _WEEKDAYS.split()} | {"tues", "
 
 _TOKEN = re.compile(r"\d+|[^\W\d_]+|\s+|.", re.S)
 _MERIDIEM = re.compile(r"(?i)(?<![^\W_])([ap])\.\s?m\b\.?")
+#: Years of the transition tables.
 FIRST_YEAR, LAST_YEAR = 1900, 2100
+MOST_TOKENS = 200
 
 
 def _role(word: str) -> str:
@@ -184,17 +189,36 @@ def plan_for(mask: str) -> dict[str, int] | None:
 
 @functools.lru_cache(maxsize=1)
 def zone_table_version() -> str:
-    """Version of the zone database the transition tables are built from."""
+    """Version of the zone files that this process builds its tables from: those of the system where there are any, else the package's."""
+    import hashlib
+    import zoneinfo
+    from pathlib import Path
+
+    for folder in map(Path, zoneinfo.TZPATH):
+        if not (folder / "Europe").is_dir():
+            continue
+        for name in ("tzdata.zi", "+VERSION"):
+            if (folder / name).is_file():
+                with open(folder / name, encoding="utf-8") as f:
+                    return "system " + f.readline().strip("# \n").removeprefix("version ")
+        digest = hashlib.sha1(b"".join(p.read_bytes() for p in sorted((folder / "Europe").iterdir()) if p.is_file()))
+        return f"system files {digest.hexdigest()[:12]}"
     try:
         import tzdata
 
-        return f"tzdata {tzdata.IANA_VERSION}"
+        return f"package {tzdata.IANA_VERSION}"
     except ImportError:
-        try:
-            with open("/usr/share/zoneinfo/tzdata.zi", encoding="utf-8") as f:
-                return f.readline().strip("# \n")
-        except OSError:
-            return "system"
+        return "none"
+
+
+def _local_offset(second: int, zone: str) -> int | None:
+    """Offset of a local time of any year, in seconds."""
+    from zoneinfo import ZoneInfo
+
+    try:
+        return int((datetime(1970, 1, 1) + timedelta(seconds=second)).replace(tzinfo=ZoneInfo(zone)).utcoffset().total_seconds())
+    except Exception:
+        return None
 
 
 @functools.lru_cache(maxsize=1024)
@@ -258,7 +282,7 @@ def _convert(plan: dict[str, int], tokens: list[list[str]], zones: np.ndarray, m
         else:
             mo = np.array([_MONTH_NO[t[plan["mn"]].lower()] for t in tokens]) if "mn" in plan else _ints(tokens, plan["m"])
             d = _ints(tokens, plan["d"])
-    ok = (mo >= 1) & (mo <= 12) & (d >= 1) & (y >= FIRST_YEAR) & (y < LAST_YEAR)
+    ok = (mo >= 1) & (mo <= 12) & (d >= 1) & (y >= 1) & (y <= 9999)
     month = ((np.where(ok, y, 2000) - 1970) * 12 + np.where(ok, mo, 1) - 1).astype("datetime64[M]")
     day = month.astype("datetime64[D]") + np.where(ok, d - 1, 0)
     ok &= day.astype("datetime64[M]") == month
@@ -296,6 +320,12 @@ def _convert(plan: dict[str, int], tokens: list[list[str]], zones: np.ndarray, m
                 ok &= ~at
             else:
                 o[at] = tab[1][np.searchsorted(tab[0], local[at], side="right")]
+                for i in np.nonzero(at & ok & ((y <= FIRST_YEAR) | (y >= LAST_YEAR)))[0]:
+                    own = _local_offset(int(local[i]), z)
+                    if own is None:
+                        ok[i] = False
+                    else:
+                        o[i] = own
     text = np.datetime_as_string((local - o).astype("datetime64[s]"))
     return np.where(ok, np.char.add(text, "Z"), "").astype(object), np.ones(n, bool)
 
@@ -306,8 +336,10 @@ def normalise_values(raw: pd.Series, zone: pd.Series, locale: pd.Series) -> pd.S
     groups: dict[str, list[int]] = {}
     tokens: dict[int, list[str]] = {}
     for i, s in enumerate(raw.array):
-        if isinstance(s, str) and s and len(s) <= 200:
+        if isinstance(s, str) and s:
             mask, t = shape_mask(s)
+            if len(t) > MOST_TOKENS:
+                continue
             groups.setdefault(mask, []).append(i)
             tokens[i] = t
     zones = zone.fillna("").to_numpy(dtype=object)
@@ -327,6 +359,11 @@ def _normal_form(raw: pd.Series, zone: pd.Series, locale: pd.Series) -> pd.Serie
     return normalise_values(raw, zone, locale)
 
 
+@F.pandas_udf(T.StringType())
+def _zone_version(ids: pd.Series) -> pd.Series:
+    return pd.Series([zone_table_version()] * len(ids), dtype=object)
+
+
 def normal_form(raw: Column, zone: Column, locale: Column) -> Column:
     """Column of normal forms (``yyyy-MM-dd`` or ``yyyy-MM-ddTHH:mm:ssZ``), null where unresolvable."""
     return _normal_form(raw, zone, locale)
@@ -335,11 +372,11 @@ def normal_form(raw: Column, zone: Column, locale: Column) -> Column:
 def normalise_dates(df: DataFrame, raw: str = "date_raw", metadata: str = "metadata") -> DataFrame:
     """``df`` with ``normal_form`` and ``zone_version``; every row is kept, other columns untouched.
 
-    Only the text, the zone and the locale travel to Python.  Values longer than
-    200 characters name no date.
+    Only the text, the zone and the locale travel to Python; the version is that
+    of the worker that converted the row.
     """
     m = F.col(metadata)
-    return df.withColumn("normal_form", normal_form(F.col(raw), F.get_json_object(m, "$.timezone"), F.get_json_object(m, "$.locale"))).withColumn("zone_version", F.lit(zone_table_version()))
+    return df.withColumn("normal_form", normal_form(F.col(raw), F.get_json_object(m, "$.timezone"), F.get_json_object(m, "$.locale"))).withColumn("zone_version", _zone_version(F.col(raw)))
 
 
 #: Fact tables with dates, and their id columns.

@@ -29,6 +29,12 @@ CASES = [
     ("", None, None, None),
     (None, None, None, None),
     ("9" * 5000, None, None, None),
+    ("12/03/1848", "Europe/London", "en-GB", "1848-03-12"),
+    ("0999-01-02", None, None, "0999-01-02"),
+    ("1848-03-12 10:00", "Europe/Berlin", None, "1848-03-12T09:06:32Z"),
+    ("2150-07-01 12:00", "Europe/Berlin", None, "2150-07-01T10:00:00Z"),
+    ("0000-01-02", None, None, None),
+    (" " * 400 + "2019-01-02" + "\n" * 400, None, None, "2019-01-02"),
 ]
 
 
