@@ -2,18 +2,25 @@
 
 Found are e-mail addresses, phone numbers, identity numbers, street addresses
 and person names.  E-mail addresses, phone and identity numbers are found by
-their formats; plain digit runs count only by what introduces them.  Addresses
-are found from house number to town and postcode.  Names are found by given
-names with the tokens around them, by initials with a surname, after titles,
-and where a text names the person's role; a name directly followed by a word of
-firms is the name of a firm.
+their formats; plain digit runs count only by what introduces them, and numbers
+that no format allows (an area of zeros, a group of a longer card number) do
+not count.  Addresses are found from house number to town and
+postcode.
+
+Names are found by given names with the tokens around them, by initials with a
+surname, after titles and greetings, below closings, and where a text names the
+person's role or what a person did.  A name directly followed by a word of firms
+is the name of a firm.  Given names are those that people carry in the senders
+and recipients of the mails, learned from all of them into one bounded bit set,
+beside a short list of common ones.
 
 Placeholders keep equal values linked across documents:
 ``[TYPE:pseudonym]``.  Numbers keep their format: their digits, and dates as
 well, are permuted inside their own domain by a keyed Feistel network, so the
-pseudonym of a phone number is a phone number, that of a date a date, and equal
-values, however they are spaced, have equal pseudonyms.  Values without a
-numeric format get a short keyed digest.
+pseudonym of a phone number is a phone number of the same country, that of a
+date a date, and that of a number with a valid check digit has one as well.
+Equal values, however they are spaced, and with or without their country code,
+have equal digits.  Values without a numeric format get a short keyed digest.
 
 Defined results
 ---------------
@@ -21,7 +28,8 @@ Defined results
 * where finds overlap the earlier, then the longer counts; no find lies inside
   an e-mail address;
 * a value repeated in a field counts once; repeated rows count once;
-* texts of any length are read whole; further columns are untouched.
+* texts of any length are read whole; further columns are untouched;
+* card numbers are replaced too, but are none of the five types of ``found``.
 """
 
 from __future__ import annotations
@@ -31,19 +39,31 @@ import hashlib
 import hmac
 import math
 import re
+import secrets
 from datetime import date, timedelta
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Given names.
-GIVEN_NAMES = """Aleksander André Anika Benedikta Bharat Björn Camille Chandrika Chloé Deepa Devika Dominika Elizaveta Emre Eswar Farida
-Fatima Frederika Gabrielle Gitanjali Gunnar Harishankar Hedda Håkan Ignatius Indu Ishaan Jonathan José Jörg Katharina Kavya Kiran
-Krishnamurthy Lakshmi Leonardo Lucía Margaret Margarethe María Mohan Nikolaos Nisha Noor Oktavia Ove Padmavathi Priya Quentin Raghunath
-Renée Richard Robert Sebastian Sunil Theodora Tilde Ulrike Uma Venkataraman Vikram Wanda Wilhelmina William Xaverine Ximena Yasodhara
-Yusuf Zachariah Zoë""".split()
+from knowloom.llm import bit_sets
+from knowloom.session import materialise
+
+TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
+# Common given names of several languages.
+GIVEN_NAMES = """Adam Ahmed Aisha Alexander Alice Amit Amy Ana Andrea Andreas André Andrew Anil Anita Anna Anne Anthony Antonio Arjun Asha
+Barbara Beatriz Benjamin Betty Brian Carlos Carmen Carol Caroline Catherine Charles Charlotte Chloé Christian Christine Christopher Claire
+Claudia Daniel David Deepa Deepak Diego Dieter Dirk Elena Elizabeth Emily Emma Eric Eva Fatima Fernando Francisco Frank François Franz
+Gabriel Geeta George Grace Hannah Hans Heinz Helen Helga Henry Ibrahim Ines Isabel Jack Jacques James Jane Jean Jennifer Jessica Joana
+Johann John Jonathan Jorge José Joseph Joshua Juan Julia Jörg Jürgen Karen Karin Karl Katharina Kavita Kevin Khalid Kiran Klaus Krishna
+Lakshmi Laura Linda Lisa Louis Lucas Lucía Luis Manuel Marc Marco Margaret Maria María Marie Mark Markus Marta Martin Mary Matthew Meera
+Michael Michel Miguel Mohan Mohammed Monika Nancy Neha Nicolas Nicole Nikhil Oliver Olivia Omar Pablo Patricia Paul Pedro Peter Petra
+Philip Pierre Pooja Priya Rachel Rafael Rahul Rajesh Ramesh Ravi Rebecca Renate Ricardo Richard Robert Rohan Rosa Ruth Ryan Sabine Samuel
+Sandra Sanjay Sarah Sebastian Sofia Sophie Stefan Stephen Steven Sunil Sunita Susan Suresh Sven Teresa Thomas Ursula Uwe Vijay Vikram
+William Wolfgang Yusuf""".split()
 # Words that end or continue the name of a firm.
 FIRM_WORDS = "Agro Builders Bank Brokers Clinic Consulting Diagnostics Electricals Finance Foods GmbH Hospital Incorporated Insurance Interiors LLP Limited Logistics Ltd Nursing Polyclinic Private Pvt Services Stationers Textiles Traders Travel".split()
 
@@ -52,6 +72,7 @@ _LOW = "a-zß-öø-ÿ"
 _SUR = rf"[{_CAP}][{_LOW}]{{2,}}(?:[-'’][{_CAP}][{_LOW}]+)?"
 _SURU = rf"[{_CAP}]{{3,}}(?:[-'’][{_CAP}]+)?"
 _INI = rf"(?:[{_CAP}]\.[ ]?){{1,2}}"
+_FULL = rf"{_SUR}(?:[ ][{_CAP}]\.)*[ ]{_SUR}"
 _NOT_FIRM = rf"(?![{_LOW}{_CAP}'’-])(?![ ](?:{'|'.join(FIRM_WORDS)})\b)"
 _START = r"(?<![\w@.+’'-])"
 
@@ -67,14 +88,15 @@ _NUMBER = re.compile(
         | 1[-. ]\d{3}[-. ]\d{3}[-. ]\d{4}
         | \d{3}\.\d{3}\.\d{4}
         | \d{3}-\d{3}-\d{4}
-        | 0\d{2,4}[ ]\d{4,6}(?:[ -]\d{2,6})?
+        | 0\d{2,5}[ ]\d{4,6}(?:[ -]\d{2,6})?
         | \d{5}[ ]\d{5}
         )(?:[ ]?(?:ext\.?|x|extn\.?)[ ]?\d{1,5})?)
+    | (?P<c>\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?:[ -]?\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})
     | (?P<i>
           [A-Za-z]{5}[ ]?\d{4}[ ]?[A-Za-z]
         | [Zz]\d{2}[ ]?\d{5}
-        | \d{4}[ -]\d{4}[ -]\d{4}
-        | \d{3}[ -]\d{2}[ -]\d{4}
+        | (?<!\d{4}[ -])\d{4}[ -]\d{4}[ -]\d{4}(?![ -]\d{4})
+        | (?!000)\d{3}[ -]\d{2}[ -]\d{4}
         )
     | (?P<d>\d{8,14})(?:(?P<x>[ ]ext\.?[ ]?\d{1,5}))?
     )(?![\w@]|[.,/-]\d)""",
@@ -100,39 +122,65 @@ ADDRESS = re.compile(
 )
 
 
-def _prefix_tree(words) -> str:
-    """Pattern of a set of words that fails at the first unlike letter."""
-    heads: dict[str, list[str]] = {}
-    for w in sorted(set(words)):
-        heads.setdefault(w[0], []).append(w[1:])
-    parts = []
-    for h, tails in heads.items():
-        rest = [t for t in tails if t]
-        tail = (_prefix_tree(rest) if len(rest) > 1 else re.escape(rest[0])) if rest else ""
-        parts.append(re.escape(h) + (f"(?:{tail}){'?' if '' in tails else ''}" if tail else ""))
-    return "|".join(parts)
-
-
-_GIVEN = re.compile(_START + "(?:" + _prefix_tree([v for g in GIVEN_NAMES for v in (g, g.upper(), g.lower())]) + r")(?![\w@-])")
+_LISTED = frozenset(g.lower() for g in GIVEN_NAMES)
+#: A capital that no word or address goes before; the patterns that begin with it are found by their first character.
+_FIRST = rf"[{_CAP}](?<![\w@.+’'-][{_CAP}])"
+_TOKEN = re.compile(rf"{_FIRST}(?:[{_LOW}]+|[{_CAP}]+)(?![\w@-])")
 _SURNAME_AFTER = re.compile(rf"(?:[ ]{_INI})?[ ]{_SUR}{_NOT_FIRM}")
 _SURNAME_AFTER_UPPER = re.compile(rf"(?:[ ]{_INI})?[ ]{_SURU}(?![\w-])")
-_SURNAME_AFTER_LOWER = re.compile(rf"(?: [a-z]\.)? [{_LOW}]{{4,}}(?![\w@-])")
 _SURNAME_BEFORE = re.compile(rf"(?<![\w@.+’'-])(?:{_SUR}|{_SURU}), $")
 _INITIAL_AFTER = re.compile(rf"[ ][{_CAP}]\.(?![{_CAP}])")
-_INITIALS = re.compile(rf"{_START}{_INI}{_SUR}{_NOT_FIRM}")
-_TITLED = re.compile(rf"{_START}(?:Dr|Mr|Mrs|Ms|Prof|Herrn?|Frau|Mme|M|Sr|Sra|Shri|Smt|Doctor|Doktor)\.?[ ]((?:{_INI})?(?:{_SUR}|{_SURU})(?:,?[ ](?:{_prefix_tree(GIVEN_NAMES)})|[ ]{_SUR})?){_NOT_FIRM}")
-_LOWER_LEAD = re.compile(r"(?:as per|laut|selon|según|segundo|per|by|with|von|par|por) $", re.I)
+_INITIALS = re.compile(rf"{_FIRST}\.[ ]?(?:[{_CAP}]\.[ ]?)?{_SUR}{_NOT_FIRM}")
+_TITLED = re.compile(rf"(?:Dr|Mr|Mrs|Ms|Prof|Herrn|Herr|Frau|Mme|M|Sr|Sra|Shri|Smt|Doctor|Doktor)\.?[ ]((?:{_INI})?(?:{_SUR}|{_SURU})(?:,[ ](?P<g>{_SUR})|[ ]{_SUR})?){_NOT_FIRM}")
+# Names in lower case count after such words, or as a line of their own.
+_LOWER_NAME = re.compile(rf"(?:as per|As per|laut|Laut|selon|Selon|según|Según|segundo|Segundo|per|Per|by|By|with|With|von|Von|par|Par|por|Por) ([{_LOW}]+)((?: [a-z]\.)? [{_LOW}]{{4,}})(?![\w@-])")
+_LOWER_LINE = re.compile(rf"^[>\s|:~–—-]*([{_LOW}]+)[ \t\r|:~–—-]*$", re.M)
 _ROLE = re.compile(rf"(?:Holder:|Patient|Signed by|Passport holder:?|Inhaber:|Titulaire :?|Titular:)[ ]((?:{_INI})?{_SUR}(?:,?[ ]{_SUR})?){_NOT_FIRM}")
-# Words at the head of a sentence that look like the surname in "Surname, Given".
+#: Capitalised words in a row, and what makes two of them a full name: what is done with a person or what a person did, or a closing above.
+_RUN = re.compile(rf"{_FIRST}[{_LOW}]{{2,}}(?:[-'’][{_CAP}][{_LOW}]+)?(?:[ ][{_CAP}]\.)*[ ]{_SUR}(?:(?:[ ][{_CAP}]\.)*[ ]{_SUR})?{_NOT_FIRM}")
+_DONE_TO = re.compile(r"(?<!\w)(?:met|met with|(?:spoke|talked) (?:to|with)|called|asked|told|thanked|emailed|reminded|[Aa]ttn\.?:?|[Oo]n behalf of|traf|Kontakt:|[Cc]ontact(?: person)?:) $")
+_DID = re.compile(r" (?:said|says|asked|told|wrote|writes|thinks|believes|replied|phoned|schrieb|sagte|a dit|a écrit|dijo|escribió|disse|escreveu)(?!\w)")
+_CLOSED = re.compile(r"(?:[Rr]egards|[Ww]ishes|[Tt]hanks|[Cc]heers|[Ss]incerely|Grüßen?|Dank|[Cc]ordialement|[Ss]aludos|[Aa]tenciosamente|[Aa]braços?)[ ]?[,.!]?[ \t]*\r?\n(?:[>\s|]*\n)?[>\s|]*$")
+_LINE_END = re.compile(r"[ \t]*\r?$", re.M)
+#: One name, or a full one, in a greeting.
+_GREETED = re.compile(rf"^[>\s|]*(?:Dear|Hi|Hello|Hey|Hallo|Liebe[r]?|Cher|Chère|Bonjour|Hola|Estimad[oa]|Querid[oa]|Olá|Prezad[oa]|Caro|Cara|Namaste)[ ]({_SUR}(?:[ ]{_SUR})?)[ ]?[,!:]?[ \t]*\r?$", re.M)
+# Words that are greeted but are no names, and words at the head of a sentence that look like the surname in "Surname, Given".
+_NOT_GREETED = frozenset("Sir Madam Team All Everyone Everybody Colleague Colleagues Customer Member Patient Friend Friends Valued Damen Herren Madame Monsieur Kollegen Kunde Equipo Equipe There Again Both Folks".split())
 _NOT_SURNAME = frozenset("Dear Hello Good Hi Thanks Regards Also Then And But So Yes No Well Please Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December".split())
 
 
+class KnownNames:
+    """Given names of the list, and those of a bit set of hashes of lower-case names."""
+
+    def __init__(self, learned: np.ndarray | None = None):
+        self.learned = learned
+        self._memo: dict[str, bool] = {}
+
+    def given(self, word: str) -> bool:
+        low = word.lower()
+        got = self._memo.get(low)
+        if got is None:
+            if len(self._memo) > 500_000:
+                self._memo.clear()
+            got = low in _LISTED or (self.learned is not None and bit_sets.holds(self.learned, xxhash.xxh64_intdigest(low, seed=42)))
+            self._memo[low] = got
+        return got
+
+
+LIST_ONLY = KnownNames()
+
+
 def _numbers(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in _NUMBER.finditer(text):
         a, b = m.span()
         kind = m.lastgroup
         lead = text[max(0, a - 28) : a]
+        if m["c"] is not None:
+            digits = re.sub(r"\D", "", m["c"])
+            if luhn_valid(digits):
+                out.append((a, b, "CARD_NUMBER"))
+            continue
         if m["d"] is not None:
             n = len(m["d"])
             if _GOODS_LEAD.search(lead):
@@ -159,55 +207,69 @@ def _numbers(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _line_only(text: str, a: int, b: int) -> bool:
-    """Does the name fill its line, but for quotation marks and a dash?"""
-    return text[text.rfind("\n", 0, a) + 1 : a].strip(" >|:~–—-") in ("", ">") and text[b : (text + "\n").index("\n", b)].strip() == ""
+def _free(text: str, at: int) -> bool:
+    """Does no word and no address go before the position?"""
+    return at == 0 or not (text[at - 1].isalnum() or text[at - 1] in "_@.+’'-")
 
 
-def _names(text: str) -> list[tuple[int, int, str]]:
+def _names(text: str, known: KnownNames) -> list[tuple[int, int, str]]:
     out = []
     last = 0
-    for m in _GIVEN.finditer(text):
+    for m in _TOKEN.finditer(text):
         a, b = m.span()
-        if a < last:
-            continue
         s = m[0]
-        if s[0].islower():
-            after = _SURNAME_AFTER_LOWER.match(text, b)
-            if after and _LOWER_LEAD.search(text[max(0, a - 10) : a]):
-                b = after.end()
-            elif not _line_only(text, a, b):
-                continue
-        else:
-            after = (_SURNAME_AFTER_UPPER if len(s) > 1 and s[1].isupper() else _SURNAME_AFTER).match(text, b)
-            if after:
-                b = after.end()
-            elif text[a - 2 : a] == ", ":
-                before = _SURNAME_BEFORE.search(text, max(last, a - 40), a)
-                if before and before[0][:-2] not in _NOT_SURNAME and before[0][:-2] not in FIRM_WORDS:
-                    a = before.start()
-                    initial = _INITIAL_AFTER.match(text, b)
-                    b = initial.end() if initial else b
+        if a < last or not known.given(s):
+            continue
+        after = (_SURNAME_AFTER_UPPER if s[1].isupper() else _SURNAME_AFTER).match(text, b)
+        if after:
+            b = after.end()
+        elif text[a - 2 : a] == ", ":
+            before = _SURNAME_BEFORE.search(text, max(last, a - 40), a)
+            if before and before[0][:-2] not in _NOT_SURNAME and before[0][:-2] not in FIRM_WORDS:
+                a = before.start()
+                initial = _INITIAL_AFTER.match(text, b)
+                b = initial.end() if initial else b
         out.append((a, b, "NAME"))
         last = b
-    for m in _INITIALS.finditer(text):
-        out.append((*m.span(), "NAME"))
+    for m in _LOWER_NAME.finditer(text):
+        if known.given(m[1]) and _free(text, m.start()):
+            out.append((m.start(1), m.end(), "NAME"))
+    for m in _LOWER_LINE.finditer(text):
+        if known.given(m[1]):
+            out.append((*m.span(1), "NAME"))
+    out += [(*m.span(), "NAME") for m in _INITIALS.finditer(text)]
     for m in _TITLED.finditer(text):
-        out.append((*m.span(1), "NAME"))
-    for m in _ROLE.finditer(text):
-        out.append((*m.span(1), "NAME"))
+        # "Dr. Surname, Word": the word belongs to the name only if it is a given name.
+        if _free(text, m.start()):
+            out.append((m.start(1), m.end(1) if m["g"] is None or known.given(m["g"]) else m.start("g") - 2, "NAME"))
+    out += [(*m.span(1), "NAME") for m in _ROLE.finditer(text)]
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        words = m[0].split(" ")
+        if _FIRM.intersection(words):
+            continue
+        full = [i for i, w in enumerate(words) if w[-1] != "."]
+        before = text[max(0, a - 30) : a]
+        if _DONE_TO.search(before) or (_CLOSED.search(before) and _LINE_END.match(text, b)):
+            out.append((a, a + len(" ".join(words[: full[1] + 1])), "NAME"))
+        elif _DID.match(text, b):
+            out.append((b - len(" ".join(words[full[-2] :])), b, "NAME"))
+    out += [(*m.span(1), "NAME") for m in _GREETED.finditer(text) if not set(m[1].split()) & (_NOT_GREETED | _FIRM)]
     return out
 
 
-def spans(text: str | None) -> list[tuple[int, int, str]]:
+_FIRM = frozenset(FIRM_WORDS)
+
+
+def spans(text: str | None, known: KnownNames = LIST_ONLY) -> list[tuple[int, int, str]]:
     """(start, end, type) of the personal data of a text, in order and without overlap."""
     if not text:
         return []
     got = [(*m.span(), "EMAIL") for m in EMAIL.finditer(text)] if "@" in text else []
     got += [(*m.span(), "ADDRESS") for m in ADDRESS.finditer(text)]
     got += _numbers(text)
-    got += _names(text)
-    rank = {"EMAIL": 0, "ADDRESS": 1, "PHONE": 2, "ID_NUMBER": 2, "NAME": 3}
+    got += _names(text, known)
+    rank = {"EMAIL": 0, "ADDRESS": 1, "PHONE": 2, "ID_NUMBER": 2, "CARD_NUMBER": 2, "NAME": 3}
     fixed, used = [], []
     for a, b, t in sorted(got, key=lambda x: (rank[x[2]], -(x[1] - x[0]))):
         if all(b <= c or a >= d for c, d in used):
@@ -243,11 +305,96 @@ def permute(value: int, size: int, key: bytes, tweak: bytes) -> int:
 _DATE_FIRST, _DATE_DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
 
+def luhn_digit(digits: str) -> int:
+    """Check digit that makes the digits before it valid by Luhn's rule."""
+    total = sum(sum(divmod(2 * int(d), 10)) if i % 2 == 0 else int(d) for i, d in enumerate(reversed(digits)))
+    return -total % 10
+
+
+def luhn_valid(digits: str) -> bool:
+    return len(digits) > 1 and luhn_digit(digits[:-1]) == int(digits[-1])
+
+
+def _dihedral(a: int, b: int) -> int:
+    """Product in the symmetries of the pentagon: 0 to 4 are turns, 5 to 9 reflections."""
+    turn = (a % 5 + b % 5) % 5 if a < 5 else (a % 5 - b % 5) % 5
+    return turn + 5 * ((a >= 5) != (b >= 5))
+
+
+# Fixed value: the permutation of Verhoeff's rule.
+_VERHOEFF = (1, 5, 7, 6, 2, 8, 3, 0, 9, 4)
+
+
+def _verhoeff_sum(digits: str) -> int:
+    c = 0
+    for i, d in enumerate(reversed(digits)):
+        v = int(d)
+        for _ in range(i % 8):
+            v = _VERHOEFF[v]
+        c = _dihedral(c, v)
+    return c
+
+
+def verhoeff_digit(digits: str) -> int:
+    """Check digit that makes the digits before it valid by Verhoeff's rule."""
+    return next(d for d in range(10) if _verhoeff_sum(digits + str(d)) == 0)
+
+
+def verhoeff_valid(digits: str) -> bool:
+    return _verhoeff_sum(digits) == 0
+
+
+def _permuted(digits: str, key: bytes, tweak: bytes) -> str:
+    return str(permute(int(digits), 10 ** len(digits), key, tweak + b"%d" % len(digits))).zfill(len(digits)) if digits else ""
+
+
+def _country_length(digits: str) -> int:
+    """Digits of the country code at the head of an international number."""
+    # The zones of one digit, and the codes of two; all others have three.
+    if digits[:1] in ("1", "7"):
+        return 1
+    two = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+    return 2 if digits[:2] in two else 3
+
+
+_EXTENSION = re.compile(r"[ ]?(?:ext\.?|x|extn\.?)[ ]?\d{1,5}$")
+
+
+def _phone_digits(value: str, key: bytes) -> str:
+    """New digits of a phone number: prefix and country code kept, the number itself and the extension permuted."""
+    digits = re.sub(r"\D", "", value)
+    extension = _EXTENSION.search(value)
+    tail = re.sub(r"\D", "", extension[0]) if extension else ""
+    main = digits[: len(digits) - len(tail)]
+    if value.startswith("+"):
+        keep = _country_length(main)
+    elif main.startswith("00"):
+        keep = 2 + _country_length(main[2:])
+    elif main.startswith("0"):
+        keep = 1
+    else:
+        keep = 1 if len(main) == 11 and main[0] == "1" else 0
+    # A trunk zero in brackets behind the country code belongs to the prefix.
+    if keep > 1 and main[keep : keep + 1] == "0":
+        keep += 1
+    return main[:keep] + _permuted(main[keep:], key, b"PHONE") + _permuted(tail, key, b"EXTENSION")
+
+
+def _number_digits(digits: str, kind: str, key: bytes) -> str:
+    """New digits of an identity or card number; where the old ones have a valid check digit, so have the new ones."""
+    for n, valid, check in ((12, verhoeff_valid, verhoeff_digit), (0, luhn_valid, luhn_digit)):
+        if (len(digits) == n or (n == 0 and kind == "CARD_NUMBER")) and valid(digits):
+            new = _permuted(digits[:-1], key, kind.encode() + b"checked")
+            return new + str(check(new))
+    return _permuted(digits, key, kind.encode())
+
+
+@functools.lru_cache(maxsize=200_000)
 def pseudonym(value: str, kind: str, key: bytes) -> str:
     """The pseudonym of a value: format preserving for numbers, a keyed digest otherwise."""
-    digits = "".join(c for c in value if c.isdigit())
-    if kind in ("PHONE", "ID_NUMBER") and digits:
-        new = iter(str(permute(int(digits), 10 ** len(digits), key, kind.encode() + b"%d" % len(digits))).zfill(len(digits)))
+    digits = "".join(c for c in value if "0" <= c <= "9")
+    if kind in ("PHONE", "ID_NUMBER", "CARD_NUMBER") and digits:
+        new = iter(_phone_digits(value, key) if kind == "PHONE" else _number_digits(digits, kind, key))
         letters = "".join(c for c in value.upper() if "A" <= c <= "Z") if kind == "ID_NUMBER" else ""
         code = functools.reduce(lambda n, c: n * 26 + ord(c) - 65, letters, 0)
         moved = permute(code, 26 ** len(letters), key, b"letters%d" % len(letters)) if letters else 0
@@ -256,7 +403,7 @@ def pseudonym(value: str, kind: str, key: bytes) -> str:
             moved, r = divmod(moved, 26)
             alpha.append(chr(65 + r))
         it = iter(reversed(alpha))
-        return "".join(next(new) if c.isdigit() else next(it) if letters and "A" <= c.upper() <= "Z" else c for c in value)
+        return "".join(next(new) if "0" <= c <= "9" else next(it) if letters and "A" <= c.upper() <= "Z" else c for c in value)
     if kind == "DATE":
         d = (date.fromisoformat(value) - _DATE_FIRST).days
         return (_DATE_FIRST + timedelta(days=permute(d, _DATE_DAYS, key, b"date"))).isoformat()
@@ -267,21 +414,28 @@ def pseudonym(value: str, kind: str, key: bytes) -> str:
 _DATE = re.compile(r"(?<![\w-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\w-])")
 
 
-def redact(text: str | None, key: bytes, dates: bool = False) -> str | None:
-    """The text with personal data, and ISO dates if asked for, replaced by placeholders."""
-    if not text:
-        return text
-    got = spans(text)
-    if dates:
+def pieces(text: str | None, key: bytes, dates: bool = False, known: KnownNames = LIST_ONLY) -> list[tuple[int, int, str, str]]:
+    """(start, end, type, pseudonym) of what is replaced in a text: personal data, and ISO dates if asked for."""
+    got = spans(text, known)
+    if dates and text:
         for m in _DATE.finditer(text):
             if all(m.end() <= a or m.start() >= b for a, b, _ in got):
                 got.append((*m.span(), "DATE"))
-    out, at = [], 0
+    out = []
     for a, b, t in sorted(got):
         try:
-            p = pseudonym(text[a:b], t, key)
-        except ValueError:
+            out.append((a, b, t, pseudonym(text[a:b], t, key)))
+        except ValueError:  # a date that no calendar holds
             continue
+    return out
+
+
+def redact(text: str | None, key: bytes, dates: bool = False, known: KnownNames = LIST_ONLY) -> str | None:
+    """The text with placeholders in place of its pieces."""
+    if not text:
+        return text
+    out, at = [], 0
+    for a, b, t, p in pieces(text, key, dates, known):
         out += [text[at:a], f"[{t}:{p}]"]
         at = b
     return "".join(out) + text[at:]
@@ -289,21 +443,54 @@ def redact(text: str | None, key: bytes, dates: bool = False) -> str | None:
 
 # Tables -------------------------------------------------------------------
 
-FOUND = T.ArrayType(T.StructType([T.StructField("pii_type", T.StringType()), T.StructField("pii_value", T.StringType())]))
+FOUND = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("pii_type", "pii_value", "pseudonym")]))
+#: Session setting that holds the key of the pseudonyms; without it every run draws a key of its own.
+KEY_SETTING = "spark.knowloom.pseudonym.key"
+#: Different people who must carry a given name in the mail addresses.
+LEAST_CARRIERS = 2
 
 
-@F.pandas_udf(FOUND)
-def _found(texts: pd.Series) -> pd.Series:
-    out = []
-    for t in texts:
-        out.append([{"pii_type": k, "pii_value": v} for k, v in dict.fromkeys((k, t[a:b]) for a, b, k in spans(t))] if t else None)
-    return pd.Series(out, dtype=object)
+def session_key(spark: SparkSession) -> bytes:
+    given = spark.conf.get(KEY_SETTING, None)
+    return given.encode() if given else secrets.token_bytes(32)
+
+
+def learned_names(messages: DataFrame) -> np.ndarray:
+    """Bit set of the given names that people carry in the display names of all senders and recipients."""
+    header = F.concat_ws(",", "sender", "recipients")
+    pattern = r"(\p{Lu}\p{Ll}+)(?: \p{Lu}\.)* (\p{Lu}[\p{L}'’-]+)[\"']?\s*<"
+    both = F.arrays_zip(*(F.regexp_extract_all(header, F.lit(pattern), F.lit(i)).alias(n) for i, n in ((1, "given"), (2, "surname"))))
+    carried = messages.select(F.explode(both).alias("p")).select(F.lower("p.given").alias("given"), "p.surname").filter(~F.col("surname").isin(FIRM_WORDS)).distinct()
+    names = materialise(carried.groupBy("given").count().filter(F.col("count") >= LEAST_CARRIERS).select(F.xxhash64("given").alias("h")))
+    return bit_sets.bit_set(names, names.count())
+
+
+_BY_WORKER: dict[int, KnownNames] = {}
+
 
+def _names_of(learned) -> KnownNames:
+    """The known names of a broadcast bit set, with one memory for all batches of a worker."""
+    words = learned.value
+    if id(words) not in _BY_WORKER:
+        _BY_WORKER.clear()
+        _BY_WORKER[id(words)] = KnownNames(words)
+    return _BY_WORKER[id(words)]
 
-def _redactor(key: bytes, dates: bool):
+
+def _finder(key: bytes, learned):
+    @F.pandas_udf(FOUND)
+    def run(texts: pd.Series) -> pd.Series:
+        known = _names_of(learned)
+        return pd.Series([[{"pii_type": k, "pii_value": v, "pseudonym": p} for k, v, p in dict.fromkeys((k, t[a:b], p) for a, b, k, p in pieces(t, key, False, known))] if t else None for t in texts], dtype=object)
+
+    return run
+
+
+def _redactor(key: bytes, dates: bool, learned):
     @F.pandas_udf(T.StringType())
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([redact(t, key, dates) for t in texts], dtype=object)
+        known = _names_of(learned)
+        return pd.Series([redact(t, key, dates, known) for t in texts], dtype=object)
 
     return run
 
@@ -315,12 +502,21 @@ def fields(messages: DataFrame, texts: DataFrame) -> DataFrame:
     return one.unionByName(two).select("record_table", "record_id", "f.field", "f.text").filter(F.length("text") > 0)
 
 
-def redacted(messages: DataFrame, texts: DataFrame, key: bytes = b"knowloom", dates: bool = True) -> DataFrame:
-    """All free-text fields with placeholders in place of personal data."""
-    return fields(messages, texts).withColumn("text", _redactor(key, dates)("text"))
+def redacted(messages: DataFrame, texts: DataFrame, key: bytes | None = None, dates: bool = True) -> DataFrame:
+    """All free-text fields with placeholders in place of their pieces; without a key that of the session."""
+    spark = messages.sparkSession
+    learned = spark.sparkContext.broadcast(learned_names(messages))
+    return fields(messages, texts).withColumn("text", _redactor(key or session_key(spark), dates, learned)("text"))
+
+
+def replaced(messages: DataFrame, texts: DataFrame, key: bytes | None = None) -> DataFrame:
+    """(record_table, record_id, field, pii_type, pii_value, pseudonym): the distinct pieces that ``redacted`` replaces, dates aside."""
+    spark = messages.sparkSession
+    learned = spark.sparkContext.broadcast(learned_names(messages))
+    f = fields(messages, texts).withColumn("p", F.explode(_finder(key or session_key(spark), learned)("text")))
+    return f.select("record_table", "record_id", "field", "p.*").distinct()
 
 
 def found(messages: DataFrame, texts: DataFrame) -> DataFrame:
-    """Distinct pieces of personal data per field."""
-    f = fields(messages, texts).withColumn("p", F.explode(_found("text")))
-    return f.select("record_table", "record_id", "field", "p.pii_type", "p.pii_value").distinct()
+    """The distinct pieces of the five types per field; a value has one pseudonym, so they are distinct without it too."""
+    return replaced(messages, texts).filter(F.col("pii_type").isin(*TYPES)).drop("pseudonym")
