@@ -48,7 +48,14 @@ def members(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def holds(words: np.ndarray, h: int) -> bool:
-    return len(members(words, np.array([h], np.uint64))) > 0
+    """Does the set hold one hash?"""
+    bits = len(words) * 64
+    piece = min(PIECE, bits)
+    for shift in (0, 29, 44):
+        at = (h & (bits - piece)) | ((h >> shift) & (piece - 1))
+        if not int(words[at >> 6]) >> (at & 63) & 1:
+            return False
+    return True
 
 
 def bit_set(hashes: DataFrame, n: int, max_bits: int | None = None) -> np.ndarray:

@@ -36,7 +36,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import hmac
 import math
 import re
 import secrets
@@ -44,6 +43,7 @@ from datetime import date, timedelta
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,7 +76,8 @@ _FULL = rf"{_SUR}(?:[ ][{_CAP}]\.)*[ ]{_SUR}"
 _NOT_FIRM = rf"(?![{_LOW}{_CAP}'’-])(?![ ](?:{'|'.join(FIRM_WORDS)})\b)"
 _START = r"(?<![\w@.+’'-])"
 
-EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}")
+#: An e-mail address from its sign on; what stands before is read backwards.
+_FROM_AT = re.compile(r"@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}")
 
 # Number formats.
 _NUMBER = re.compile(
@@ -93,19 +94,23 @@ _NUMBER = re.compile(
         )(?:[ ]?(?:ext\.?|x|extn\.?)[ ]?\d{1,5})?)
     | (?P<c>\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?:[ -]?\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})
     | (?P<i>
-          [A-Za-z]{5}[ ]?\d{4}[ ]?[A-Za-z]
-        | [Zz]\d{2}[ ]?\d{5}
-        | (?<!\d{4}[ -])\d{4}[ -]\d{4}[ -]\d{4}(?![ -]\d{4})
+          (?<!\d{4}[ -])\d{4}[ -]\d{4}[ -]\d{4}(?![ -]\d{4})
         | (?!000)\d{3}[ -]\d{2}[ -]\d{4}
         )
     | (?P<d>\d{8,14})(?:(?P<x>[ ]ext\.?[ ]?\d{1,5}))?
     )(?![\w@]|[.,/-]\d)""",
     re.X,
 )
+#: Where a number may lie, and numbers with letters from their digits on.
+_DIGITS = re.compile(r"[+(0-9][\d ().+-]{6,}")
+_CODE = re.compile(r"[0-9]\d\d\d(?:(?<=[A-Za-z]{5}\d{4})|(?<=[A-Za-z]{5} \d{4}))[ ]?[A-Za-z](?![\w@]|[.,/-]\d)")
+_PASSPORT = re.compile(r"[Zz]\d{2}[ ]?\d{5}(?![\w@]|[.,/-]\d)")
 #: What introduces a plain run of digits that is an identity number, or a number of goods and papers.
 _ID_LEAD = re.compile(r"(?:\bid|passport|passeport|pasaporte|tax number|identity number|identity|identidad|identité|ausweis\w*|steuer\w*|fiscal|nif|ssn|pan|aadhaar|social security\w*|gave|social|seguro)\W{0,3}(?:(?:no|nr|number|núm|n°)\W{0,2})?$", re.I)
 _GOODS_LEAD = re.compile(r"(?:order|consignment|invoice|parcel no|tracking|reference|ref|txn|chq|upi|neft|account|a/c|page|pedido|commande|bestellung|sendung|remessa|envío|colis|número de serie)\W{0,3}(?:(?:no|nr|number)\W{0,2})?$", re.I)
 
+#: A text without any of these holds no address.
+_MAY_HOLD_ADDRESS = re.compile(r"Road|Rd|Street|St\.|St,|Avenue|Ave|Lane|Ln|Marg|Cross|Drive|Place|Square|Close|Nagar|Colony|rue |avenue |boulevard |place |chemin |allée |impasse |weg |straße |strasse |str\. |gasse |platz |allee |Main,|Block,")
 _STREET = r"(?:Road|Rd\.?|Street|St\.?|Avenue|Ave\.?|Lane|Ln\.?|Marg|Cross|Drive|Place|Square|Close|Nagar|Colony)"
 _WORDS = rf"[{_CAP}][\w'’]+(?:[ ][{_CAP}][\w'’]+)?"
 _TOWN = rf"[{_CAP}][{_LOW}{_CAP}]{{2,}}"
@@ -170,40 +175,55 @@ class KnownNames:
 LIST_ONLY = KnownNames()
 
 
+def _emails(text: str) -> list[tuple[int, int, str]]:
+    out = []
+    for m in _FROM_AT.finditer(text):
+        a = m.start()
+        while a and (text[a - 1].isalnum() or text[a - 1] in "_.+%-"):
+            a -= 1
+        if a < m.start() and not (out and out[-1][1] > a):
+            out.append((a, m.end(), "EMAIL"))
+    return out
+
+
 def _numbers(text: str) -> list[tuple[int, int, str]]:
     out = []
-    for m in _NUMBER.finditer(text):
-        a, b = m.span()
-        kind = m.lastgroup
-        lead = text[max(0, a - 28) : a]
-        if m["c"] is not None:
-            digits = re.sub(r"\D", "", m["c"])
-            if luhn_valid(digits):
-                out.append((a, b, "CARD_NUMBER"))
-            continue
-        if m["d"] is not None:
-            n = len(m["d"])
-            if _GOODS_LEAD.search(lead):
-                continue
-            if _ID_LEAD.search(lead) and n in (8, 9, 10, 11, 12):
-                kind = "i"
-            elif n == 12:
-                kind = "i"
-            elif (m["d"][0] == "0" and n in (10, 11)) or (n == 10 and m["x"]):
-                kind = "p"
-            else:
-                continue
-        elif kind == "x":
-            kind = "p"
-        elif kind == "p":
-            if _GOODS_LEAD.search(lead):
-                continue
-        elif m["i"][0].isalpha():
-            s = m["i"]
-            coded = s[1].isalpha()
-            if coded and not s[:5].isupper() and not (s[:5].islower() and _ID_LEAD.search(lead)):
+    found = [m.span() for m in _PASSPORT.finditer(text)]
+    for m in _CODE.finditer(text):
+        a = m.start() - (6 if text[m.start() - 1] == " " else 5)
+        letters = text[a : a + 5]
+        # In small letters it counts only behind a word that introduces it.
+        if letters.isupper() or (letters.islower() and _ID_LEAD.search(text[max(0, a - 28) : a])):
+            found.append((a, m.end()))
+    for a, b in found:
+        if not a or not (text[a - 1].isalnum() or text[a - 1] in "_@/.,+-"):
+            out.append((a, b, "ID_NUMBER"))
+    last = 0
+    for run in _DIGITS.finditer(text):
+        for m in _NUMBER.finditer(text, max(run.start(), last), run.end() + 40):
+            a, b = m.span()
+            if a >= run.end():
+                break
+            last = b
+            kind = m.lastgroup
+            lead = text[max(0, a - 28) : a]
+            if m["c"] is not None:
+                if not luhn_valid(re.sub(r"\D", "", m["c"])):
+                    continue
+                kind = "c"
+            elif m["d"] is not None:
+                n = len(m["d"])
+                if _GOODS_LEAD.search(lead):
+                    continue
+                if n == 12 or (n in (8, 9, 10, 11) and _ID_LEAD.search(lead)):
+                    kind = "i"
+                elif (m["d"][0] == "0" and n in (10, 11)) or (n == 10 and m["x"]):
+                    kind = "p"
+                else:
+                    continue
+            elif kind == "p" and _GOODS_LEAD.search(lead):
                 continue
-        out.append((a, b, "ID_NUMBER" if kind == "i" else "PHONE"))
+            out.append((a, b, {"i": "ID_NUMBER", "p": "PHONE", "c": "CARD_NUMBER"}[kind]))
     return out
 
 
@@ -265,8 +285,9 @@ def spans(text: str | None, known: KnownNames = LIST_ONLY) -> list[tuple[int, in
     """(start, end, type) of the personal data of a text, in order and without overlap."""
     if not text:
         return []
-    got = [(*m.span(), "EMAIL") for m in EMAIL.finditer(text)] if "@" in text else []
-    got += [(*m.span(), "ADDRESS") for m in ADDRESS.finditer(text)]
+    got = _emails(text) if "@" in text else []
+    if _MAY_HOLD_ADDRESS.search(text):
+        got += [(*m.span(), "ADDRESS") for m in ADDRESS.finditer(text)]
     got += _numbers(text)
     got += _names(text, known)
     rank = {"EMAIL": 0, "ADDRESS": 1, "PHONE": 2, "ID_NUMBER": 2, "CARD_NUMBER": 2, "NAME": 3}
@@ -284,8 +305,8 @@ ROUNDS = 10
 
 
 def _round(key: bytes, tweak: bytes, i: int, value: int, modulus: int) -> int:
-    d = hmac.new(key, b"%s|%d|%d|%d" % (tweak, i, value, modulus), hashlib.sha256).digest()
-    return int.from_bytes(d[:16], "big") % modulus
+    d = hashlib.blake2b(b"%s|%d|%d|%d" % (tweak, i, value, modulus), key=key[:64], digest_size=16).digest()
+    return int.from_bytes(d, "big") % modulus
 
 
 def permute(value: int, size: int, key: bytes, tweak: bytes) -> int:
@@ -408,7 +429,7 @@ def pseudonym(value: str, kind: str, key: bytes) -> str:
         d = (date.fromisoformat(value) - _DATE_FIRST).days
         return (_DATE_FIRST + timedelta(days=permute(d, _DATE_DAYS, key, b"date"))).isoformat()
     norm = " ".join(value.casefold().split())
-    return hmac.new(key, f"{kind}|{norm}".encode(), hashlib.sha256).hexdigest()[:8]
+    return hashlib.blake2b(f"{kind}|{norm}".encode(), key=key[:64], digest_size=4).hexdigest()
 
 
 _DATE = re.compile(r"(?<![\w-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\w-])")
@@ -443,7 +464,7 @@ def redact(text: str | None, key: bytes, dates: bool = False, known: KnownNames
 
 # Tables -------------------------------------------------------------------
 
-FOUND = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("pii_type", "pii_value", "pseudonym")]))
+_PIECES = "record_table string, record_id string, field string, pii_type string, pii_value string, pseudonym string"
 #: Session setting that holds the key of the pseudonyms; without it every run draws a key of its own.
 KEY_SETTING = "spark.knowloom.pseudonym.key"
 #: Different people who must carry a given name in the mail addresses.
@@ -478,10 +499,22 @@ def _names_of(learned) -> KnownNames:
 
 
 def _finder(key: bytes, learned):
-    @F.pandas_udf(FOUND)
-    def run(texts: pd.Series) -> pd.Series:
-        known = _names_of(learned)
-        return pd.Series([[{"pii_type": k, "pii_value": v, "pseudonym": p} for k, v, p in dict.fromkeys((k, t[a:b], p) for a, b, k, p in pieces(t, key, False, known))] if t else None for t in texts], dtype=object)
+    """Map function: fields to their distinct pieces."""
+
+    def run(batches):
+        for batch in batches:
+            known = _names_of(learned)
+            n, kinds, values, pseudonyms = [], [], [], []
+            for t in batch.column("text").to_pylist():
+                got = dict.fromkeys((k, t[a:b], p) for a, b, k, p in pieces(t, key, False, known))
+                n.append(len(got))
+                for k, v, p in got:
+                    kinds.append(k)
+                    values.append(v)
+                    pseudonyms.append(p)
+            at = pa.array(np.repeat(np.arange(len(n)), n))
+            names = ("record_table", "record_id", "field")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), *(pa.array(x, pa.string()) for x in (kinds, values, pseudonyms))], names=[*names, "pii_type", "pii_value", "pseudonym"])
 
     return run
 
@@ -513,8 +546,7 @@ def replaced(messages: DataFrame, texts: DataFrame, key: bytes | None = None) ->
     """(record_table, record_id, field, pii_type, pii_value, pseudonym): the distinct pieces that ``redacted`` replaces, dates aside."""
     spark = messages.sparkSession
     learned = spark.sparkContext.broadcast(learned_names(messages))
-    f = fields(messages, texts).withColumn("p", F.explode(_finder(key or session_key(spark), learned)("text")))
-    return f.select("record_table", "record_id", "field", "p.*").distinct()
+    return fields(messages, texts).mapInArrow(_finder(key or session_key(spark), learned), _PIECES).distinct()
 
 
 def found(messages: DataFrame, texts: DataFrame) -> DataFrame:
