@@ -47,7 +47,7 @@ def semantic_search(ctx: Context, query: str | None = None, top_k: int = 5, **_)
     if not query:
         return Result.failed("query is required")
     t = ctx.tables
-    df = retrieve.search(t["attachment_texts"], t["embeddings"], t["messages"], query, top_k, ctx.embedder)
+    df = retrieve.search(t["attachment_texts"], t["embeddings"], t.get("message_index", t["messages"]), query, top_k, ctx.embedder)
     return Result.ok({"results": _rows(df, top_k)})
 
 

@@ -3,104 +3,120 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
-import os
-import shutil
+import time
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knowloom import logs
+from knowloom.agent import base, orchestrator, tools
 from knowloom.config import load_settings
 from knowloom.functions.text import shorten
-from knowloom.operators import extract, facts, graph, index, lookups, merge, retrieve
-from knowloom.schemas import TABLES, empty
+from knowloom.operators import extract, graph, lookups, retrieve
+from knowloom.operators.task_queue import open_backend
 from knowloom.session import build_session
 from knowloom.sources import files, mail
+from knowloom.storage import Store
+from knowloom.streaming import stages
+from knowloom.streaming.worker import Worker
 
 
-class Store:
-    """Tables as Parquet folders; a table is written beside the old one and then put in its place."""
+def _worker(store: Store, a, handlers=None) -> Worker:
+    clock = lambda: datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    return Worker(store.spark, open_backend(store.spark, a.queue or f"{store.path}/task_queue"), handlers or {}, clock, getattr(a, "lease", 1))
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
 
-    def read(self, name: str) -> DataFrame:
-        p = f"{self.path}/{name}"
-        return self.spark.read.schema(TABLES[name][0]).parquet(p) if os.path.isdir(p) else empty(self.spark, name)
+def _made(name: str):
+    """The object that ``package.module:maker`` makes."""
+    module, maker = name.split(":")
+    return getattr(importlib.import_module(module), maker)()
 
-    def write(self, name: str, df: DataFrame) -> None:
-        p, tmp = f"{self.path}/{name}", f"{self.path}/_{name}.new"
-        df.select(*TABLES[name][0].names).write.mode("overwrite").parquet(tmp)
-        shutil.rmtree(p, ignore_errors=True)
-        os.rename(tmp, p)
 
-    def upsert(self, name: str, rows: DataFrame) -> None:
-        old = self.read(name)
-        self.write(name, merge.merge_registry(old, rows) if name == "content_registry" else merge.last_wins(old, rows, TABLES[name][1]))
-
-
-def _now():
-    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+def _payloads(store: Store, a):
+    """Payloads of a provider's client, or of stored JSON lines."""
+    if a.client:
+        return mail.search(_made(a.client), a.query, a.limit, a.page_size)
+    stored = mail.read_payloads(store.spark, a.path)
+    if a.limit is not None and a.limit >= 0:
+        stored = stored.orderBy("internalDate", "id").limit(a.limit)
+    return (r.asDict(True) for r in stored.toLocalIterator())
 
 
 def fetch_mail(store: Store, a) -> None:
-    """Provider payloads (JSON lines) into messages, attachments and registry."""
-    inbound = mail.decode_messages(mail.read_payloads(store.spark, a.path)).cache()
-    if a.limit is not None and a.limit >= 0:
-        inbound = inbound.orderBy("received_at", "id").limit(a.limit)
-    store.upsert("messages", mail.stored_messages(inbound))
-    store.upsert("attachments", mail.stored_attachments(inbound))
-    store.upsert("content_registry", mail.registry_rows(inbound, _now()))
+    """Mail of a provider, or stored payloads, into messages, attachments, registry and queue."""
+    print(json.dumps(stages.ingest(store, _payloads(store, a), a.batch_size, _worker(store, a))))
 
 
 def add_files(store: Store, a) -> None:
+    """Files of a folder into registry and queue, those already known left out."""
     found = files.scan(store.spark, a.path, tuple(a.extensions), a.recursive)
-    rows, local = files.registrations(found, store.read("content_registry"), _now())
-    rows, local = rows.cache(), local.cache()
-    local.count()
+    rows, local = files.registrations(found, store.read("content_registry"), stages.now())
+    local = local.persist()
+    ids = [r["content_id"] for r in local.select("content_id").toLocalIterator()]
     store.upsert("content_registry", rows)
     store.upsert("local_files", local)
+    _worker(store, a).enqueue([("semantic_index", {"content_id": i}) for i in ids])
+    print(json.dumps({"files": len(ids)}))
 
 
 def run_index(store: Store, a) -> None:
-    todo = index.pending(store.read("content_registry"), store.read("attachment_texts"), store.read("messages"), store.read("attachments"), store.read("local_files"), a.limit).cache()
-    paths = todo.filter("content_type = 'local_file'").join(store.read("local_files").select("content_id", "path"), "content_id")
-    names = [r["path"] for r in paths.select("path").toLocalIterator()]
-    contents = todo.select("content_id", "mime_type", "filename", "data")
-    if names:
-        data = store.spark.read.format("binaryFile").load(names).select("path", F.col("content").alias("file_data"))
-        extra = paths.join(data, "path").select("content_id", F.col("file_data"))
-        contents = contents.join(extra, "content_id", "left").withColumn("data", F.coalesce("data", "file_data")).drop("file_data")
-    pages = files.page_texts(contents.filter("data is not null")).unionByName(todo.filter("text is not null").select("content_id", F.lit(1).alias("page"), "text"))
-    texts = index.chunk_pages(pages).cache()
-    vectors = index.embed_chunks(texts, todo, _now()).cache()
-    texts.count(), vectors.count()
-    store.write("attachment_texts", index.replace_content(store.read("attachment_texts"), texts))
-    store.write("embeddings", index.replace_content(store.read("embeddings"), vectors))
-    print(json.dumps({"processed": todo.count()}))
+    """Chunks and vectors of all contents without them."""
+    print(json.dumps({"processed": stages.index_pending(store, a.limit)}))
+
+
+def _extractor(a) -> extract.Extractor:
+    call = extract.HttpModel(a.model, a.endpoint, a.timeout) if a.backend == "llm" else None
+    return extract.build(a.backend, a.model, call)
 
 
 def run_extraction(store: Store, a) -> None:
-    e = extract.build(a.backend, a.model)
-    segs = graph.segments(store.read("attachment_texts"), store.read("content_registry"), store.read("attachments"), store.read("messages"), store.read("entity_mentions"), e.name, a.content_id, a.limit).cache()
-    found = extract.extract_mentions(segs, e)
-    m, n, r, read = graph.build(segs, found, e.name, _now(), store.read("entity_mentions"), store.read("graph_entities"), store.read("graph_relations"))
-    m, n, r = m.cache(), n.cache(), r.cache()
-    print(json.dumps({"segments": read.count(), "mentions": m.count(), "nodes": n.count(), "edges": r.count()}))
-    for name, df in (("entity_mentions", m), ("graph_entities", n), ("graph_relations", r)):
-        store.write(name, df)
+    """Mentions and graph of all chunks not read yet."""
+    print(json.dumps(stages.extract_entities(store, _extractor(a), a.content_id, a.limit)))
 
 
-_FACTS = {"lab_results": facts.lab_results, "financial_records": facts.financial_records, "medical_events": facts.medical_events}
+def run_worker(store: Store, a) -> None:
+    """Work on the queue: index, extract, build facts."""
+    e = _extractor(a)
+    named = {"lab_results": a.lab_extractor or e.name, "financial_records": a.financial_extractor or e.name, "medical_events": a.medical_extractor or e.name}
+    every = stages.handlers(store, e, named)
+    wanted = {k: h for k, h in every.items() if not a.task_types or k in a.task_types}
+    w = _worker(store, a, wanted)
+    print(json.dumps({"tasks": w.run(once=a.run_once, wait=lambda: time.sleep(a.poll_interval))}))
 
 
 def build_facts(store: Store, a) -> None:
-    new = _FACTS[a.table](store.read("entity_mentions"), a.extractor, _now(), a.content_id).cache()
-    print(json.dumps({"rows": new.count()}))
-    merged = facts.replace_chunks(store.read(a.table), new).cache()
-    merged.count()
-    store.write(a.table, merged)
+    """Facts of one table from the mentions of an extractor."""
+    print(json.dumps({"rows": stages.build_facts(store, a.table, a.extractor, a.content_id)}))
+
+
+def ask(store: Store, a) -> None:
+    """A model's answer about the payments of a counterparty."""
+    found = graph.payments(store.read("graph_entities"), store.read("graph_relations"), a.counterparty, a.limit).persist()
+    mentions = [r.asDict() for r in found.limit(tools.MOST).collect()]
+    totals = {r["currency"]: r["total"] for r in graph.totals(found).collect()}
+    model = _made(a.chat) if a.chat else extract.HttpModel(a.model, a.endpoint, a.timeout)
+    print(orchestrator.finance_summary(model, a.question, mentions, totals).strip())
+    for m in mentions:
+        print(json.dumps(m, ensure_ascii=False))
+
+
+def agent(store: Store, a) -> None:
+    """Questions answered by a model that calls the tools."""
+    names = ("messages", "attachments", "attachment_texts", "embeddings", "lab_results", "financial_records", "medical_events", "graph_entities", "graph_relations")
+    context = base.Context({n: store.read(n) for n in names} | {"message_index": store.index()}, a.extractor)
+    model = _made(a.chat) if a.chat else extract.HttpModel(a.model, a.endpoint, a.timeout)
+    loop = orchestrator.Orchestrator(model, base.Executor(tools.registry(), context), a.max_loops)
+    history: list[tuple[str, str]] = []
+    question = a.question or (input("> ") if a.interactive else "")
+    while question:
+        answer = loop.run(question, history)
+        history.append((question, answer.text))
+        print(answer.text)
+        for c in answer.calls:
+            print(json.dumps({"tool": c.tool, "params": c.params, "result": c.result.to_dict()}, default=str, ensure_ascii=False)[:400])
+        question = input("> ") if a.interactive else ""
 
 
 def query_facts(store: Store, a) -> None:
@@ -116,13 +132,13 @@ def query_facts(store: Store, a) -> None:
 
 
 def run_search(store: Store, a) -> None:
-    df = retrieve.search(store.read("attachment_texts"), store.read("embeddings"), store.read("messages"), a.query, a.top_k)
+    df = retrieve.search(store.read("attachment_texts"), store.read("embeddings"), store.index(), a.query, a.top_k)
     for r in df.withColumn("text", shorten(F.col("text"), 400)).toLocalIterator():
         print(json.dumps(r.asDict(True), default=str, ensure_ascii=False))
 
 
 def export_graph(store: Store, a) -> None:
-    n, e = graph.export(store.read("graph_entities"), store.read("graph_relations"), a.path)
+    n, e = graph.export(store.read("graph_entities"), store.read("graph_relations"), a.path, clear=a.clear_existing)
     print(json.dumps({"nodes": n, "edges": e}))
 
 
@@ -161,15 +177,23 @@ def parser() -> argparse.ArgumentParser:
 
     n = lambda flag, default=None: (flag, {"type": int, "default": default})
     t = lambda flag, default=None: (flag, {"default": default})
-    fact = ("table", {"choices": list(_FACTS)})
-    add("fetch-mail", fetch_mail, ("path", {}), n("--limit"))
-    add("add-files", add_files, ("path", {}), ("--extensions", {"nargs": "+", "default": list(files.DEFAULT_EXTENSIONS)}), ("--recursive", {"action": "store_true"}))
+    fact = ("table", {"choices": list(stages.FACTS)})
+    queue = t("--queue")
+    model = (("--backend", {"default": "pattern", "choices": ["pattern", "spacy", "llm"]}), t("--model", "default"), t("--endpoint", "http://localhost:11434/api/generate"), ("--timeout", {"type": float, "default": 180.0}))
+    add("fetch-mail", fetch_mail, ("path", {"nargs": "?"}), t("--client"), t("--query", ""), n("--limit"), n("--page-size", 100), n("--batch-size", 200), queue)
+    add("add-files", add_files, ("path", {}), ("--extensions", {"nargs": "+", "default": list(files.DEFAULT_EXTENSIONS)}), ("--recursive", {"action": "store_true"}), queue)
     add("index", run_index, n("--limit"))
-    add("extract", run_extraction, ("--backend", {"default": "pattern", "choices": ["pattern", "spacy", "llm"]}), t("--model", "default"), t("--content-id"), n("--limit"))
+    add("extract", run_extraction, *model, t("--content-id"), n("--limit"))
+    add(
+        "worker", run_worker, *model, queue, ("--run-once", {"action": "store_true"}), ("--poll-interval", {"type": float, "default": 5.0}), n("--lease", 1),
+        ("--task-types", {"nargs": "*"}), t("--lab-extractor"), t("--financial-extractor"), t("--medical-extractor"),
+    )
+    add("ask", ask, ("counterparty", {}), ("question", {}), *model[1:], t("--chat"), n("--limit"))
+    add("agent", agent, ("question", {"nargs": "?"}), *model[1:], t("--chat"), t("--extractor", "pattern:default"), ("--interactive", {"action": "store_true"}), n("--max-loops", 3))
     add("build-facts", build_facts, fact, t("--extractor", "pattern:default"), t("--content-id"))
     add("query-facts", query_facts, fact, t("--extractor", "pattern:default"), *(t(f"--{x}") for x in ("test", "patient", "subject", "counterparty", "record-type", "reference", "event-type")), n("--limit", 10))
     add("search", run_search, ("query", {}), n("--top-k", 5))
-    add("export-graph", export_graph, ("path", {}))
+    add("export-graph", export_graph, ("path", {}), ("--clear-existing", {"action": "store_true"}))
     add("payments", show_payments, ("counterparty", {}), n("--limit"))
     add("extract-attachment", extract_files, ("path", {}), t("--filename"), t("--message-id"))
     add("cleanup", cleanup, t("--prefix", "spacy:"))

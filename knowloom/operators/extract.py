@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple, Protocol
 
 import pandas as pd
@@ -22,7 +23,10 @@ class Mention(NamedTuple):
 
 
 class Extractor(Protocol):
-    """Finds mentions in a text; ``name`` goes into every id."""
+    """Finds mentions in a text; ``name`` goes into every id.
+
+    One that has ``extract_all(texts)`` is given whole batches.
+    """
 
     name: str
 
@@ -93,13 +97,22 @@ class ModelExtractor:
     """Extractor that asks a language model through ``call(prompt) -> reply payload``."""
 
     def __init__(self, call: Callable[[str], object], model: str, prompt: str = "List the entities of this text as JSON:\n{text}"):
-        self.name, self.call, self.prompt = f"llm:{model}", call, prompt
+        self.name, self.call = f"llm:{model}", call
+        # A template without a place for the text gets one at its end.
+        self.prompt = prompt if "{text}" in prompt else f"{prompt.rstrip()}\n\nText:\n{{text}}"
+
+    def extract_all(self, texts: list[str], at_once: int = 8) -> list[list[Mention]]:
+        """Several requests under way at a time; the model's server is waited for, not the text before."""
+        with ThreadPoolExecutor(at_once) as pool:
+            return list(pool.map(self.extract, texts))
 
     def extract(self, text: str) -> list[Mention]:
         out = []
-        for e in entity_items(reply_text(self.call(self.prompt.replace("{text}", text)))):
-            needle, label = e.get("text"), e.get("label")
-            if not (isinstance(needle, str) and isinstance(label, str) and needle and label):
+        for e in entity_items(reply_text(self.call(self.prompt.replace("{text}", text.strip())))):
+            needle = e.get("text") or e.get("span")
+            needle = needle.strip() if isinstance(needle, str) else ""
+            label = str(e.get("label") or e.get("type") or "ENTITY").strip()
+            if not needle or not label:
                 continue
             at = locate(text, needle, e.get("start_char", e.get("start")), e.get("end_char", e.get("end")))
             if at:
@@ -108,14 +121,29 @@ class ModelExtractor:
         return out
 
 
+class HttpModel:
+    """A model server that takes a prompt by POST; also the ``chat`` client of the agent."""
+
+    def __init__(self, model: str, endpoint: str = "http://localhost:11434/api/generate", timeout: float = 60.0):
+        self.model, self.endpoint, self.timeout = model, endpoint, timeout
+
+    def __call__(self, prompt: str) -> object:
+        from urllib.request import Request, urlopen
+
+        data = json.dumps({"model": self.model, "prompt": prompt, "stream": False}).encode()
+        with urlopen(Request(self.endpoint, data, {"Content-Type": "application/json"}), timeout=self.timeout) as reply:
+            return json.load(reply)
+
+    def chat(self, prompt: str) -> str:
+        return reply_text(self(prompt))
+
+
 def build(backend: str, model: str = "default", call: Callable[[str], object] | None = None) -> Extractor:
-    """``pattern``, ``llm`` (with ``call``) or ``spacy`` (where the library and its model are installed)."""
+    """``pattern``, ``llm`` (through ``call``, or the default server) or ``spacy`` (where the library and its model are installed)."""
     if backend == "pattern":
         return PatternExtractor(name=f"pattern:{model}")
     if backend == "llm":
-        if call is None:
-            raise ValueError("the llm backend needs a call function")
-        return ModelExtractor(call, model)
+        return ModelExtractor(call or HttpModel(model), model)
     if backend == "spacy":
         return _SpacyExtractor(model)
     raise ValueError(f"unknown backend {backend}")
@@ -153,8 +181,11 @@ def extract_mentions(segments: DataFrame, extractor: Extractor) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for key, chunk, text in zip(pdf["content_id"], pdf["chunk_index"], pdf["text"]):
-                for m in extractor.extract(text.strip()) if text and text.strip() else []:
+            texts = [t.strip() if t else "" for t in pdf["text"]]
+            full = [t for t in texts if t]
+            mentions = iter(extractor.extract_all(full) if hasattr(extractor, "extract_all") else map(extractor.extract, full))
+            for key, chunk, text in zip(pdf["content_id"], pdf["chunk_index"], texts):
+                for m in next(mentions) if text else []:
                     meta = json.dumps(m.metadata, sort_keys=True) if m.metadata else None
                     rows.append((key, chunk, m.text, m.label, m.start, m.end, 1.0 if m.confidence is None else float(m.confidence), meta))
             yield pd.DataFrame(rows, columns=MENTION_SCHEMA.names)

@@ -27,18 +27,58 @@ def _of(mentions: DataFrame, labels: tuple[str, ...]) -> DataFrame:
     return mentions.filter(F.upper("label").isin(list(labels)))
 
 
+_MENTION = ("mention_id", "entity_id", "label", "text", "start_char", "end_char", "metadata")
+
+
 def nearest(targets: DataFrame, options: DataFrame, name: str) -> DataFrame:
     """Each target with the option nearest in its chunk as a struct column ``name``, null if there is none.
 
     Distance runs between span edges, min(|start - end'|, |start' - end|); the
-    earlier option wins a tie.  The equi-join on the chunk is followed by one
-    aggregation per target, so no nested loop and no row explosion outlives it.
+    earlier option wins a tie.
+    """
+    return nearest_of(targets, {name: options})
+
+
+def nearest_of(targets: DataFrame, kinds: dict[str, DataFrame]) -> DataFrame:
+    """``targets`` with the nearest option of every kind as a struct column under its name.
+
+    The nearest option ends nearest before or after the target's start, or starts
+    nearest before or after its end: four running extremes over the edges of a
+    chunk in order.  All kinds share the edges, so targets and options meet in one
+    shuffle by chunk, and no pairs are formed.
     """
-    o = options.select(*CHUNK, F.struct("mention_id", "entity_id", "label", "text", "start_char", "end_char", "metadata").alias("o"))
-    pairs = targets.select("mention_id", *CHUNK, "start_char", "end_char").join(o, CHUNK)
-    gap = F.least(F.abs(F.col("start_char") - F.col("o.end_char")), F.abs(F.col("o.start_char") - F.col("end_char")))
-    best = pairs.groupBy("mention_id").agg(F.min_by("o", F.struct(gap, F.col("o.start_char"), F.col("o.mention_id"))).alias(name))
-    return targets.join(best, "mention_id", "left")
+    names = list(kinds)
+    placed = F.col("start_char").isNotNull() & F.col("end_char").isNotNull()
+    spot = lambda df, kind: df.select(*CHUNK, F.lit(kind).cast("string").alias("kind"), F.struct(*_MENTION).alias("o"))
+    parts = [spot(df.filter(placed), k) for k, df in kinds.items()] + [spot(targets, None)]
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    # One row for each edge: an option stands at its start and at its end, a target looks from both.
+    edge = F.explode(F.array(F.struct(F.col("o.start_char").alias("at"), F.lit(True).alias("is_start")), F.struct(F.col("o.end_char").alias("at"), F.lit(False).alias("is_start")))).alias("e")
+    edges = both.select("*", edge).select(*CHUNK, "kind", "o", "e.at", "e.is_start")
+    # Both run from the far end on, so each row is looked at once; at one place options come before targets, and among options the earlier is the last.
+    ties = [F.col("kind").isNull(), F.desc("o.start_char"), F.desc("o.mention_id")]
+    frames = {s: W.partitionBy(*CHUNK).orderBy(o, *ties).rowsBetween(W.unboundedPreceding, W.currentRow) for s, o in (("b", F.asc("at")), ("a", F.desc("at")))}
+    seen = edges
+    for side, frame in frames.items():
+        hits = {f"_{side}{which}{i}": (F.col("kind") == k) & (F.col("is_start") == (which == "s")) for i, k in enumerate(names) for which in "se"}
+        seen = seen.select("*", *(F.last(F.when(hit, F.col("o")), ignorenulls=True).over(frame).alias(c) for c, hit in hits.items()))
+    mine = seen.filter(F.col("kind").isNull())
+
+    def best(i: int) -> Column:
+        """The nearest of kind i seen from this edge, with its distance."""
+
+        def seen_at(which: str, place: str) -> list[Column]:
+            options = [F.col(f"_{side}{which}{i}") for side in "ba"]
+            return [F.when(o.isNotNull(), F.struct(F.abs(F.col("at") - o[place]).alias("gap"), o["start_char"].alias("start"), o["mention_id"].alias("id"), o.alias("o"))) for o in options]
+
+        # A target's start is measured to the ends of options, its end to their starts.
+        return F.array_min(F.array_compact(F.when(F.col("is_start"), F.array(*seen_at("e", "end_char"))).otherwise(F.array(*seen_at("s", "start_char")))))
+
+    picked = mine.select(F.col("o.mention_id").alias("mention_id"), *(best(i).alias(k) for i, k in enumerate(names)))
+    picked = picked.groupBy("mention_id").agg(*(F.min(k).alias(k) for k in names)).select("mention_id", *(F.col(f"{k}.o").alias(k) for k in names))
+    return targets.join(picked, "mention_id", "left")
 
 
 def first_in_chunk(targets: DataFrame, options: DataFrame, name: str) -> DataFrame:
@@ -76,9 +116,7 @@ def lab_results(mentions: DataFrame, extractor: str, created_at: Column, content
     """One row per measurement: nearest test, range and date, first person of the chunk."""
     m = _mine(mentions, extractor, content_id)
     t = _of(m, MEASUREMENT)
-    t = nearest(t, _of(m, LAB_TEST), "test")
-    t = nearest(t, _of(m, RANGE), "rng")
-    t = nearest(t, _of(m, ("DATE",)), "day")
+    t = nearest_of(t, {"test": _of(m, LAB_TEST), "rng": _of(m, RANGE), "day": _of(m, ("DATE",))})
     t = first_in_chunk(t, _of(m, PERSON), "who")
     meta = F.col("metadata")
     text = F.coalesce(_attribute(meta, "value"), F.col("text"))
@@ -99,9 +137,7 @@ def lab_results(mentions: DataFrame, extractor: str, created_at: Column, content
 def financial_records(mentions: DataFrame, extractor: str, created_at: Column, content_id: str | None = None) -> DataFrame:
     """One row per amount: nearest record, counterparty, date and reference."""
     m = _mine(mentions, extractor, content_id)
-    t = _of(m, MONEY)
-    for labels, name in ((RECORD, "rec"), (COUNTERPARTY, "party"), (MONEY_DATE, "day"), (REFERENCE, "ref")):
-        t = nearest(t, _of(m, labels), name)
+    t = nearest_of(_of(m, MONEY), {"rec": _of(m, RECORD), "party": _of(m, COUNTERPARTY), "day": _of(m, MONEY_DATE), "ref": _of(m, REFERENCE)})
     meta = F.col("metadata")
     text = F.coalesce(_attribute(meta, "amount"), F.col("text"))
     rows = t.select(
@@ -119,9 +155,7 @@ def financial_records(mentions: DataFrame, extractor: str, created_at: Column, c
 def medical_events(mentions: DataFrame, extractor: str, created_at: Column, content_id: str | None = None) -> DataFrame:
     """One row per event: nearest patient, clinician, facility, date and dosage."""
     m = _mine(mentions, extractor, content_id)
-    t = _of(m, EVENT)
-    for labels, name in ((PERSON, "who"), (CLINICIAN, "doctor"), (FACILITY, "place"), (EVENT_DATE, "day"), (DOSAGE, "dose")):
-        t = nearest(t, _of(m, labels), name)
+    t = nearest_of(_of(m, EVENT), {"who": _of(m, PERSON), "doctor": _of(m, CLINICIAN), "place": _of(m, FACILITY), "day": _of(m, EVENT_DATE), "dose": _of(m, DOSAGE)})
     meta = F.col("metadata")
     empty = F.create_map().cast("map<string,string>")
     own = F.coalesce(F.from_json(F.get_json_object(meta, "$.attributes"), "map<string,string>"), empty)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from knowloom.session import materialise
+
 COLUMNS = ("subject", "sender", "recipients", "body")
 K1, B = 1.2, 0.75
 #: Least inverse document frequency; a term in half of all rows or more gets it.
@@ -39,15 +43,24 @@ def fold_term(token: str) -> list[str]:
     return [t for t in re.split(r"[\W_]+", plain) if t]
 
 
+#: Positions of one column lie below this, so no phrase runs over from one column to the next.
+_COLUMN_SPAN = 1 << 24
+
+
 def postings(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(term, message_id, tf) and (message_id, length) of all indexed columns.
+    """(term, message_id, tf, positions) and (message_id, length) of all indexed columns.
 
     Messages with null columns index the others; one without text has length 0.
     """
-    all_terms = F.flatten(F.array(*(F.coalesce(terms(F.col(c)), F.array().cast("array<string>")) for c in COLUMNS)))
-    t = messages.select(F.col("id").alias("message_id"), all_terms.alias("terms"))
+
+    def placed_terms(n: int, c: str) -> Column:
+        return F.transform(F.coalesce(terms(F.col(c)), F.array().cast("array<string>")), lambda t, i: F.struct(t.alias("term"), (i + n * _COLUMN_SPAN).alias("at")))
+
+    own = [placed_terms(n, c) for n, c in enumerate(COLUMNS)]
+    t = messages.select(F.col("id").alias("message_id"), F.flatten(F.array(*own)).alias("terms"))
     lengths = t.select("message_id", F.size("terms").alias("length"))
-    return t.select("message_id", F.explode("terms").alias("term")).groupBy("term", "message_id").agg(F.count(F.lit(1)).alias("tf")), lengths
+    placed = t.select("message_id", F.explode("terms").alias("t")).select("message_id", "t.*")
+    return placed.groupBy("term", "message_id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("at")).alias("positions")), lengths
 
 
 def upsert_postings(old: tuple[DataFrame, DataFrame], changed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -73,41 +86,73 @@ def _phrase_count(column: Column, phrase: list[str]) -> Column:
     return F.size(F.filter(at, fits))
 
 
+def _phrases(tokens: list[str]) -> list[list[str]] | None:
+    """Phrases of the tokens; None where the query syntax does not take a token, or for none."""
+    if not tokens or any(re.search(r"[@.]", t) for t in tokens):
+        return None
+    return [p for p in map(fold_term, tokens) if p] or None
+
+
+def _ranked(counted: DataFrame, n: int, average: float, phrases: int) -> DataFrame:
+    """Rank of the messages that hold every phrase, from (message_id, length, tf0, tf1, ...) of those that hold any."""
+    counted = materialise(counted)
+    df = counted.agg(*(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(phrases))).first()
+    rank, match = F.lit(0.0), F.lit(True)
+    for i in range(phrases):
+        d = df[f"df{i}"] or 0
+        idf = math.log((n - d + 0.5) / (d + 0.5))
+        idf = idf if idf > 0 else LEAST_IDF
+        tf = F.col(f"tf{i}").cast("double")
+        rank = rank - F.lit(idf) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(average or 1.0)))
+        match = match & (F.col(f"tf{i}") > 0)
+    return counted.filter(match).select("message_id", rank.alias("rank"))
+
+
 def bm25(messages: DataFrame, tokens: list[str]) -> DataFrame | None:
     """(message_id, rank) of the messages that match every token as a prefix; smaller ranks are better.
 
-    The scan counts matches beside each row and needs no shuffle; collection
-    statistics are one row.  None for no tokens, and where a token holds ``@`` or
-    a dot, which the query syntax does not take.  Messages are taken once per id.
+    For a table without an index: one scan counts matches beside each row and
+    needs no shuffle.  None for no tokens, and where a token holds ``@`` or a dot,
+    which the query syntax does not take.  Messages are taken once per id.
     """
-    if not tokens or any(re.search(r"[@.]", t) for t in tokens):
-        return None
-    phrases = [p for p in map(fold_term, tokens) if p]
-    if not phrases:
+    phrases = _phrases(tokens)
+    if phrases is None:
         return None
     rows = messages.select(F.col("id").alias("message_id"), *(F.coalesce(terms(F.col(c)), F.array().cast("array<string>")).alias(c) for c in COLUMNS))
-    length = sum((F.size(c) for c in COLUMNS), F.lit(0))
     counts = [sum((_phrase_count(F.col(c), p) for c in COLUMNS), F.lit(0)).alias(f"tf{i}") for i, p in enumerate(phrases)]
-    scored = rows.select("message_id", length.alias("length"), *counts)
-    n = scored.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(phrases)))).first()
-    rank = F.lit(0.0)
-    import math
-
-    for i in range(len(phrases)):
-        df = n[f"df{i}"] or 0
-        idf = math.log((n["n"] - df + 0.5) / (df + 0.5))
-        idf = idf if idf > 0 else LEAST_IDF
-        tf = F.col(f"tf{i}").cast("double")
-        rank = rank - F.lit(idf) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(n["avg"] or 1.0)))
-    match = F.lit(True)
-    for i in range(len(phrases)):
-        match = match & (F.col(f"tf{i}") > 0)
-    return scored.filter(match).select("message_id", rank.alias("rank"))
+    scored = materialise(rows.select("message_id", sum((F.size(c) for c in COLUMNS), F.lit(0)).alias("length"), *counts))
+    n = scored.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg")).first()
+    return _ranked(scored, n["n"], n["avg"], len(phrases))
+
 
+def _earlier(positions: Column, by: int) -> Column:
+    return F.transform(positions, lambda p: p - by)
 
-def boosts(messages: DataFrame, tokens: list[str], top_k: int) -> DataFrame | None:
-    """(message_id, boost) of the best ``max(4 k, 20)`` matches; the boost is 1 / (rank + 0.001), negative for usual ranks."""
-    ranked = bm25(messages, tokens)
+
+def bm25_of_index(index: tuple[DataFrame, DataFrame], tokens: list[str]) -> DataFrame | None:
+    """The same from an index of ``postings``: only the terms that the tokens begin are read, by their prefixes."""
+    phrases = _phrases(tokens)
+    if phrases is None:
+        return None
+    terms_of, lengths = index
+    holds = lambda p, j: F.col("term").startswith(p[j]) if j == len(p) - 1 else F.col("term") == p[j]
+    wanted = [holds(p, j) for p in phrases for j in range(len(p))]
+    some = terms_of.filter(functools.reduce(lambda a, b: a | b, wanted))
+    counts = []
+    for i, p in enumerate(phrases):
+        if len(p) == 1:
+            counts.append(F.coalesce(F.sum(F.when(holds(p, 0), F.col("tf"))), F.lit(0)).alias(f"tf{i}"))
+        else:
+            at = [F.flatten(F.collect_list(F.when(holds(p, j), F.col("positions")))) for j in range(len(p))]
+            shifted = functools.reduce(F.array_intersect, [_earlier(x, j) for j, x in enumerate(at)])
+            counts.append(F.size(shifted).alias(f"tf{i}"))
+    n = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg")).first()
+    return _ranked(some.groupBy("message_id").agg(*counts).join(lengths, "message_id"), n["n"], n["avg"], len(phrases))
+
+
+def boosts(source: DataFrame | tuple[DataFrame, DataFrame], tokens: list[str], top_k: int) -> DataFrame | None:
+    """(message_id, boost) of the best ``max(4 k, 20)`` matches in an index, or in messages; the boost is 1 / (rank + 0.001), negative for usual ranks."""
+    ranked = bm25_of_index(source, tokens) if isinstance(source, tuple) else bm25(source, tokens)
     if ranked is None:
         return None
     best = ranked.orderBy("rank", "message_id").limit(max(4 * top_k, 20))

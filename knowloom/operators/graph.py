@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from knowloom.functions import ids
 from knowloom.functions.text import filename_of, graph_name
 from knowloom.functions.values import amount_of_names, graph_currency
 from knowloom.operators.merge import first_wins, last_wins
+from knowloom.session import materialise
 
 
 def segments(texts: DataFrame, registry: DataFrame, attachments: DataFrame, messages: DataFrame, mentions: DataFrame, extractor: str, content_id: str | None = None, limit: int | None = None) -> DataFrame:
@@ -135,19 +137,33 @@ def export_edges(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     return kept.join(n.withColumnRenamed("entity_id", "target_id"), "target_id", "left_semi")
 
 
-def export(nodes: DataFrame, relations: DataFrame, path: str | None = None, sink=None) -> tuple[int, int]:
-    """Write the graph as Parquet, or hand partitions to ``sink(kind, rows)``; returns the numbers of nodes and edges offered.
+def _stored(spark, path: str, like: DataFrame) -> DataFrame:
+    try:
+        return spark.read.schema(like.schema).parquet(path)
+    except AnalysisException:  # nothing stored yet
+        return like.limit(0)
 
-    Edges with a missing end are counted but not written.
+
+def export(nodes: DataFrame, relations: DataFrame, path: str | None = None, sink=None, clear: bool = False) -> tuple[int, int]:
+    """Merge the graph into a Parquet export, or hand partitions to ``sink(kind, rows)``; returns the numbers of nodes and edges offered.
+
+    Nodes are merged by id, edges by relation id, over what an earlier export
+    left, unless ``clear`` empties it first (a sink is told by ``sink("clear",
+    ())``).  Edges with a missing end are counted but not written.
     """
     out_nodes, out_edges = export_nodes(nodes), export_edges(relations, nodes)
     if path:
-        out_nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-        out_edges.write.mode("overwrite").parquet(f"{path}/edges")
+        for name, fresh, key in (("nodes", out_nodes, "entity_id"), ("edges", out_edges, "relation_id")):
+            place = f"{path}/{name}"
+            merged = fresh if clear else last_wins(_stored(fresh.sparkSession, place, fresh), fresh, [key])
+            # The old export is read before it is written over.
+            materialise(merged).write.mode("overwrite").parquet(place)
     if sink:
+        if clear:
+            sink("clear", ())
         out_nodes.foreachPartition(lambda rows: sink("node", rows))
         out_edges.foreachPartition(lambda rows: sink("edge", rows))
-    return out_nodes.count(), relations.count()
+    return nodes.count(), relations.count()
 
 
 def remove_extractor(mentions: DataFrame, nodes: DataFrame, relations: DataFrame, prefix: str = "spacy:") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -166,8 +182,9 @@ def remove_extractor(mentions: DataFrame, nodes: DataFrame, relations: DataFrame
 def payments(nodes: DataFrame, relations: DataFrame, counterparty: str, limit: int | None = None) -> DataFrame:
     """Money mentioned in the same contents as a counterparty: amount, currency and provenance.
 
-    The counterparty is found by its canonical name; rows are distinct and, for
-    a limit, ordered by content and amount text.
+    The counterparty is found by its canonical name; the currency is read from
+    the amount's text and the canonical name together.  Rows are distinct in what
+    they show and, for a limit, ordered by it.
     """
     name = counterparty.strip().lower()
     who = nodes.filter(F.get_json_object("properties", "$.canonical") == name).select(F.col("entity_id").alias("source_id"))
@@ -177,13 +194,13 @@ def payments(nodes: DataFrame, relations: DataFrame, counterparty: str, limit: i
     content = nodes.filter(F.col("label") == "Content").select(F.col("entity_id").alias("target_id"), F.col("properties").alias("c"))
     # Properties are parsed last, for the few rows that are left.
     met = e.join(where, "target_id", "left_semi").distinct().join(money, "source_id").join(content, "target_id")
-    amounts, infos = "canonical string, aliases array<string>", "filename string, subject string, message_id string, attachment_id string"
-    rows = met.select("target_id", F.from_json("m", amounts).alias("m"), F.from_json("c", infos).alias("c")).select("target_id", "m.*", "c.*").distinct()
+    amounts, infos = "canonical string, aliases array<string>", "subject string, filename string, content_type string, message_id string, attachment_id string"
+    rows = met.select(F.from_json("m", amounts).alias("m"), F.from_json("c", infos).alias("c")).select("m.*", "c.*").distinct().withColumn("canonical", F.coalesce("canonical", F.lit("")))
     read = amount_of_names(F.col("canonical"), F.col("aliases"))
     out = rows.withColumn("r", read).select(
-        F.col("target_id").alias("content_id"), F.col("r.value").alias("amount"), F.col("r.text").alias("amount_text"), graph_currency(F.coalesce("r.text", "canonical")).alias("currency"), "filename", "subject", "message_id", "attachment_id"
+        F.col("r.value").alias("amount"), F.col("r.text").alias("amount_text"), graph_currency(F.concat_ws(" ", "r.text", "canonical")).alias("currency"), "subject", "filename", "content_type", "message_id", "attachment_id"
     )
-    return out if not limit or limit < 0 else out.orderBy("content_id", "amount_text").limit(limit)
+    return out if not limit or limit < 0 else out.orderBy("message_id", "attachment_id", "filename", "subject", "amount_text").limit(limit)
 
 
 def totals(mentions: DataFrame) -> DataFrame:

@@ -6,9 +6,15 @@ are broken by all columns, so the result does not depend on row order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _digest(df: DataFrame) -> Column:
+    """Hash of all columns for ties; maps count as JSON."""
+    return F.xxhash64(*(F.to_json(c) if isinstance(df.schema[c].dataType, T.MapType) else F.col(c) for c in df.columns))
 
 
 def _one_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -18,7 +24,7 @@ def _one_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 def last_wins(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """Upsert: the new row of a key replaces the old; among new rows the one last in ``order``."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    ties = [F.desc_nulls_last(F.xxhash64(*old.columns))]
+    ties = [F.desc_nulls_last(_digest(old))]
     by = [F.desc("_new"), *([F.desc_nulls_last(order)] if order else []), *ties]
     return _one_per_key(both, keys, by).drop("_new")
 
@@ -26,7 +32,7 @@ def last_wins(old: DataFrame, new: DataFrame, keys: list[str], order: str | None
 def first_wins(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """Insert where absent: stored rows stay, of new rows the one first in ``order`` comes in."""
     fresh = new.join(old.select(*keys).distinct(), keys, "left_anti")
-    by = [*([F.asc_nulls_last(order)] if order else []), F.asc(F.xxhash64(*new.columns))]
+    by = [*([F.asc_nulls_last(order)] if order else []), F.asc(_digest(new))]
     return old.unionByName(_one_per_key(fresh, keys, by))
 
 

@@ -29,7 +29,7 @@ def words_of(query: str) -> tuple[list[str], list[str]]:
 def search(
     texts: DataFrame,
     vectors: DataFrame,
-    messages: DataFrame,
+    messages: DataFrame | tuple[DataFrame, DataFrame],
     query: str,
     top_k: int = 5,
     embedder: HashedEmbedder | None = None,
@@ -40,8 +40,10 @@ def search(
     Scores follow the fixed weights; the boost of full-text matches is usually
     negative, and a smaller loss than not matching at all.  Vectors of another
     length than the query's count as dissimilar (cosine 0).  Ties are broken by
-    content and chunk.  The query vector and words are literals of the plan, so
-    one scan of the vectors joined to their texts ends in a bounded top-k.
+    content and chunk.  ``messages`` is their full-text index (``fts.postings``), or
+    the messages themselves where there is none.  The query vector and words are
+    literals of the plan, so one scan of the vectors joined to their texts ends in
+    a bounded top-k.
     """
     e = embedder or HashedEmbedder()
     words, strong = words_of(query)
@@ -53,8 +55,10 @@ def search(
     rows = rows.withColumn("raw_score", F.coalesce(dot(F.col("vector"), q), F.lit(0.0))).withColumn("message_id", message_id_of(meta)).drop("vector")
     score = F.col("raw_score")
     found = boosts(messages, strong or words, top_k)
-    if found is not None and not found.isEmpty():
-        rows = rows.join(F.broadcast(found), "message_id", "left")
+    # At most max(4 k, 20) rows.
+    best = found.collect() if found is not None else []
+    if best:
+        rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame(best, found.schema)), "message_id", "left")
         score = score + F.when(F.col("boost").isNotNull(), F.col("boost") * FTS_WEIGHT).otherwise(FTS_MISS)
     array = lambda ws: F.array(*map(F.lit, ws)) if ws else F.array().cast("array<string>")
     hay = F.lower(F.concat_ws(" \n", "text", F.get_json_object(meta, "$.subject"), flat_values(meta)))

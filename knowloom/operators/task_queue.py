@@ -56,11 +56,11 @@ def eligible(queue: DataFrame, now: Column, task_types: list[str] | None = None,
     return q.filter(F.col("task_type").isin(task_types)) if task_types else q
 
 
-def fetch_and_lock(queue: DataFrame, now: Column, task_types: list[str] | None = None, lease_seconds: int = LEASE_SECONDS) -> tuple[DataFrame, DataFrame]:
-    """(the oldest eligible task, or none; the queue with its lease)."""
-    head = eligible(queue, now, task_types, lease_seconds).orderBy("available_at", "created_at", "task_id").limit(1)
+def fetch_and_lock(queue: DataFrame, now: Column, task_types: list[str] | None = None, lease_seconds: int = LEASE_SECONDS, most: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(the oldest eligible tasks, ``most`` at most; the queue with their leases)."""
+    head = eligible(queue, now, task_types, lease_seconds).orderBy("available_at", "created_at", "task_id").limit(most)
     head = head.withColumn("status", F.lit("in_progress")).withColumn("locked_at", now).withColumn("updated_at", now)
-    return head, queue.join(head.select("task_id"), "task_id", "left_anti").unionByName(head)
+    return head, queue.join(head.select("task_id"), "task_id", "left_anti").unionByName(head.select(*queue.columns))
 
 
 def complete(queue: DataFrame, task_ids: list[str]) -> DataFrame:
@@ -101,38 +101,34 @@ class QueueBackend(Protocol):
 
 
 class TableBackend:
-    """Queue as versioned Parquet folders: a version is written whole before a pointer moves to it."""
+    """Queue as versioned Parquet folders on the cluster's file system.
 
-    def __init__(self, spark, path: str):
-        self.spark, self.path = spark, path
+    A task that is not due yet needs no promotion: ``eligible`` compares its time.
+    """
 
-    def _versions(self) -> list[int]:
-        import os
+    def __init__(self, spark, path: str):
+        from knowloom.storage import Versions
 
-        if not os.path.isdir(self.path):
-            return []
-        return sorted(int(d[1:]) for d in os.listdir(self.path) if d.startswith("v") and d[1:].isdigit() and os.path.exists(f"{self.path}/{d}/_SUCCESS"))
+        self._versions = Versions(spark, path, "task_queue")
 
     def load(self) -> DataFrame:
-        from knowloom.schemas import TASK_QUEUE, empty
-
-        v = self._versions()
-        return self.spark.read.schema(TASK_QUEUE).parquet(f"{self.path}/v{v[-1]}") if v else empty(self.spark, "task_queue")
+        return self._versions.load()
 
     def store(self, queue: DataFrame) -> None:
-        v = self._versions()
-        queue.write.parquet(f"{self.path}/v{(v[-1] if v else 0) + 1}")
+        self._versions.store(queue)
 
 
+# Schemes of queue servers.
+SERVICES = ("redis", "rediss", "unix")
 #: Makers of backends by address scheme; a service's connector is registered here.
 BACKENDS: dict[str, Callable] = {}
 
 
 def open_backend(spark, target: str) -> QueueBackend:
-    """Backend of an address: a registered scheme (``redis``, ``rediss``, ``unix`` and the like), a folder otherwise."""
+    """Backend of an address: a registered service (``redis``, ``rediss``, ``unix``), a folder of any file system otherwise."""
     scheme = target.split("://", 1)[0] if "://" in target else ""
-    if scheme in ("", "file"):
-        return TableBackend(spark, target.removeprefix("file://"))
-    if scheme not in BACKENDS:
+    if scheme in BACKENDS:
+        return BACKENDS[scheme](spark, target)
+    if scheme in SERVICES:
         raise ValueError(f"no queue connector is registered for {scheme}://")
-    return BACKENDS[scheme](spark, target)
+    return TableBackend(spark, target)

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 def _struct(ddl: str) -> T.StructType:
     """A struct from ``name type`` pairs; plain names are strings."""
-    kinds = {"int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "ts": T.TimestampType(), "binary": T.BinaryType(), "vector": T.ArrayType(T.FloatType()), "strings": T.ArrayType(T.StringType()), "map": T.MapType(T.StringType(), T.StringType())}
+    kinds = {"int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "ts": T.TimestampType(), "binary": T.BinaryType(), "vector": T.ArrayType(T.FloatType()), "strings": T.ArrayType(T.StringType()), "ints": T.ArrayType(T.IntegerType()), "map": T.MapType(T.StringType(), T.StringType())}
     fields = []
     for part in ddl.split(","):
         name, *kind = part.split()
@@ -31,6 +31,8 @@ GRAPH_RELATIONS = _struct("relation_id, source_id, target_id, relation_type, pro
 ENTITY_MENTIONS = _struct("mention_id, extractor, content_id, chunk_index int, entity_id, label, text, start_char int, end_char int, confidence double, metadata, created_at")
 LOCAL_FILES = _struct("content_id, path, size long, modified_at, metadata")
 TASK_QUEUE = _struct("task_id, task_type, status, payload, attempts int, available_at ts, locked_at ts, last_error, created_at ts, updated_at ts")
+POSTINGS = _struct("term, message_id, tf long, positions ints")
+MESSAGE_LENGTHS = _struct("message_id, length int")
 LAB_RESULTS = _struct(
     "result_id, extractor, test_entity_id, measurement_entity_id, reference_entity_id, test_name, measurement_text, measurement_value double, measurement_units, reference_range, "
     "date_raw, date_parsed, patient, message_id, attachment_id, content_id, chunk_index int, metadata, created_at"
@@ -54,6 +56,8 @@ TABLES = {
     "entity_mentions": (ENTITY_MENTIONS, ["mention_id"]),
     "local_files": (LOCAL_FILES, ["content_id"]),
     "task_queue": (TASK_QUEUE, ["task_id"]),
+    "postings": (POSTINGS, ["term", "message_id"]),
+    "message_lengths": (MESSAGE_LENGTHS, ["message_id"]),
     "lab_results": (LAB_RESULTS, ["result_id"]),
     "financial_records": (FINANCIAL_RECORDS, ["record_id"]),
     "medical_events": (MEDICAL_EVENTS, ["event_id"]),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -74,6 +75,27 @@ def _default_reader(data: bytes) -> list[str]:
     return [page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages]
 
 
+def load(paths: DataFrame) -> DataFrame:
+    """Files named in the column ``path`` with their bytes in ``data``, read by the executors from the shared file system; null where a file is gone."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            data = []
+            for path in batch["path"]:
+                try:
+                    where, inside = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path)) if ":/" in path else (fs.LocalFileSystem(), path)
+                    with where.open_input_stream(inside) as f:
+                        data.append(f.read())
+                except OSError:
+                    data.append(None)
+            yield batch.assign(data=data)
+
+    kept = paths.drop("data")
+    return kept.mapInPandas(run, T.StructType([*kept.schema.fields, T.StructField("data", T.BinaryType())]))
+
+
 def _pages(reader: Callable[[bytes], list[str]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import base64
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,39 @@ class MessageClient(Protocol):
 
     def get(self, message_id: str) -> dict: ...
 
+    def attachment(self, message_id: str, attachment_id: str) -> str:
+        """Base64url data of an attachment, which a message names only."""
+        ...
+
+
+def with_attachment_data(client: MessageClient, payload: dict) -> dict:
+    """A payload in which every named attachment has its data."""
+    inner = payload.get("payload") or {}
+    parts = []
+    for part in inner.get("parts") or []:
+        body = part.get("body") or {}
+        if part.get("filename") and body.get("attachmentId") and not body.get("data"):
+            part = part | {"body": body | {"data": client.attachment(payload["id"], body["attachmentId"])}}
+        parts.append(part)
+    return payload | {"payload": inner | {"parts": parts}} if parts else payload
+
+
+def load_attachments(stored: DataFrame, make_client: Callable[[], MessageClient]) -> DataFrame:
+    """Stored attachments with the bytes that are still missing, fetched by the executors; one client for each task."""
+
+    def run(batches):
+        client = None
+        for pdf in batches:
+            data = pdf["data"].tolist()
+            for i, (message, own) in enumerate(zip(pdf["message_id"], pdf["id"])):
+                if data[i] is None:
+                    client = client or make_client()
+                    text = client.attachment(message, own) or ""
+                    data[i] = base64.urlsafe_b64decode(text + "=" * (-len(text) % 4))
+            yield pdf.assign(data=data)
+
+    return stored.mapInPandas(run, stored.schema)
+
 
 def search(client: MessageClient, query: str, limit: int | None = None, page_size: int = 100) -> Iterator[dict]:
     """Payloads of matching messages, fetched page by page as they are asked for.
@@ -51,7 +85,7 @@ def search(client: MessageClient, query: str, limit: int | None = None, page_siz
         for one in found:
             if not unlimited and given >= limit:
                 return
-            yield client.get(one)
+            yield with_attachment_data(client, client.get(one))
             given += 1
         if not token:
             return
@@ -72,32 +106,39 @@ def base64url(data: Column) -> Column:
     return F.unbase64(F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), F.lit("=")))
 
 
+def _header(name: str) -> Column:
+    """Value of a header in any case; of repeated ones the last, empty without any."""
+    own = F.filter(F.coalesce("payload.headers", F.array().cast(_HEADERS)), lambda h: F.lower(h["name"]) == name)
+    return F.coalesce(F.try_element_at(own, F.lit(-1))["value"], F.lit(""))
+
+
 def decode_messages(payloads: DataFrame) -> DataFrame:
     """Provider payloads as inbound messages.
 
-    Header names match in any case; recipients are cut at every comma; the body
-    is that of the payload, else of the first top-level ``text/plain`` part.
+    Header names match in any case, of repeated headers the last counts;
+    recipients are cut at every comma; the body is that of the payload, else of
+    the first top-level ``text/plain`` part; without a date it is the epoch.
     """
-    headers = F.map_from_entries(F.array_distinct(F.transform(F.coalesce("payload.headers", F.array()), lambda h: F.struct(F.lower(h["name"]).alias("k"), h["value"].alias("v")))))
-    p = payloads.withColumn("_h", headers)
     text_part = F.filter("payload.parts", lambda x: (x["mimeType"] == "text/plain") & x["body"]["data"].isNotNull())
     own = F.nullif(F.col("payload.body.data"), F.lit(""))
     data = F.coalesce(own, F.try_element_at(text_part, F.lit(1))["body"]["data"])
     parts = F.filter(F.coalesce("payload.parts", F.array()), lambda x: (F.length(x["filename"]) > 0) & (F.length(x["body"]["attachmentId"]) > 0))
-    empty = F.create_map().cast("map<string,string>")
+    size = lambda x: F.create_map(F.lit("size"), x["body"]["size"].cast("string"))
     attachments = F.transform(
         parts,
-        lambda x: F.struct(x["body"]["attachmentId"].alias("id"), x["filename"].alias("filename"), x["mimeType"].alias("mime_type"), base64url(x["body"]["data"]).alias("data"), empty.alias("metadata")),
+        lambda x: F.struct(
+            x["body"]["attachmentId"].alias("id"), x["filename"].alias("filename"), F.coalesce(x["mimeType"], F.lit("application/octet-stream")).alias("mime_type"), base64url(x["body"]["data"]).alias("data"), size(x).alias("metadata")
+        ),
     )
-    to = F.filter(F.transform(F.split(F.coalesce(F.col("_h")["to"], F.lit("")), ","), lambda r: F.trim(r)), lambda r: r != "")
-    return p.select(
+    to = F.filter(F.transform(F.split(_header("to"), ","), lambda r: F.trim(r)), lambda r: r != "")
+    return payloads.select(
         "id",
-        F.coalesce(F.col("_h")["subject"], F.lit("")).alias("subject"),
-        F.coalesce(F.col("_h")["from"], F.lit("")).alias("sender"),
+        _header("subject").alias("subject"),
+        _header("from").alias("sender"),
         to.alias("recipients"),
         F.coalesce("snippet", F.lit("")).alias("snippet"),
         F.coalesce(F.decode(base64url(data), "UTF-8"), F.lit("")).alias("body"),
-        F.timestamp_millis(F.col("internalDate").try_cast("long")).alias("received_at"),
+        F.timestamp_millis(F.coalesce(F.col("internalDate").try_cast("long"), F.lit(0))).alias("received_at"),
         F.col("threadId").alias("thread_id"),
         F.create_map(F.lit("source"), F.lit("mail"), F.lit("labels"), F.to_json(F.coalesce("labelIds", F.array().cast("array<string>")))).alias("metadata"),
         attachments.alias("attachments"),

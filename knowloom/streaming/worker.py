@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 from collections.abc import Callable
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from knowloom.functions.ids import task_id
 from knowloom.operators import task_queue as tq
+from knowloom.session import materialise
 
 log = logging.getLogger(__name__)
 
@@ -30,59 +32,64 @@ def follow_ups(task_type: str, payload: dict, extractors: dict[str, str]) -> lis
 
 
 class Worker:
-    """Takes due tasks one by one, runs their handlers, and enqueues what follows.
+    """Leases due tasks, runs their handlers, and enqueues what follows.
 
     A handler returns the tasks that follow; an exception counts as a failed
-    attempt.  The worker is the queue's only writer.
+    attempt.  The worker is the queue's only writer.  It writes the queue twice for
+    a lease of up to ``lease`` tasks: when they are locked, and when all their
+    results, follow-ups included, are known; a crash in between leaves leases that
+    run out, and no task is lost.
     """
 
-    def __init__(self, spark, backend: tq.QueueBackend, handlers: dict[str, Handler], clock: Callable[[], str]):
-        self.spark, self.backend, self.handlers, self.clock = spark, backend, handlers, clock
-
-    def enqueue(self, tasks: list[tuple[str, dict]]) -> None:
-        import json
+    def __init__(self, spark, backend: tq.QueueBackend, handlers: dict[str, Handler], clock: Callable[[], str], lease: int = 1):
+        self.spark, self.backend, self.handlers, self.clock, self.lease = spark, backend, handlers, clock, lease
 
+    def _enqueued(self, queue: DataFrame, tasks: list[tuple[str, dict]]) -> DataFrame:
         if not tasks:
-            return
+            return queue
         rows = [(task_id(k, p), k, json.dumps(p, sort_keys=True), None) for k, p in tasks]
         df = self.spark.createDataFrame(rows, "task_id string, task_type string, payload string, available_at timestamp")
-        self._store(tq.enqueue(self.backend.load(), df, self._now()))
+        return tq.enqueue(queue, df, self._now())
+
+    def enqueue(self, tasks: list[tuple[str, dict]]) -> None:
+        if tasks:
+            self.backend.store(self._enqueued(self.backend.load(), tasks))
 
     def _now(self):
         return F.lit(self.clock()).cast("timestamp")
 
-    def _store(self, queue: DataFrame) -> None:
-        self.backend.store(queue)
-
-    def step(self) -> bool:
-        """One task; false if none was due."""
-        import json
-
+    def step(self) -> int:
+        """One lease; returns the number of its tasks."""
         now = self._now()
-        head, queue = tq.fetch_and_lock(self.backend.load(), now, list(self.handlers))
-        row = head.first()
-        if row is None:
-            return False
-        self._store(queue)
-        try:
-            after = self.handlers[row["task_type"]](json.loads(row["payload"]))
-        except Exception as e:
-            log.exception("task %s failed", row["task_id"])
-            self._store(tq.fail(self.backend.load(), row["task_id"], str(e), now))
-            return True
-        self._store(tq.complete(self.backend.load(), [row["task_id"]]))
-        self.enqueue(after or [])
-        return True
+        head, queue = tq.fetch_and_lock(self.backend.load(), now, list(self.handlers), most=self.lease)
+        rows = materialise(head).collect()
+        if not rows:
+            return 0
+        locked = self.spark.createDataFrame(rows, head.schema)
+        self.backend.store(queue.join(locked.select("task_id"), "task_id", "left_anti").unionByName(locked.select(*queue.columns)))
+        done, failed, after = [], {}, []
+        for row in rows:
+            try:
+                after += self.handlers[row["task_type"]](json.loads(row["payload"])) or []
+                done.append(row["task_id"])
+            except Exception as e:
+                log.exception("task %s failed", row["task_id"])
+                failed[row["task_id"]] = str(e)
+        queue = tq.complete(self.backend.load(), done)
+        for one, error in failed.items():
+            queue = tq.fail(queue, one, error, now)
+        self.backend.store(self._enqueued(queue, after))
+        return len(rows)
 
     def run(self, once: bool = True, most: int | None = None, wait: Callable[[], None] = lambda: None) -> int:
         """Work until nothing is due (``once``) or ``most`` tasks are done; returns their number."""
         done = 0
         while most is None or done < most:
-            if self.step():
-                done += 1
-            elif once:
-                break
-            else:
+            n = self.step()
+            done += n
+            if not n:
+                if once:
+                    break
                 wait()
         return done
 
