@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from knowloom.operators.extract import PATTERNS
+
 _WS = r"[\s\x{000B}\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _NORM = f"trim(regexp_replace(text, '{_WS}', ' ', 'g'))"
 _WORDS = "len(list_filter(string_split({0}, ' '), lambda x: x <> ''))"
@@ -20,8 +22,8 @@ _AMOUNT = r"""(CASE WHEN v < 1000 THEN v * CASE WHEN contains(l, 'crore') THEN 1
 _GRAPH_CURRENCY = "CASE WHEN contains(lower({0}), 'usd') OR contains({0}, '$') THEN 'USD' WHEN contains(lower({0}), 'inr') OR contains(lower({0}), 'rs') OR contains({0}, '₹') THEN 'INR' WHEN contains(lower({0}), 'eur') OR contains({0}, '€') THEN 'EUR' WHEN contains(lower({0}), 'gbp') OR contains({0}, '£') THEN 'GBP' END"
 _READ = r"lower(replace({0}, ',', '')) AS l, TRY_CAST(nullif(regexp_extract(lower(replace({0}, ',', '')), '\d+(?:\.\d+)?'), '') AS DOUBLE) AS v"
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-_REF = r"(?:INV|DOC|TXN|PO|RC)-[0-9]{4,}"
-_TEXTS = "(SELECT DISTINCT ON (content_id, chunk_index) * FROM attachment_texts WHERE text IS NOT NULL)"
+_TEXTS = "(SELECT DISTINCT content_id, page, chunk_index, text FROM attachment_texts WHERE text IS NOT NULL)"
+_MENTIONS = " UNION ALL ".join(f"SELECT '{label}' AS label, content_id, unnest(regexp_extract_all(text, '{pattern}')) AS m FROM {_TEXTS}" for label, pattern in PATTERNS.items())
 _QUEUE = """(SELECT event_id::VARCHAR AS task_id, event_type AS task_type,
   CASE WHEN event_type IN ('click', 'view') THEN 'pending' WHEN event_type = 'purchase' THEN 'in_progress' WHEN event_type = 'signup' THEN 'completed' ELSE 'failed' END AS status,
   (user_id % 6)::INT AS attempts, ts, ts AS locked_at FROM events)"""
@@ -45,7 +47,7 @@ ORACLES: dict[str, str] = {
     "chunk_documents": f"SELECT doc_id AS content_id, 1::INT AS page, i::INT AS chunk_index, text, {_WORDS.format('text')}::INT AS token_count, sha256(text) AS sha256 FROM ({_chunks('doc_id::VARCHAR AS doc_id', 'documents')})",
     "chunk_stats": f"SELECT lang, count(*) AS chunks, sum({_WORDS.format('text')})::BIGINT AS words FROM ({_chunks('lang', 'documents')}) GROUP BY lang",
     "chunk_numbering": f"""SELECT content_id, page, (row_number() OVER (PARTITION BY content_id ORDER BY page, i) - 1)::INT AS chunk_index, {_WORDS.format('text')}::INT AS token_count
-FROM ({_chunks('content_id, chunk_index AS page', '(SELECT DISTINCT ON (content_id, chunk_index) * FROM attachment_texts)')})""",
+FROM ({_chunks('content_id, chunk_index AS page', '(SELECT DISTINCT content_id, chunk_index, text FROM attachment_texts)')})""",
     "token_buckets": f"""SELECT doc_id, (('0x' || right(sha1(w), 2))::INT % 128)::INT AS bucket, count(*) AS n
 FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '{_WS}'), lambda x: x <> '')) AS w FROM documents WHERE text IS NOT NULL) GROUP BY ALL""",
     "vector_norms": """SELECT embedding_id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 3) AS norm, CASE WHEN list_sum(list_transform(v, lambda x: x * x)) > 0 THEN 1.0 ELSE 0.0 END AS unit_norm
@@ -60,7 +62,8 @@ SELECT content_id, page, chunk_index, 1::INT AS run FROM t WHERE content_id NOT
     "pending_union_limit": f"""SELECT content_id, content_type, filename FROM {_REGISTRY} r WHERE NOT EXISTS (SELECT 1 FROM chunk_embeddings e WHERE e.content_id = r.content_id)
 ORDER BY p, created_at NULLS FIRST, content_id LIMIT 3000""",
     "segments_provenance": f"""SELECT t.content_id, t.page, t.chunk_index, m_id AS message_id, CASE WHEN t.content_id LIKE 'attachment:%' THEN split_part(t.content_id, ':', 3) || '.pdf' END AS filename, m.subject
-FROM (SELECT *, CASE WHEN content_id LIKE 'attachment:%' THEN split_part(content_id, ':', 2) END AS m_id FROM (SELECT DISTINCT ON (content_id, page, chunk_index) * FROM attachment_texts)) t LEFT JOIN {_DEDUP} m ON m.id = t.m_id""",
+FROM (SELECT *, CASE WHEN content_id LIKE 'attachment:%' THEN split_part(content_id, ':', 2) END AS m_id FROM (SELECT DISTINCT content_id, page, chunk_index, text FROM attachment_texts)
+WHERE (content_id, chunk_index) NOT IN (SELECT (content_id, chunk_index) FROM attachment_texts WHERE regexp_matches(text, '{_EMAIL}'))) t LEFT JOIN {_DEDUP} m ON m.id = t.m_id""",
     "bm25_messages": f"""WITH d AS (SELECT id, {_TERMS} AS ts FROM {_DEDUP}),
 c AS (SELECT id, len(ts) AS n, len(list_filter(ts, lambda x: starts_with(x, 'insur'))) AS a, len(list_filter(ts, lambda x: starts_with(x, 'form'))) AS b FROM d),
 s AS (SELECT count(*) AS docs, avg(n) AS av, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c),
@@ -92,9 +95,8 @@ FROM (SELECT DISTINCT result_id, trim(regexp_replace(date_raw, '\s+', ' ', 'g'))
     "json_prop_filter": "SELECT event_type, count(*) AS n, sum(k)::BIGINT AS k FROM (SELECT event_type, json_extract_string(props, '$.k')::INT AS k FROM events) WHERE k >= 5 GROUP BY event_type",
     "email_mentions": f"SELECT content_id, chunk_index, m AS text, count(*) AS n FROM (SELECT content_id, chunk_index, unnest(regexp_extract_all(text, '{_EMAIL}')) AS m FROM {_TEXTS}) GROUP BY ALL",
     "graph_entities": f"""SELECT label || ':' || left(sha1(label || ':' || trim(lower(m))), 16) AS entity_id, label, min(trim(lower(m))) AS canonical, array_to_string(list_sort(list(DISTINCT m)), '|') AS aliases
-FROM (SELECT 'EMAIL' AS label, unnest(regexp_extract_all(text, '{_EMAIL}')) AS m FROM {_TEXTS} UNION ALL SELECT 'INVOICE_REFERENCE', unnest(regexp_extract_all(text, '{_REF}')) FROM {_TEXTS}) GROUP BY 1, 2""",
-    "graph_edges": f"""SELECT 'INVOICE_REFERENCE:' || left(sha1('INVOICE_REFERENCE:' || trim(lower(m))), 16) AS source_id, content_id AS target_id, 'MENTIONED_IN' AS relation_type, count(*) AS mentions
-FROM (SELECT content_id, unnest(regexp_extract_all(text, '{_REF}')) AS m FROM {_TEXTS}) GROUP BY ALL""",
+FROM ({_MENTIONS}) GROUP BY 1, 2""",
+    "graph_edges": f"""SELECT label || ':' || left(sha1(label || ':' || trim(lower(m))), 16) AS source_id, content_id AS target_id, 'MENTIONED_IN' AS relation_type, count(*) AS mentions FROM ({_MENTIONS}) GROUP BY ALL""",
     "alias_merge": "SELECT 'VENDOR:' || trim(lower(counterparty)) AS entity_id, array_to_string(list_sort(list(DISTINCT counterparty)), '|') AS aliases, min(created_at) AS created_at, max(created_at) AS updated_at FROM financial_records WHERE counterparty IS NOT NULL GROUP BY 1",
     "nearest_mention": f"SELECT mention_id, nearest_id, day FROM ({_NEAREST})",
     "first_mention": f"SELECT t.mention_id, arg_min(o.text, (o.s, o.mention_id)) AS day FROM {_ORDER_MENTIONS} t LEFT JOIN {_ORDER_MENTIONS} o ON o.content_id = t.content_id AND o.label = 'DATE' WHERE t.label = 'MONEY' GROUP BY t.mention_id",
@@ -108,8 +110,33 @@ FROM (SELECT doc_id, text, instr(lower(text), 'report') AS p FROM documents WHER
     "export_names": r"""SELECT id, message_id, CASE WHEN n = 0 THEN filename ELSE regexp_extract(filename, '^(.*?)(\.[^.]*)?$', 1) || '_' || n || regexp_extract(filename, '^(.*?)(\.[^.]*)?$', 2) END AS export_name
 FROM (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY message_id NULLS FIRST, id) - 1 AS n FROM (SELECT attachment_id AS id, message_id, min(json_extract_string(metadata, '$.filename')) AS filename FROM lab_results WHERE attachment_id IS NOT NULL AND json_extract_string(metadata, '$.filename') IS NOT NULL GROUP BY 1, 2))""",
     "queue_eligible": f"SELECT task_id, status FROM {_QUEUE} WHERE (status = 'pending' AND ts <= {_MID}) OR (status = 'in_progress' AND ts <= {_MID} - INTERVAL 300 SECOND)",
-    "queue_dedupe": f"SELECT CASE WHEN task_id::BIGINT % 3 = 0 AND status IN ('completed', 'failed') THEN 'pending' ELSE status END AS status, count(*) AS tasks, sum(attempts)::BIGINT AS attempts FROM {_QUEUE} GROUP BY 1",
+    "queue_dedupe": f"SELECT CASE WHEN task_type IN ('signup', 'view') AND status IN ('completed', 'failed') THEN 'pending' ELSE status END AS status, count(*) AS tasks, sum(attempts)::BIGINT AS attempts FROM {_QUEUE} GROUP BY 1",
     "queue_fail_policy": f"""WITH f AS (SELECT min(task_id) AS id FROM {_QUEUE} WHERE status = 'in_progress'), q AS (SELECT *, task_id = (SELECT id FROM f) AS hit FROM {_QUEUE})
 SELECT CASE WHEN hit THEN CASE WHEN attempts + 1 >= 5 THEN 'failed' ELSE 'pending' END ELSE status END AS status, count(*) AS tasks, sum(attempts + hit::INT)::BIGINT AS attempts, max(CASE WHEN hit THEN 1024 END)::INT AS error_chars FROM q GROUP BY 1""",
     "queue_recover": f"SELECT CASE WHEN stale THEN 'pending' ELSE status END AS status, count(*) AS tasks, count(CASE WHEN NOT stale THEN 1 END) AS locked FROM (SELECT *, status = 'in_progress' AND ts <= {_MID} - INTERVAL 300 SECOND AS stale FROM {_QUEUE}) GROUP BY 1",
+    "agent_tools": """SELECT 'lab_results' AS tool, true AS success, least(5, (SELECT count(*) FROM (SELECT DISTINCT * FROM lab_results) WHERE extractor = 'llm:small-local' AND lower(test_name) LIKE '%urea%'))::INT AS n_rows
+UNION ALL SELECT 'medical_events', true, least(5, (SELECT count(*) FROM (SELECT DISTINCT * FROM medical_events) WHERE extractor = 'llm:small-local' AND lower(event_type) = 'procedure'))::INT
+UNION ALL SELECT 'fetch_message_context', true, (SELECT CASE WHEN thread_id IS NULL THEN 1 ELSE least(5, (SELECT count(DISTINCT id) FROM messages o WHERE o.thread_id = m.thread_id)) END FROM messages m ORDER BY id LIMIT 1)::INT
+UNION ALL SELECT 'no_such_tool', false, 0::INT""",
 }
+
+
+def _hybrid(query: str, strong: list[str], words: list[str], top_k: int) -> str:
+    """Hybrid search over the chunks of all messages: cosine of hashed words, boosts, participants and keywords."""
+    count = ", ".join(f"len(list_filter(ts, lambda x: starts_with(x, '{w}'))) AS a{i}" for i, w in enumerate(strong))
+    df = ", ".join(f"count(*) FILTER (a{i} > 0) AS d{i}" for i in range(len(strong)))
+    idf = ", ".join(f"greatest(ln((docs - d{i} + 0.5) / (d{i} + 0.5)), 1e-6) AS i{i}" for i in range(len(strong)))
+    rank = " + ".join(f"i{i} * a{i} * 2.2 / (a{i} + 1.2 * (0.25 + 0.75 * n / av))" for i in range(len(strong)))
+    hits = lambda hay, ws: "(" + " + ".join(f"contains({hay}, '{w}')::INT" for w in ws) + ")"
+    return f"""WITH c AS ({_chunks("id, subject, sender, recipients", "(SELECT id, subject, sender, recipients, body AS text FROM " + _DEDUP + ")")}),
+w AS (SELECT id, i, (('0x' || right(sha1(w), 2))::INT % 128) AS b, count(*) AS n FROM (SELECT id, i, unnest(list_filter(regexp_split_to_array(lower(text), '{_WS}'), lambda x: x <> '')) AS w FROM c) GROUP BY ALL),
+q AS (SELECT (('0x' || right(sha1(w), 2))::INT % 128) AS b, count(*) AS n FROM (SELECT unnest(string_split('{query}', ' ')) AS w) GROUP BY 1),
+r AS (SELECT w.id, w.i, coalesce(sum(w.n * q.n), 0) / (sqrt(sum(w.n * w.n)) * (SELECT sqrt(sum(n * n)) FROM q)) AS raw FROM w LEFT JOIN q USING (b) GROUP BY ALL),
+bd AS (SELECT id, {_TERMS} AS ts FROM {_DEDUP}), bc AS (SELECT id, len(ts) AS n, {count} FROM bd), bs AS (SELECT count(*) AS docs, avg(n) AS av, {df} FROM bc), bi AS (SELECT *, {idf} FROM bs),
+best AS (SELECT id, -({rank}) AS rank FROM bc, bi WHERE {" AND ".join(f"a{i} > 0" for i in range(len(strong)))} ORDER BY rank, id LIMIT {max(4 * top_k, 20)}),
+s AS (SELECT c.*, raw, best.rank, lower(concat_ws(' ', sender, recipients)) AS people, lower(concat_ws(' ', text, subject, sender, recipients)) AS hay FROM c JOIN r USING (id, i) LEFT JOIN best USING (id))
+SELECT 'message:' || id || ':' || i AS citation_id, id AS message_id, round(score, 4) AS score, round(raw, 4) AS raw_score FROM (SELECT *, raw + CASE WHEN NOT EXISTS (SELECT 1 FROM best) THEN 0 WHEN rank IS NOT NULL THEN 0.25 / (rank + 0.001) ELSE -0.6 END
+ + CASE WHEN {hits("people", strong)} > 0 THEN 0.2 ELSE -0.8 END + CASE WHEN {hits("hay", strong)} > 0 THEN 0.15 * {hits("hay", strong)} + 0.05 * {hits("hay", words)} ELSE -0.5 END AS score FROM s) ORDER BY score DESC, raw DESC, 'message:' || id, i LIMIT {top_k}"""
+
+
+ORACLES["hybrid_search"] = _hybrid("latest premium receipt from the insurance brokers", ["premium", "receipt", "insurance", "brokers"], ["latest", "premium", "receipt", "from", "the", "insurance", "brokers"], 10)

@@ -74,8 +74,8 @@ def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
 @query
 def chunk_numbering(spark: SparkSession, d: str) -> DataFrame:
     """Chunk numbers that run on over the pages of a content, blank pages skipped."""
-    t = table(spark, d, "attachment_texts").dropDuplicates(["content_id", "chunk_index"])
-    return index.chunk_pages(t.select("content_id", F.col("chunk_index").alias("page"), "text")).select("content_id", "page", "chunk_index", "token_count")
+    t = table(spark, d, "attachment_texts").select("content_id", F.col("chunk_index").alias("page"), "text").distinct()
+    return index.chunk_pages(t).select("content_id", "page", "chunk_index", "token_count")
 
 
 @query
@@ -157,10 +157,10 @@ def pending_union_limit(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def segments_provenance(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of registered contents with file name and subject."""
+    """Chunks of registered contents that the pattern extractor has left no e-mail address of, with file name and subject."""
     registry, m, blobs, _ = _registry(spark, d)
-    t = table(spark, d, "attachment_texts").dropDuplicates(["content_id", "page", "chunk_index"])
-    mentions = spark.createDataFrame([], "content_id string, chunk_index int, extractor string")
+    t = table(spark, d, "attachment_texts").select("content_id", "page", "chunk_index", "text").distinct()
+    mentions = _pattern_mentions(spark, d, ("EMAIL",))
     return graph.segments(t, registry, blobs, m, mentions, "pattern:default").select("content_id", "page", "chunk_index", "message_id", "filename", "subject")
 
 
@@ -209,7 +209,8 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     )
     # Stored once, as an index is: search then reads each vector a single time.
     vectors = materialise(index.embed_chunks(texts, info, F.lit(NOW)))
-    found = retrieve.search(texts, vectors, m, "latest premium receipt from the insurance brokers", 10)
+    stored = tuple(map(materialise, fts.postings(m)))
+    found = retrieve.search(texts, vectors, stored, "latest premium receipt from the insurance brokers", 10)
     return found.select("citation_id", "message_id", F.round("score", 4).alias("score"), F.round("raw_score", 4).alias("raw_score"))
 
 
@@ -303,7 +304,7 @@ def json_prop_filter(spark: SparkSession, d: str) -> DataFrame:
 
 def _pattern_mentions(spark: SparkSession, d: str, labels: tuple[str, ...] | None = None) -> DataFrame:
     """Stored mentions of the pattern extractor over all attachment texts."""
-    t = table(spark, d, "attachment_texts").filter("text is not null").dropDuplicates(["content_id", "chunk_index"])
+    t = table(spark, d, "attachment_texts").filter("text is not null").select("content_id", "page", "chunk_index", "text").distinct()
     e = extract.PatternExtractor({k: v for k, v in extract.PATTERNS.items() if labels is None or k in labels})
     segs = t.select("content_id", "page", "chunk_index", F.lit(None).cast("string").alias("filename"), F.lit(None).cast("string").alias("subject"), F.lit(None).cast("string").alias("message_id"), F.lit(None).cast("string").alias("attachment_id"))
     return graph.mention_rows(extract.extract_mentions(t, e), segs, e.name, F.lit(NOW))
@@ -318,15 +319,15 @@ def email_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def graph_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Entity nodes of e-mail addresses and references."""
-    e = graph.entities(_pattern_mentions(spark, d, ("EMAIL", "INVOICE_REFERENCE")))
+    """Entity nodes of all labels."""
+    e = graph.entities(_pattern_mentions(spark, d))
     return e.select("entity_id", "label", "canonical", F.array_join("aliases", "|").alias("aliases"))
 
 
 @query
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Mentions of references in contents, as edges whose ends both exist."""
-    m = _pattern_mentions(spark, d, ("INVOICE_REFERENCE",))
+    """Mentions of all labels in contents, as edges whose ends both exist."""
+    m = _pattern_mentions(spark, d)
     nodes = m.select("entity_id").unionByName(m.select(F.col("content_id").alias("entity_id"))).distinct()
     e = graph.export_edges(graph.edges(m), nodes)
     return e.groupBy("source_id", "target_id", "relation_type").agg(F.count(F.lit(1)).alias("mentions"))
@@ -456,9 +457,9 @@ def queue_eligible(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def queue_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """States after every third task was enqueued again."""
+    """States after two kinds of tasks were enqueued again, twice."""
     q = _queue(spark, d)
-    again = q.filter(F.col("task_id").cast("bigint") % 3 == 0).select("task_id", "task_type", "payload", "available_at")
+    again = q.filter(F.col("task_type").isin("signup", "view")).select("task_id", "task_type", "payload", "available_at")
     return task_queue.enqueue(q, again.unionByName(again), F.lit(NOW).cast("timestamp")).groupBy("status").agg(F.count(F.lit(1)).alias("tasks"), F.sum("attempts").alias("attempts"))
 
 
