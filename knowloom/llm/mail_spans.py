@@ -5,21 +5,31 @@ authored text, a prefixed quotation, the lines that introduce one, a forwarding
 note, copied text without prefix, a closing with signature, or a disclaimer or
 device note.  The score of a segmentation is the sum of
 
-* line scores of the span's kind (``LINE_SCORES``),
+* line scores of the span's kind (``LINE_SCORES``), and further ones for lines
+  that stand in an earlier mail of the thread (``REPEATED``),
 * the transition into the span (``TRANSITIONS``), which holds the order of the
   parts of a mail: what follows an introduction is quoted, what follows the own
   signature is not new, copied text runs to the end,
-* boundary cues at the first line of the span (``START_CUES``),
-* a length score (signatures, notes and introductions are short),
+* boundary cues at the first line of the span (``START_CUES``): a greeting opens
+  authored or copied text, a repeated line opens a copy,
+* a length score (signatures, notes and introductions are short, and none of
+  them follows one of its own kind),
 * the place of a copy: one at the head of the body may be followed by the own
-  text, if that begins with a greeting or after the end of the copied mail,
-* a whole-span feature: a greeting belongs at the head of authored text, and a
-  second one inside it speaks against the span.
+  text, if that begins with a greeting, after the end of the copied mail, or
+  where the repeated lines end,
+* a feature of the whole span: the share of its lines that are repeated
+  (``SHARE``) speaks for a copy and against authored text.
 
 The best segmentation is found by dynamic programming over all segments.  All
 messages of an Arrow batch are decoded together, one numpy step per line
 position, so no Python loop runs over the segments of a message.
 
+Lines are compared within a thread by hashes.  A body is read once: what goes on
+is the class of every line and a hash of those that could be own text (no marks,
+``LEAST_CHARS`` or more).  The earliest mail that holds a hash counts as its
+source; one aggregation and one join by hash find the repeated lines, whatever
+the size of a thread, and bodies are never shuffled.
+
 The scores are fixed parameters (log-odds set by hand); nothing is fitted.
 
 Defined results
@@ -29,6 +39,8 @@ Defined results
 * blank lines belong to no span; new text keeps those between new lines;
 * CRLF counts as LF; a line has no limit of length, a body no limit of lines
   (segments of more than ``LOOK_BACK`` lines are chained);
+* without thread or time a message has no repeated lines and is no source; of
+  two mails at one time neither is the source of the other;
 * repeated rows give equal results; further columns are untouched.
 """
 
@@ -39,10 +51,13 @@ import re
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from knowloom.session import materialise
+
 AUTHORED, QUOTED, INTRO, FORWARD, COPIED, SIGNATURE, NOTE, INTRO_FIRST, COPIED_FIRST, AUTHORED_BELOW = range(10)
 KINDS = ("authored", "quoted", "introduction", "forward", "copied", "signature", "note", "introduction", "copied", "authored")
 LOOK_BACK = 64
@@ -84,21 +99,31 @@ TRANSITIONS = np.array(
         # A     Q     I     F     C     S     N     I1    C1    A1
         [-0.5, -1.0, 0.0, 0.0, -6.0, 0.0, -0.5, _NO, _NO, _NO],
         [-0.3, -0.5, -0.5, -0.5, _NO, -1.0, -1.0, _NO, _NO, _NO],
-        [_NO, 0.0, -0.2, _NO, -0.5, _NO, _NO, _NO, _NO, _NO],
-        [_NO, _NO, _NO, -0.2, 0.0, _NO, _NO, _NO, _NO, _NO],
+        [_NO, 0.0, _NO, _NO, -0.5, _NO, _NO, _NO, _NO, _NO],
         [_NO, _NO, _NO, _NO, 0.0, _NO, _NO, _NO, _NO, _NO],
-        [-25.0, -0.5, 0.0, 0.0, -1.0, -3.0, 0.0, _NO, _NO, _NO],
-        [-25.0, -0.5, 0.0, 0.0, -1.0, -1.5, -0.5, _NO, _NO, _NO],
-        [_NO, 0.0, _NO, _NO, _NO, _NO, _NO, -0.2, -0.5, _NO],
+        [_NO, _NO, _NO, _NO, 0.0, _NO, _NO, _NO, _NO, _NO],
+        [-25.0, -0.5, 0.0, 0.0, -1.0, _NO, 0.0, _NO, _NO, _NO],
+        [-25.0, -0.5, 0.0, 0.0, -1.0, -1.5, _NO, _NO, _NO, _NO],
+        [_NO, 0.0, _NO, _NO, _NO, _NO, _NO, _NO, -0.5, _NO],
         [_NO, -0.5, _NO, _NO, _NO, _NO, _NO, _NO, 0.0, -4.0],
         [-0.5, _NO, _NO, _NO, _NO, 0.0, -0.5, _NO, _NO, _NO],
-        [0.0, -0.5, _NO, 0.0, _NO, -2.0, -2.0, 0.0, _NO, _NO],
+        [0.0, -0.5, _NO, 0.0, _NO, -2.0, -2.0, 0.0, -3.0, _NO],
     ]
 )
 #: Bonus of a span that begins with a line of a class.
 START_CUES = {(AUTHORED_BELOW, c): 3.0 if c in (GREETING, RESTART) else -30.0 for c in range(15)} | {(AUTHORED, GREETING): 3.0, (COPIED, GREETING): 3.5, (SIGNATURE, CLOSING): 1.0, (SIGNATURE, RULE): 0.5, (FORWARD, FORWARDS): 1.0}
 #: Lines a span of a kind normally has at most, and the cost of each further line.
-LENGTHS = {INTRO: (5, 2.0), INTRO_FIRST: (5, 2.0), FORWARD: (8, 1.0), SIGNATURE: (8, 1.5), NOTE: (6, 0.5)}
+LENGTHS = {INTRO: (8, 2.0), INTRO_FIRST: (8, 2.0), FORWARD: (8, 1.0), SIGNATURE: (8, 1.5), NOTE: (6, 0.5)}
+
+#: Score of a line that stands in an earlier mail, by kind of span.
+REPEATED = np.array([-4.0, 0.0, 0.0, 0.0, 2.0, 0.0, 0.0, 0.0, 2.0, -4.0])
+#: Share of repeated lines from which a span gets the score below, by kind.
+SHARE, SHARE_SCORES = 0.4, np.array([-2.0, 0.0, 0.0, 0.0, 2.0, 0.0, 0.0, 0.0, 2.0, -2.0])
+#: Scores of a copy that begins with a repeated line, and of own text that begins where repeated lines end.
+COPY_BEGINS, REPEATS_END = 1.5, 2.5
+#: Shortest line that is compared with other mails, and the classes that are.
+LEAST_CHARS = 20
+COMPARED = frozenset((SENTENCE, RESTART, SHORT, NUMBER_GT, HEADER_LIKE))
 
 _PREFIX = re.compile(r"\s*(?:>|\||:(?:\s|$)|[A-Z]{2}>)")
 _NUMBER_GT = re.compile(r">\s?\d[\d.,]*\s+[a-z]")
@@ -194,13 +219,23 @@ def _length_table(n: int) -> np.ndarray:
     return t
 
 
-def decode(classes: np.ndarray) -> np.ndarray:
+def decode(classes: np.ndarray, repeated: np.ndarray | None = None) -> np.ndarray:
     """Kinds of all lines of messages with equally many lines: (messages, lines) to (messages, lines)."""
     b, n = classes.shape
     k = len(KINDS)
+    rep = np.zeros((b, n), bool) if repeated is None else repeated
     total = np.zeros((b, n + 1, k))
-    np.cumsum(LINE_SCORES[classes], axis=1, out=total[:, 1:])
-    cue = _CUES[classes]
+    np.cumsum(LINE_SCORES[classes] + rep[:, :, None] * REPEATED, axis=1, out=total[:, 1:])
+    counts = np.zeros((b, n + 1), np.int32)
+    np.cumsum(rep, axis=1, out=counts[:, 1:])
+    cue = _CUES[classes] + 0.0
+    cue[:, :, COPIED] += COPY_BEGINS * rep
+    cue[:, :, COPIED_FIRST] += COPY_BEGINS * rep
+    cue[:, 0, COPIED_FIRST] = np.where(rep[:, 0], COPY_BEGINS, _NO)
+    ends = np.zeros((b, n), bool)
+    ends[:, 1:] = rep[:, :-1] & ~rep[:, 1:]
+    cue[:, :, AUTHORED_BELOW] = np.where(ends, np.maximum(cue[:, :, AUTHORED_BELOW], REPEATS_END), cue[:, :, AUTHORED_BELOW])
+    any_repeated = bool(rep.any())
     lengths = _length_table(min(n, LOOK_BACK))
     # into[j]: best score of a segmentation of the first j lines followed by a transition into each kind.
     into = np.full((b, n + 1, k), _NO)
@@ -212,6 +247,8 @@ def decode(classes: np.ndarray) -> np.ndarray:
     for i in range(1, n + 1):
         low = max(0, i - LOOK_BACK)
         seg = into[:, low:i] + cue[:, low:i] - total[:, low:i] + lengths[i - low : 0 : -1]
+        if any_repeated:
+            seg += (counts[:, i, None] - counts[:, low:i] >= SHARE * np.arange(i - low, 0, -1))[:, :, None] * SHARE_SCORES
         j = seg.argmax(axis=1)
         best = np.take_along_axis(seg, j[:, None], axis=1)[:, 0] + total[:, i]
         start[:, i - 1] = j + low
@@ -237,80 +274,145 @@ def decode(classes: np.ndarray) -> np.ndarray:
     return out
 
 
-def spans_of(bodies) -> list[tuple[list[int], list[int]]]:
-    """For each body the numbers of its lines that are not blank, and their kinds."""
-    found: list[tuple[list[int], list[int]]] = [([], [])] * len(bodies)
-    by_length: dict[int, list[tuple[int, list[int], list[int]]]] = {}
-    for i, body in enumerate(bodies):
-        if not body:
-            continue
-        at, cls = line_classes(body.split("\n"))
-        if at:
-            by_length.setdefault(len(at), []).append((i, at, cls))
+def _decoded(lines: list[tuple[list[int], list[int], list[int]]]) -> list[list[int]]:
+    """Kinds of the lines of messages given as (numbers, classes, positions of repeated lines)."""
+    found: list[list[int]] = [[]] * len(lines)
+    by_length: dict[int, list[int]] = {}
+    for i, (at, _, _) in enumerate(lines):
+        if len(at):
+            by_length.setdefault(len(at), []).append(i)
     for n, group in by_length.items():
         size = max(1, 400_000 // (n * n + 1))
         for a in range(0, len(group), size):
             part = group[a : a + size]
-            kinds = decode(np.array([g[2] for g in part]))
-            for (i, at, _), kk in zip(part, kinds):
-                found[i] = (at, kk.tolist())
+            rep = np.zeros((len(part), n), bool)
+            for r, i in enumerate(part):
+                rep[r, lines[i][2]] = True
+            for i, kk in zip(part, decode(np.array([lines[i][1] for i in part]), rep)):
+                found[i] = kk.tolist()
     return found
 
 
-_LINES_SCHEMA = "id string, line_no int, kind string"
+def spans_of(bodies) -> list[tuple[list[int], list[int]]]:
+    """For each body, without its thread, the numbers of its lines that are not blank, and their kinds."""
+    lines = [(*line_classes(body.split("\n")), []) if body else ([], [], []) for body in bodies]
+    return [(at, kinds) for (at, _, _), kinds in zip(lines, _decoded(lines))]
 
 
-def _line_rows(batches):
-    for pdf in batches:
-        ids, nos, kinds = [], [], []
-        for key, (at, kk) in zip(pdf["id"], spans_of(pdf["body"].tolist())):
-            ids.extend([key] * len(at))
-            nos.extend(at)
-            kinds.extend(kk)
-        yield pd.DataFrame({"id": ids, "line_no": nos, "kind": np.array(KINDS, dtype=object)[np.array(kinds, dtype=int)]})
+def compared_lines(body: str, at: list[int], classes: list[int]):
+    """(position, text) of the lines that are looked for in other mails."""
+    lines = body.split("\n")
+    for i, (n, c) in enumerate(zip(at, classes)):
+        if c in COMPARED:
+            text = " ".join(lines[n - 1].split())
+            if len(text) >= LEAST_CHARS:
+                yield i, text
 
 
-def _old_rows(batches):
+_READ_SCHEMA = "mid long, id string, at array<int>, classes binary, sent long, positions array<int>, keys array<long>"
+_KINDS_SCHEMA = "mid long, id string, at array<int>, kinds binary"
+
+
+def _mid(key: str | None, body: str) -> int:
+    """Key of a message: repeated rows share it, rows of one id with unlike bodies do not."""
+    return xxhash.xxh3_64_intdigest(body, seed=xxhash.xxh3_64_intdigest(key or "")) - (1 << 63)
+
+
+def _read(batches):
+    """Every body once: classes of its lines, and the hashes of those that are compared."""
+    for pdf in batches:
+        rows = []
+        for key, thread, sent, body in zip(pdf["id"], pdf["thread_id"], pdf["sent"], pdf["body"]):
+            at, classes = line_classes(body.split("\n"))
+            if not at:
+                continue
+            positions, keys = [], []
+            if thread is not None and not pd.isna(sent):
+                seed = xxhash.xxh3_64_intdigest(thread)
+                for i, text in compared_lines(body, at, classes):
+                    positions.append(i)
+                    keys.append(xxhash.xxh3_64_intdigest(text, seed=seed) - (1 << 63))
+            rows.append((_mid(key, body), key, at, bytes(classes), None if pd.isna(sent) else int(sent), positions, keys))
+        if rows:
+            yield pd.DataFrame(rows, columns=["mid", "id", "at", "classes", "sent", "positions", "keys"]).astype({"sent": "Int64"})
+
+
+def _kinds(batches):
     for pdf in batches:
-        ids, nos = [], []
-        for key, (at, kk) in zip(pdf["id"], spans_of(pdf["body"].tolist())):
-            old = [n for n, k in zip(at, kk) if k not in NEW]
-            ids.extend([key] * len(old))
-            nos.extend(old)
-        yield pd.DataFrame({"id": ids, "line_no": nos})
+        lines = [(a, np.frombuffer(c, np.uint8), [] if r is None else list(r)) for a, c, r in zip(pdf["at"], pdf["classes"], pdf["repeated"])]
+        yield pdf[["mid", "id", "at"]].assign(kinds=[bytes(k) for k in _decoded(lines)])
 
 
-@F.pandas_udf(T.StringType())
-def _new_text(bodies: pd.Series) -> pd.Series:
-    out = []
-    values = bodies.tolist()
-    for body, (at, kk) in zip(values, spans_of(values)):
-        if not body:
-            out.append(body)
-            continue
-        new = {n for n, k in zip(at, kk) if k in NEW}
-        blank = {n for n, s in enumerate(body.split("\n"), 1)} - set(at)
-        kept, lines = [], body.split("\n")
-        for n, line in enumerate(lines, 1):
-            if n in new:
-                kept.append(line.rstrip("\r"))
-            elif n in blank and kept and kept[-1] != "":
-                kept.append("")
-        out.append("\n".join(kept).strip("\n"))
-    return pd.Series(out, dtype=object)
+def decoded(messages: DataFrame) -> DataFrame:
+    """(mid, id, at, kinds): the numbers of the lines of every message that are not blank, and their kinds."""
+    m = messages.select("id", "thread_id", F.unix_micros(F.col("received_at").cast("timestamp")).alias("sent"), "body").filter(F.length("body") > 0)
+    read = materialise(m.mapInPandas(_read, _READ_SCHEMA).dropDuplicates(["mid"]))
+    asked = read.select("mid", "sent", F.explode(F.arrays_zip("positions", "keys")).alias("a")).select("mid", "sent", F.col("a.positions").alias("position"), F.col("a.keys").alias("key"))
+    source = asked.groupBy("key").agg(F.min("sent").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    repeated = asked.join(source, "key").filter(F.col("sent") > F.col("first")).groupBy("mid").agg(F.collect_list("position").alias("repeated"))
+    return read.select("mid", "id", "at", "classes").join(repeated, "mid", "left").mapInPandas(_kinds, _KINDS_SCHEMA)
 
 
-def lines(messages: DataFrame) -> DataFrame:
-    """(id, line_no, kind) of every line that is not blank."""
-    return messages.select("id", "body").filter(F.length("body") > 0).mapInPandas(_line_rows, _LINES_SCHEMA)
+def _of_lines(kind_of, schema: str):
+    """Map function: decoded messages to one row for each line that ``kind_of`` gives a value."""
+
+    def run(batches):
+        for pdf in batches:
+            ids, nos, values = [], [], []
+            for key, at, kinds in zip(pdf["id"], pdf["at"], pdf["kinds"]):
+                for n, k in zip(at, kinds):
+                    v = kind_of(k)
+                    if v is not None:
+                        ids.append(key)
+                        nos.append(n)
+                        values.append(v)
+            out = pd.DataFrame({"id": ids, "line_no": nos, "kind": values})
+            yield out if "kind" in schema else out[["id", "line_no"]]
 
+    return run
 
-def new_text(messages: DataFrame, body: str = "body") -> DataFrame:
-    """``messages`` with ``new_text``, the newly written part of the body."""
-    return messages.withColumn("new_text", _new_text(F.col(body)))
+
+def lines(messages: DataFrame) -> DataFrame:
+    """(id, line_no, kind) of every line that is not blank, once per message."""
+    schema = "id string, line_no int, kind string"
+    return decoded(messages).mapInPandas(_of_lines(lambda k: KINDS[k], schema), schema)
 
 
 def found(messages: DataFrame) -> DataFrame:
     """(id, line_no) of the lines that are not newly written, once per message id."""
-    once = messages.select("id", "body").filter(F.length("body") > 0)
-    return once.mapInPandas(_old_rows, "id string, line_no int").distinct()
+    schema = "id string, line_no int"
+    return decoded(messages).mapInPandas(_of_lines(lambda k: None if k in NEW else k, schema), schema).distinct()
+
+
+def cut(body: str | None, at, kinds) -> str | None:
+    """The new lines of a body, with the blank ones between them."""
+    if not body:
+        return body
+    lines = body.split("\n")
+    new = {n for n, k in zip(at, kinds) if k in NEW}
+    blank = set(range(1, len(lines) + 1)) - set(at)
+    kept: list[str] = []
+    for n, line in enumerate(lines, 1):
+        if n in new:
+            kept.append(line.rstrip("\r"))
+        elif n in blank and kept and kept[-1] != "":
+            kept.append("")
+    return "\n".join(kept).strip("\n")
+
+
+@F.pandas_udf(T.StringType())
+def _cut(body: pd.Series, at: pd.Series, kinds: pd.Series) -> pd.Series:
+    return pd.Series([cut(b, [] if a is None else a, k or b"") for b, a, k in zip(body, at, kinds)], dtype=object)
+
+
+@F.pandas_udf(T.LongType())
+def _mids(key: pd.Series, body: pd.Series) -> pd.Series:
+    return pd.Series([_mid(k, b) if b else None for k, b in zip(key, body)], dtype="Int64")
+
+
+def new_text(messages: DataFrame) -> DataFrame:
+    """``messages`` (id, thread_id, received_at, body and others) with ``new_text``, the newly written part of the body."""
+    columns = messages.columns
+    d = decoded(messages).select(F.col("mid").alias("_mid"), F.col("at").alias("_at"), F.col("kinds").alias("_kinds"))
+    out = messages.withColumn("_mid", _mids("id", "body")).join(d, "_mid", "left")
+    return out.select(*columns, _cut("body", "_at", "_kinds").alias("new_text"))

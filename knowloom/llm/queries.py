@@ -32,7 +32,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_new_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message with the text its sender newly wrote."""
-    return mail_spans.new_text(table(spark, sf_dir, "messages").select("id", "thread_id", "body")).select("id", "thread_id", "new_text")
+    return mail_spans.new_text(table(spark, sf_dir, "messages").select("id", "thread_id", "received_at", "body")).select("id", "thread_id", "new_text")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,57 +69,95 @@ def test_time_of_long_lines_is_linear():
         assert time.perf_counter() - began < 1, s[:20]
 
 
-def brute_best(classes):
+def span_score(classes, rep, i, j, y):
+    """Score of one span of kind y over lines i to j, its transition aside."""
+    import numpy as np
+
+    c, r = np.array(classes), np.array(rep, bool)
+    s = mail_spans.LINE_SCORES[c[i:j], y].sum() + r[i:j].sum() * mail_spans.REPEATED[y] + mail_spans._length_table(len(c))[j - i, y]
+    s += mail_spans.SHARE_SCORES[y] if r.any() and r[i:j].sum() >= mail_spans.SHARE * (j - i) else 0
+    cue = mail_spans._CUES[c[i], y]
+    if y in (mail_spans.COPIED, mail_spans.COPIED_FIRST) and r[i]:
+        cue += mail_spans.COPY_BEGINS
+    if y == mail_spans.COPIED_FIRST and i == 0:
+        cue = mail_spans.COPY_BEGINS if r[0] else -1e9
+    if y == mail_spans.AUTHORED_BELOW and i and r[i - 1] and not r[i]:
+        cue = max(cue, mail_spans.REPEATS_END)
+    return s + cue
+
+
+def brute_best(classes, rep):
     """Best score of all segmentations by plain recursion."""
     k, n = len(mail_spans.KINDS), len(classes)
-    lengths = mail_spans._length_table(n)
 
     def best(i, before):
         if i == n:
             return 0.0
-        out = -1e18
-        for j in range(i + 1, n + 1):
-            for y in range(k):
-                s = mail_spans.TRANSITIONS[before, y] + sum(mail_spans.LINE_SCORES[c, y] for c in classes[i:j]) + mail_spans._CUES[classes[i], y] + lengths[j - i, y]
-                out = max(out, s + best(j, y))
-        return out
+        return max(mail_spans.TRANSITIONS[before, y] + span_score(classes, rep, i, j, y) + best(j, y) for j in range(i + 1, n + 1) for y in range(k))
 
     return best(0, k)
 
 
-def score(classes, kinds):
+def score(classes, rep, kinds):
     """Score of the best segmentation that has these kinds."""
-    import numpy as np
-
-    c = np.array(classes)
-    k, n = len(mail_spans.KINDS), len(c)
-    lengths = mail_spans._length_table(n)
+    k, n = len(mail_spans.KINDS), len(classes)
     best = {(0, k): 0.0}
     for j in range(1, n + 1):
         for i in range(j):
             if len(set(kinds[i:j])) == 1:
                 y = kinds[i]
                 for b in [b for (p, b) in best if p == i]:
-                    s = best[(i, b)] + mail_spans.TRANSITIONS[b, y] + mail_spans.LINE_SCORES[c[i:j], y].sum() + mail_spans._CUES[c[i], y] + lengths[j - i, y]
+                    s = best[(i, b)] + mail_spans.TRANSITIONS[b, y] + span_score(classes, rep, i, j, y)
                     best[(j, y)] = max(best.get((j, y), -1e18), s)
     return max(v for (p, _), v in best.items() if p == n)
 
 
-@settings(max_examples=25, deadline=None)
-@given(st.lists(st.integers(0, 14), min_size=1, max_size=4))
-def test_decoder_against_all_segmentations(classes):
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 14), st.booleans()), min_size=1, max_size=4))
+def test_decoder_against_all_segmentations(lines):
     import numpy as np
 
-    kinds = mail_spans.decode(np.array([classes]))[0].tolist()
-    assert score(classes, kinds) == pytest.approx(brute_best(classes))
+    classes, rep = [c for c, _ in lines], [r for _, r in lines]
+    kinds = mail_spans.decode(np.array([classes]), np.array([rep]))[0].tolist()
+    assert score(classes, rep, kinds) == pytest.approx(brute_best(classes, rep))
+
+
+def test_spans_with_a_length_do_not_follow_their_own_kind():
+    import numpy as np
+
+    for kind in mail_spans.LENGTHS:
+        assert mail_spans.TRANSITIONS[kind, kind] < -1e8
+    many = mail_spans.decode(np.array([[mail_spans.HEADER] * 15]))[0].tolist()
+    assert many.count(mail_spans.INTRO) + many.count(mail_spans.INTRO_FIRST) <= 10
+
+
+MAILS = "id string, thread_id string, received_at timestamp, body string"
+
+
+def test_copies_without_marks_are_known_by_the_thread(spark):
+    from datetime import datetime
+
+    first = "Hi Ann,\nThe parcel for the office came on Monday and is complete.\nPlease check the bill of the carrier again."
+    second = "Dear Bo,\nMany thanks, the bill is paid since this morning.\n\nThe parcel for the office came on Monday and is complete.\nPlease check the bill of the carrier again."
+    third = "The parcel for the office came on Monday and is complete.\nPlease check the bill of the carrier again.\n\nI have looked at it and found nothing wrong with it."
+    at = lambda h: datetime(2020, 1, 1, h)
+    rows = [("1", "t", at(1), first), ("2", "t", at(2), second), ("2", "t", at(2), second), ("3", "t", at(3), third), ("4", "other", at(4), first), ("5", None, at(5), first), ("6", "t", None, first)]
+    df = spark.createDataFrame(rows, MAILS).withColumn("kinds", F.lit("clash")).withColumn("mid", F.lit(1))
+    assert {tuple(r) for r in mail_spans.found(df).collect()} == {("2", 4), ("2", 5), ("3", 1), ("3", 2)}
+    out = {(r.id, r.new_text) for r in mail_spans.new_text(df).collect()}
+    assert ("2", "Dear Bo,\nMany thanks, the bill is paid since this morning.") in out and ("3", "I have looked at it and found nothing wrong with it.") in out and ("5", first) in out
 
 
 def test_mail_tables(spark):
-    df = spark.createDataFrame([("1", REPLY), ("1", REPLY), ("2", None), ("3", "")], "id string, body string")
+    from datetime import datetime
+
+    at = datetime(2020, 1, 1)
+    df = spark.createDataFrame([("1", "t", at, REPLY), ("1", "t", at, REPLY), ("2", None, None, None), ("3", "t", None, ""), ("4", "t", at, " \n\t")], MAILS)
     assert mail_spans.found(df).count() == 8
     out = {r.id: r.new_text for r in mail_spans.new_text(df.withColumn("kind", F.lit("clash"))).collect()}
     assert out["2"] is None and out["3"] == "" and out["1"].startswith("Dear Anna,") and "confidential" not in out["1"]
     assert mail_spans.found(df.filter("false")).count() == 0
+    assert {(r.line_no, r.kind) for r in mail_spans.lines(df).filter("id = '1'").collect()} >= {(1, "authored"), (12, "introduction")}
 
 
 # Splitting -------------------------------------------------------------------
