@@ -157,7 +157,7 @@ def test_mail_tables(spark):
     out = {r.id: r.new_text for r in mail_spans.new_text(df.withColumn("kind", F.lit("clash"))).collect()}
     assert out["2"] is None and out["3"] == "" and out["1"].startswith("Dear Anna,") and "confidential" not in out["1"]
     assert mail_spans.found(df.filter("false")).count() == 0
-    assert {(r.line_no, r.kind) for r in mail_spans.lines(df).filter("id = '1'").collect()} >= {(1, "authored"), (12, "introduction")}
+    assert {(r.line_no, r.kind) for r in mail_spans.lines(df).filter("id = '1'").collect()} >= {(1, "authored"), (9, "note"), (11, "introduction")}
 
 
 # Splitting -------------------------------------------------------------------
