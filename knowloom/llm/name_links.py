@@ -3,15 +3,22 @@
 Every distinct value is parsed once: folded (accents, case, letters that look
 like digits), freed of titles, legal forms and remarks, and split into a *core*
 (the surname, or the coined part of a firm's or facility's name) and its rest
-(given name or initials; line of business; place word).  Values with the same
-parse are one form.
-
-Forms are blocked by their core and every string that lacks one letter of it;
-any two cores one edit apart (a letter more, less or another, or a swap of
-neighbours) share such a key.  Pairs in a block are compared by Jaro-Winkler similarity and single-edit distance of the cores and
-by the rest, given names through a nickname table.  Accepted pairs are clustered
-by connected components.  A form with initials only joins a person if exactly
-one person with that surname and initial is known.
+(given name or initials; line of business; place word).  A firm whose line of
+business is not known has all its words, sorted, as its core; it is known for a
+firm by a legal form in any of its spellings.  Values with the same parse are
+one form.
+
+Forms are blocked by the phonetic codes of their sorted tokens: the code of the
+rest with the code of the core and every string that lacks one class of it.  So
+forms meet that have equal rests and cores of which the codes are one edit
+apart, whatever happened to vowels and to letters of one class.  For rests that
+differ, forms are blocked by the core and every string that lacks one letter of
+it; any two cores one edit apart share such a key.  Pairs in a block are compared
+token by token: cores by single-edit distance or, for longer ones, two edits and
+a high Jaro-Winkler similarity; given names by a nickname table, as shortened
+forms, and by Jaro-Winkler similarity.  Accepted pairs are clustered by connected
+components.  A form with initials only joins a person if exactly one person with
+that surname and initial is known.
 
 Scale: values are counted down to distinct ones before anything else, so hot
 names cost one row; a block with more than ``LARGE_BLOCK`` forms is compared
@@ -40,8 +47,9 @@ from pyspark.sql import types as T
 from knowloom.session import bounded_broadcast, materialise
 
 LARGE_BLOCK = 400
-#: Least Jaro-Winkler similarity of two cores.
+#: Least Jaro-Winkler similarity of two cores one edit apart, of two long ones two edits apart, and of given names.
 CORE_SIMILARITY = 0.85
+LONG_SIMILARITY, LONG_CORE = 0.9, 8
 GIVEN_SIMILARITY = 0.85
 
 # Lines of business, kinds of facilities, place words.
@@ -49,19 +57,27 @@ BUSINESS = ("agro foods", "builders", "consulting engineers", "diagnostics", "el
 FACILITY = ("nursing home", "medical centre", "diagnostic laboratory", "polyclinic", "clinic", "hospital")
 PLACES = ("city", "garden", "harbour", "hill", "junction", "lakeside", "memorial", "valley")
 # Legal forms and remarks that name nobody.
-_LEGAL = re.compile(
-    r"\b(?:private limited|pvt\.? ?ltd\.?|p\.? ?(?:ltd|limited)\.?|limited|ltd\.?|l\.?l\.?p\.?|incorporated|inc\.?|corp\.?|gesellschaft mbh|g\.?m\.?b\.?h\.?|and sons?|und s[öo]hne)(?=[\s,.()]|$)|& ?sons?\b|\bm/s\.?|\(.*?\)|\bmessrs\b\.?"
-)
+_FORMS = r"\b(?:private limited|pvt\.? ?ltd\.?|p\.? ?(?:ltd|limited)\.?|limited|ltd\.?|l\.?l\.?p\.?|incorporated|inc\.?|corp\.?|gesellschaft mbh|g\.?m\.?b\.?h\.?|and sons?|und s[öo]hne)(?=[\s,.()]|$)|& ?sons?\b|\bm/s\.?|\bmessrs\b\.?"
+_LEGAL_FORM = re.compile(_FORMS)
+_LEGAL = re.compile(_FORMS + r"|\(.*?\)")
 _TITLES = frozenset("dr mr mrs ms miss prof doctor md mbbs shri smt sri herr frau mme m".split())
 # Nicknames and the given names they stand for.
 NICKNAMES = {
+    "abby": "abigail", "al": "albert", "andy": "andrew", "annie": "anne", "art": "arthur", "barb": "barbara", "becky": "rebecca", "ben": "benjamin", "bert": "albert", "beth": "elizabeth", "betty": "elizabeth",
+    "bess": "elizabeth", "bev": "beverly", "cathy": "catherine", "charlie": "charles", "chuck": "charles", "chris": "christopher", "cindy": "cynthia", "dan": "daniel", "danny": "daniel", "dave": "david", "deb": "deborah",
+    "debbie": "deborah", "don": "donald", "ed": "edward", "eddie": "edward", "fred": "frederick", "gene": "eugene", "greg": "gregory", "hank": "henry", "harry": "henry", "jack": "john", "jake": "jacob", "jim": "james",
+    "jimmy": "james", "joe": "joseph", "josh": "joshua", "judy": "judith", "ken": "kenneth", "larry": "lawrence", "liz": "elizabeth", "lizzie": "elizabeth", "maria": "mary", "matt": "matthew", "mike": "michael", "molly": "mary",
+    "nancy": "anne", "nate": "nathaniel", "ned": "edward", "nell": "helen", "pam": "pamela", "pat": "patricia", "patty": "patricia", "pete": "peter", "phil": "philip", "polly": "mary", "ray": "raymond", "ron": "ronald",
+    "sally": "sarah", "sam": "samuel", "sandy": "sandra", "steve": "stephen", "sue": "susan", "ted": "theodore", "tim": "timothy", "tom": "thomas", "tommy": "thomas", "tony": "anthony", "vinny": "vincent", "wally": "walter",
+    "hans": "johannes", "heinz": "heinrich", "fritz": "friedrich", "sepp": "josef", "toni": "anton", "uschi": "ursula", "steffi": "stefanie", "moni": "monika", "paco": "francisco", "pancho": "francisco", "lupe": "guadalupe",
+    "chema": "josemaria", "nacho": "ignacio", "lola": "dolores", "manolo": "manuel", "ze": "jose", "tonio": "antonio", "kiki": "enrique", "babu": "balakrishna", "raju": "rajendra", "ramu": "ramachandra", "sonu": "sonia",
     "peggy": "margaret", "maggie": "margaret", "meg": "margaret", "bob": "robert", "rob": "robert", "bobby": "robert", "bill": "william", "will": "william", "billy": "william",
     "dick": "richard", "rick": "richard", "kittu": "krishnamurthy", "krish": "krishnamurthy", "hari": "harishankar", "chanda": "chandrika", "padma": "padmavathi", "paddu": "padmavathi",
     "raghu": "raghunath", "venkat": "venkataraman", "venky": "venkataraman", "ulli": "ulrike", "uli": "ulrike", "mina": "wilhelmina", "willa": "wilhelmina", "liza": "elizaveta", "lisa": "elizaveta",
     "gabi": "gabrielle", "gaby": "gabrielle", "benni": "benedikta", "kathi": "katharina", "kate": "katharina", "katja": "katharina", "niko": "nikolaos", "nick": "nikolaos", "leo": "leonardo",
     "sasha": "aleksander", "alek": "aleksander", "alex": "aleksander", "jon": "jonathan", "johnny": "jonathan", "basti": "sebastian", "seb": "sebastian", "theo": "theodora", "dora": "theodora",
     "zac": "zachariah", "zack": "zachariah", "iggy": "ignatius", "fredi": "frederika", "rika": "frederika", "freddie": "frederika", "pepe": "jose", "gita": "gitanjali", "laxmi": "lakshmi", "lucky": "lakshmi",
-    "yaso": "yasodhara", "vicky": "vikram", "gretel": "margarethe", "grete": "margarethe", "cami": "camille", "niki": "dominika", "domi": "dominika", "xime": "ximena", "fari": "farida", "emma": "emre",
+    "yaso": "yasodhara", "vicky": "vikram", "gretel": "margarethe", "grete": "margarethe", "cami": "camille", "niki": "dominika", "domi": "dominika", "xime": "ximena", "fari": "farida",
 }
 
 _LOOKS = str.maketrans("015", "ols")
@@ -133,8 +149,8 @@ _CLASS = {c: k for k, group in enumerate(("bp", "fvw", "gkqcx", "dt", "sz", "jy"
 
 
 def phonetic_code(word: str) -> str:
-    """Consonant classes of a word in order, doubled letters once."""
-    return "".join(str(_CLASS[c]) for c, before in zip(word, " " + word) if c in _CLASS and c != before)
+    """Consonant classes of a word in order; doubled letters count twice, so one edit of the word is at most one of its code."""
+    return "".join(str(_CLASS[c]) for c in word if c in _CLASS)
 
 
 @functools.lru_cache(maxsize=100_000)
@@ -171,6 +187,11 @@ def _take(tokens: list[str], phrases) -> tuple[str | None, list[str]]:
     return best[0], [t for i, t in enumerate(tokens) if i not in best[1]]
 
 
+def sorted_core(tokens: list[str]) -> str:
+    """The words of a firm, sorted and joined."""
+    return "".join(sorted(w for t in tokens if (w := t.rstrip(".")) not in ("the", "and", "of")))
+
+
 def parse(field: str, name: str | None) -> tuple[str, str, str, str] | None:
     """(kind, core, rest, place) of a name, None if it names nobody."""
     if not name:
@@ -195,6 +216,8 @@ def parse(field: str, name: str | None) -> tuple[str, str, str, str] | None:
                 place = None
             core = "".join(t.rstrip(".") for t in rest if t.rstrip(".") not in ("the", "and", "of"))
             return ("o", core, kind or "", place or "") if core else None
+        if _LEGAL_FORM.search(" " + re.sub(r"\s+", " ", fold(text)).strip()):
+            return "o", sorted_core(tokens), "", ""
     tokens = [t for t in tokens if t.rstrip(".") not in _TITLES or (t == "m." and len(tokens) <= 2)]
     if not tokens:
         return None
@@ -228,12 +251,32 @@ _GIVEN = frozenset(
 )
 
 
+def two_edits(a: str, b: str) -> bool:
+    """Are the strings at most two insertions, deletions, substitutions or swaps of neighbours apart?"""
+    if abs(len(a) - len(b)) > 2:
+        return False
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            best = min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                best = min(best, rows[-2][j - 2] + 1)
+            row.append(best)
+        rows.append(row)
+    return rows[-1][-1] <= 2
+
+
 def same_core(a: str, b: str) -> bool:
+    """Equal, one edit apart, or long and alike with two edits."""
     if a == b:
         return True
     if min(len(a), len(b)) < 5:
         return False
-    return one_edit(a, b) and jaro_winkler(a, b) >= CORE_SIMILARITY
+    alike = jaro_winkler(a, b)
+    if one_edit(a, b):
+        return alike >= CORE_SIMILARITY
+    return min(len(a), len(b)) >= LONG_CORE and alike >= LONG_SIMILARITY and two_edits(a, b)
 
 
 def same_given(a: str, b: str) -> bool:
@@ -263,9 +306,19 @@ def _parse(field: pd.Series, name: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse(f, n) or (None, None, None, None) for f, n in zip(field, name)], columns=["kind", "core", "rest", "place"])
 
 
+def _without_one(x: str) -> set[str]:
+    return {x} | {x[:i] + x[i + 1 :] for i in range(len(x))}
+
+
 def block_keys(core: str) -> list[str]:
-    """Keys of which any two cores that ``same_core`` accepts share one."""
-    return sorted({core} | {core[:i] + core[i + 1 :] for i in range(len(core))}) if len(core) >= 5 else [core]
+    """Keys of which any two cores one edit apart share one."""
+    return sorted(_without_one(core)) if len(core) >= 5 else [core]
+
+
+def token_keys(core: str, rest: str) -> list[str]:
+    """Phonetic codes of the core, whole and without one class, each sorted with that of the rest."""
+    code = phonetic_code(NICKNAMES.get(rest, rest))
+    return ["=" + " ".join(sorted((c, code))) for c in sorted(_without_one(phonetic_code(core)))] if len(core) >= LONG_CORE else []
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -273,6 +326,16 @@ def _keys(core: pd.Series) -> pd.Series:
     return pd.Series([block_keys(c) for c in core], dtype=object)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _all_keys(core: pd.Series, rest: pd.Series) -> pd.Series:
+    return pd.Series([block_keys(c) + token_keys(c, r) for c, r in zip(core, rest)], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def _sorted_words(name: pd.Series) -> pd.Series:
+    return pd.Series([sorted_core(_TOKEN.findall(_LEGAL.sub(" ", fold(n)))) for n in name], dtype=object)
+
+
 @F.pandas_udf(T.BooleanType())
 def _accept(ka: pd.Series, ca: pd.Series, ra: pd.Series, pa: pd.Series, cb: pd.Series, rb: pd.Series, pb: pd.Series) -> pd.Series:
     return pd.Series([accept((k, c, r, p), (k, d, s, q)) for k, c, r, p, d, s, q in zip(ka, ca, ra, pa, cb, rb, pb)], dtype=bool)
@@ -296,7 +359,7 @@ def values(financial: DataFrame, medical: DataFrame) -> DataFrame:
 def _blocked(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Forms with their block keys, to be joined: a large block is cut in pieces on one side and repeated for each on the other."""
     by = ["field", "kind", "part", "key"]
-    keyed = forms.withColumn("key", F.explode(_keys("core"))).withColumn("part", F.when(F.col("kind") == "o", F.col("rest")).otherwise(""))
+    keyed = forms.withColumn("key", F.explode(_all_keys("core", "rest"))).withColumn("part", F.when(F.col("kind") == "o", F.col("rest")).otherwise(""))
     keyed = materialise(keyed)
     large = keyed.groupBy(*by).count().filter(F.col("count") > LARGE_BLOCK).select(*by, F.ceil(F.col("count") / LARGE_BLOCK).cast("int").alias("pieces"))
     keyed = keyed.join(bounded_broadcast(materialise(large)), by, "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
@@ -325,7 +388,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def link(financial: DataFrame, medical: DataFrame) -> DataFrame:
     """(field, name, entity): every distinct value with the entity it names; entity is the least form id."""
     v = values(financial, medical)
-    parsed = v.withColumn("f", _parse("field", "name")).select("field", "name", "f.*").filter(F.col("core").isNotNull())
+    parsed = materialise(v.withColumn("f", _parse("field", "name")).select("field", "name", "f.*").filter(F.col("core").isNotNull()))
+    # What looks like a person is a firm where the same words stand with a legal form elsewhere.
+    words = F.when((F.col("field") == "counterparty") & (F.col("kind") == "p"), _sorted_words("name"))
+    firms = parsed.filter("kind = 'o' and rest = '' and field = 'counterparty'").select("field", F.col("core").alias("words"), F.lit(True).alias("firm")).distinct()
+    parsed = parsed.withColumn("words", words).join(firms, ["field", "words"], "left")
+    as_firm = {"kind": F.lit("o"), "core": F.col("words"), "rest": F.lit(""), "place": F.lit("")}
+    parsed = parsed.select("field", "name", *(F.when(F.col("firm"), v).otherwise(F.col(k)).alias(k) for k, v in as_firm.items()))
     parsed = materialise(parsed.withColumn("id", F.concat_ws("\x1f", "field", "kind", "core", "rest", "place")))
     forms = materialise(parsed.select("id", "field", "kind", "core", "rest", "place").distinct())
     full = forms.filter((F.col("kind") == "o") | (F.length("rest") > 1))
