@@ -134,24 +134,41 @@ def _cuts(limit: int, overlap: int):
     return run
 
 
-def split_items(texts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """Pieces of all rows: content_id, page, chunk_index (new), old_chunk_index, piece, pieces, text, token_count, sha256."""
+def _keyed(texts: DataFrame) -> DataFrame:
+    """Rows with ``key``, equal for repeated rows, and the hash of the text."""
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    parts = [x for c in ("content_id", "page", "chunk_index") for x in (F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit("")))]
+    return texts.select("content_id", "page", "chunk_index", "text").withColumn("old_sha", sha).withColumn("key", F.xxhash64(*parts, "old_sha"))
+
+
+def planned(texts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(key, content_id, page, chunk_index, old_sha, cuts, pieces): the cuts of every row, without the texts, each row once."""
     if not 0 <= overlap <= limit // 2:
         raise ValueError("overlap must lie between 0 and half the limit")
     t = F.col("text")
-    rows = texts.select("content_id", "page", "chunk_index", "text").withColumn("old_sha", F.sha2(F.coalesce(t, F.lit("")), 256)).dropDuplicates(["content_id", "page", "chunk_index", "old_sha"])
     # Only long texts travel to Python.
     long_cuts = _cuts(limit, overlap)(F.when(F.length(t) > limit, t))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.coalesce(F.length(t), F.lit(0)).alias("end")))
-    rows = rows.withColumn("cuts", F.coalesce(long_cuts, whole)).withColumn("pieces", F.size("cuts")).withColumn("block", F.floor(F.col("chunk_index") / BLOCK))
-    totals = materialise(rows.groupBy("content_id", "block").agg(F.sum("pieces").alias("total")))
+    rows = _keyed(texts).withColumn("cuts", F.coalesce(long_cuts, whole)).withColumn("pieces", F.size("cuts")).drop("text")
+    return materialise(rows.dropDuplicates(["key"]))
+
+
+def split_items(texts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """Pieces of all rows: content_id, page, chunk_index (new), old_chunk_index, piece, pieces, text, token_count, sha256.
+
+    Cuts are found and numbered without the texts; these are shuffled once, to
+    meet their cuts.
+    """
+    rows = planned(texts, limit, overlap).withColumn("block", F.floor(F.col("chunk_index") / BLOCK))
+    totals = rows.groupBy("content_id", "block").agg(F.sum("pieces").alias("total"))
     before = F.coalesce(F.sum("total").over(W.partitionBy("content_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = totals.select(F.col("content_id").alias("o_content"), F.col("block").alias("o_block"), before.alias("block_offset"))
     joined = rows.join(offsets, rows.content_id.eqNullSafe(offsets.o_content) & rows.block.eqNullSafe(offsets.o_block))
     order = W.partitionBy("content_id", "block").orderBy("chunk_index", "page", "old_sha")
     own = F.coalesce(F.sum("pieces").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = joined.withColumn("first", F.col("block_offset") + own)
-    out = placed.select("content_id", "page", F.col("chunk_index").alias("old_chunk_index"), "pieces", "first", "text", F.posexplode("cuts").alias("piece", "cut"))
+    placed = joined.select("key", "content_id", "page", F.col("chunk_index").alias("old_chunk_index"), "pieces", "cuts", (F.col("block_offset") + own).alias("first"))
+    once = _keyed(texts).select("key", "text").dropDuplicates(["key"])
+    out = placed.join(once, "key").select("content_id", "page", "old_chunk_index", "pieces", "first", "text", F.posexplode("cuts").alias("piece", "cut"))
     piece = F.substring(F.col("text"), F.col("cut.start") + 1, F.col("cut.end") - F.col("cut.start"))
     out = out.withColumn("text", piece)
     words = F.filter(F.split(F.trim(F.col("text")), r"\s+"), lambda x: x != "")
@@ -170,5 +187,4 @@ def split_items(texts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) ->
 
 def found(texts: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Keys of the rows that had to be cut."""
-    s = split_items(texts, limit)
-    return s.filter((F.col("pieces") > 1) & (F.col("piece") == 0)).select("content_id", "page", F.col("old_chunk_index").alias("chunk_index")).distinct()
+    return planned(texts, limit).filter(F.col("pieces") > 1).select("content_id", "page", "chunk_index").distinct()
