@@ -45,18 +45,20 @@ def nearest_of(targets: DataFrame, kinds: dict[str, DataFrame]) -> DataFrame:
     The nearest option ends nearest before or after the target's start, or starts
     nearest before or after its end: four running extremes over the edges of a
     chunk in order.  All kinds share the edges, so targets and options meet in one
-    shuffle by chunk, and no pairs are formed.
+    shuffle by chunk, and no pairs are formed.  Targets come out once per
+    ``mention_id``; options without chunk or place are nobody's nearest.
     """
     names = list(kinds)
-    placed = F.col("start_char").isNotNull() & F.col("end_char").isNotNull()
-    spot = lambda df, kind: df.select(*CHUNK, F.lit(kind).cast("string").alias("kind"), F.struct(*_MENTION).alias("o"))
-    parts = [spot(df.filter(placed), k) for k, df in kinds.items()] + [spot(targets, None)]
+    placed = F.col("start_char").isNotNull() & F.col("end_char").isNotNull() & F.col("content_id").isNotNull() & F.col("chunk_index").isNotNull()
+    whole = F.struct(*(F.col(c) for c in targets.columns))
+    spot = lambda df, kind, t: df.select(*CHUNK, F.lit(kind).cast("string").alias("kind"), F.struct(*_MENTION).alias("o"), t.alias("t"))
+    parts = [spot(targets, None, whole)] + [spot(df.filter(placed), k, F.lit(None)) for k, df in kinds.items()]
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
     # One row for each edge: an option stands at its start and at its end, a target looks from both.
     edge = F.explode(F.array(F.struct(F.col("o.start_char").alias("at"), F.lit(True).alias("is_start")), F.struct(F.col("o.end_char").alias("at"), F.lit(False).alias("is_start")))).alias("e")
-    edges = both.select("*", edge).select(*CHUNK, "kind", "o", "e.at", "e.is_start")
+    edges = both.select("*", edge).select(*CHUNK, "kind", "o", "t", "e.at", "e.is_start")
     # Both run from the far end on, so each row is looked at once; at one place options come before targets, and among options the earlier is the last.
     ties = [F.col("kind").isNull(), F.desc("o.start_char"), F.desc("o.mention_id")]
     frames = {s: W.partitionBy(*CHUNK).orderBy(o, *ties).rowsBetween(W.unboundedPreceding, W.currentRow) for s, o in (("b", F.asc("at")), ("a", F.desc("at")))}
@@ -76,9 +78,10 @@ def nearest_of(targets: DataFrame, kinds: dict[str, DataFrame]) -> DataFrame:
         # A target's start is measured to the ends of options, its end to their starts.
         return F.array_min(F.array_compact(F.when(F.col("is_start"), F.array(*seen_at("e", "end_char"))).otherwise(F.array(*seen_at("s", "start_char")))))
 
-    picked = mine.select(F.col("o.mention_id").alias("mention_id"), *(best(i).alias(k) for i, k in enumerate(names)))
-    picked = picked.groupBy("mention_id").agg(*(F.min(k).alias(k) for k in names)).select("mention_id", *(F.col(f"{k}.o").alias(k) for k in names))
-    return targets.join(picked, "mention_id", "left")
+    # The two edges of a target lie in one partition: no further shuffle.
+    both_edges = mine.select(*CHUNK, F.col("o.mention_id").alias("id"), "t", *(best(i).alias(f"_k{i}") for i in range(len(names)))).groupBy(*CHUNK, "id")
+    picked = both_edges.agg(F.first("t").alias("t"), *(F.min(f"_k{i}").alias(f"_k{i}") for i in range(len(names))))
+    return picked.select("t.*", *(F.col(f"_k{i}.o").alias(k) for i, k in enumerate(names)))
 
 
 def first_in_chunk(targets: DataFrame, options: DataFrame, name: str) -> DataFrame:
