@@ -69,7 +69,7 @@ LEAST_HASHED = 0.8
 RECALL = 0.92
 
 _NAMED_SCHEMA = "c long, g long, embedding_id string, content_id string"
-_SIGN_SCHEMA = f"{_NAMED_SCHEMA}, cells array<long>, s1 long, s2 long, bytes binary"
+_SIGN_SCHEMA = f"{_NAMED_SCHEMA}, cells array<long>, s1 long, s2 long"
 _CELL_SCHEMA = "cell long, c long, s1 long, s2 long"
 _TOUCHING_SCHEMA = "c long, g long, dense boolean, vector array<float>"
 _PAIR_SCHEMA = "a long, b long"
@@ -227,7 +227,7 @@ def _sign(width: float, m: int, tables: int, seed: int):
             for rows, g, v in _unit_groups(pdf):
                 s1, s2 = _sketch(v, seed)
                 cells = np.stack([_cells(v, m, t, width, seed)[0] + g for t in range(tables)], axis=1).view(np.int64)
-                yield pd.DataFrame({"c": _keys(g, v), "g": g.view(np.int64), "embedding_id": pdf["embedding_id"].to_numpy()[rows], "content_id": pdf["content_id"].to_numpy()[rows], "cells": list(cells), "s1": s1, "s2": s2, "bytes": _as_bytes(v)})
+                yield pd.DataFrame({"c": _keys(g, v), "g": g.view(np.int64), "embedding_id": pdf["embedding_id"].to_numpy()[rows], "content_id": pdf["content_id"].to_numpy()[rows], "cells": list(cells), "s1": s1, "s2": s2})
 
     return run
 
@@ -405,6 +405,12 @@ def _byte_pairs(least: float):
     return run
 
 
+def _in_bytes(batches):
+    for pdf in batches:
+        for _, g, v in _unit_groups(pdf):
+            yield pd.DataFrame({"c": _keys(g, v), "bytes": _as_bytes(v)})
+
+
 def _with_key(batches):
     """Fetched representatives whose vector has the key that was asked for."""
     for pdf in batches:
@@ -454,7 +460,7 @@ def similar_vectors(
     tables = tables or default_tables(m, width, probes, min_similarity)
 
     signed = src.mapInPandas(_sign(width, m, tables, seed), _SIGN_SCHEMA)
-    classes = _classes(signed, *(F.first(x).alias(x) for x in ("cells", "s1", "s2", "bytes")))
+    classes = _classes(signed, *(F.first(x).alias(x) for x in ("cells", "s1", "s2")))
     stored, crowded = _stored_cells(classes, tables)
     passes = min(tables, -(-n * tables * bit_sets.BITS_PER_HASH // bit_sets.MAX_BITS)) or 1
     pairs = None
@@ -484,7 +490,10 @@ def _candidates(src: DataFrame, stored: DataFrame, tables: list[int], n: int, ha
 
 def _verified(src: DataFrame, classes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity) of the pairs that reach the cosine ``least``, tested bytewise first and exactly then."""
-    side = lambda x: classes.select(F.col("c").alias(x), F.col("bytes").alias(f"v{x}"))
+    met = bounded_broadcast(materialise(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()))
+    small = src.select("model", "vector").mapInPandas(_in_bytes, "c long, bytes binary").join(met, "c", "left_semi")
+    small = materialise(small.groupBy("c").agg(F.first("bytes").alias("bytes")))
+    side = lambda x: small.select(F.col("c").alias(x), F.col("bytes").alias(f"v{x}"))
     likely = materialise(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_byte_pairs(least), _PAIR_SCHEMA))
     ends = likely.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     wanted = bounded_broadcast(materialise(ends.join(classes.select("c", F.col("rep").alias("embedding_id")), "c")))
