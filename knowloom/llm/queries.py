@@ -83,6 +83,16 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_entities, p3_found, p3_new_text, p4_found, p4_pieces, p6_found, p6_redacted, p8_found, p8_leaks, p9_mixed, p9_shares, p10_found, p10_restored)}
 
+def _grams(table_name: str, key: str) -> str:
+    """All runs of twelve words of a table's texts."""
+    return f"""(SELECT DISTINCT {key}, array_to_string(ws[i:i + 11], ' ') AS g FROM (SELECT {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS ws FROM {table_name} WHERE text IS NOT NULL), unnest(range(1, len(ws) - 10)) AS t(i))"""
+
+
 ORACLES = {
     "p4_found": "SELECT DISTINCT content_id, page, chunk_index FROM attachment_texts WHERE length(text) > 1000",
+    "p8_found": f"SELECT DISTINCT doc_id, item_id FROM {_grams('documents', 'doc_id')} JOIN {_grams('eval_items', 'item_id')} USING (g)",
+    "p1_found": """WITH v AS (SELECT DISTINCT embedding_id AS id, content_id AS c, model AS m, vector::DOUBLE[128] AS x FROM chunk_embeddings WHERE len(vector) = 128 AND list_sum(list_transform(vector, lambda y: y::DOUBLE * y)) > 0),
+s AS (SELECT a.id AS a, b.id AS b, round(array_cosine_similarity(a.x, b.x), 6) AS s FROM v a JOIN v b ON a.m = b.m AND a.c <> b.c),
+n AS (SELECT a, b, s FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT DISTINCT least(a, b) AS embedding_id_a, greatest(a, b) AS embedding_id_b FROM n WHERE s >= 0.85""",
 }
