@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from knowloom.operators import units
 from knowloom.operators.extract import PATTERNS
 
 _WS = r"[\s\x{000B}\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -140,3 +141,40 @@ SELECT 'message:' || id || ':' || i AS citation_id, id AS message_id, round(scor
 
 
 ORACLES["hybrid_search"] = _hybrid("latest premium receipt from the insurance brokers", ["premium", "receipt", "insurance", "brokers"], ["latest", "premium", "receipt", "from", "the", "insurance", "brokers"], 10)
+
+
+def _replaced(column: str, table: list[tuple[str, str]]) -> str:
+    for pattern, repl in table:
+        column = f"regexp_replace({column}, '{pattern}', '{repl.replace('$1', chr(92) + '1')}', 'g')"
+    return column
+
+
+def _first(column: str, table: list[tuple[str, str]]) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{p}') THEN '{code}'" for p, code in table) + " END"
+
+
+def _blank_to_null(column: str) -> str:
+    return rf"nullif(trim(regexp_replace({column}, '[\s\x{{00A0}}]+', ' ', 'g')), '')"
+
+
+def _unit_behind(column: str) -> str:
+    """What stands behind the number, or the range, at the head of a text."""
+    giga = rf"nullif(regexp_extract({column}, '(?i)(x?10[\^*]9\s*/\s*l)\s*$', 1), '')"
+    rest = rf"regexp_replace({column}, '^[^\d]*\d[\d.,]*(?:\s*(?:-|–|to)\s*\d[\d.,]*)?\s*', '')"
+    return _blank_to_null(f"coalesce({giga}, CASE WHEN regexp_matches({column}, '[0-9]') AND NOT regexp_matches({rest}, '^[0-9.,]') THEN {rest} END)")
+
+
+def _units() -> str:
+    """Units by their spelling alone: what the evidence of the other sources confirms on these tables."""
+    fold = _replaced("lower(u)", units._UNIT_WORDS)
+    code_fold = _replaced("lower(unit_code)", units._UNIT_WORDS)
+    amount, currency = _first("lower(amount_text)", units._SCALES), f"coalesce({_first('lower(currency)', units._CURRENCIES)}, {_first('lower(amount_text)', units._CURRENCIES)})"
+    return f"""WITH k AS (SELECT lower(quantity) AS q, unit_code, common_unit, {code_fold} AS f FROM unit_factors), g AS (SELECT q FROM k WHERE unit_code = '10^9/L'),
+l AS (SELECT result_id, lower(regexp_replace(trim(test_name), '\\s+', ' ', 'g')) AS q, coalesce({_blank_to_null("measurement_units")}, {_unit_behind("measurement_text")}, {_unit_behind("reference_range")}) AS u FROM lab_results),
+lf AS (SELECT *, CASE WHEN q IN (SELECT q FROM g) THEN regexp_replace({fold}, '^g/l$', '10^9/l') ELSE {fold} END AS f FROM l WHERE u IS NOT NULL),
+m AS (SELECT record_id, {currency} AS c, {amount} AS s FROM financial_records)
+SELECT DISTINCT 'lab_results' AS record_table, result_id AS record_id, unit_code FROM lf JOIN k USING (q, f) WHERE unit_code <> common_unit
+UNION ALL SELECT DISTINCT 'financial_records', record_id, unit_code FROM m JOIN k ON k.q = 'money' AND unit_code = concat_ws(' ', c, s) WHERE c IS NOT NULL AND unit_code <> common_unit"""
+
+
+ORACLES["p7_found"] = _units()
