@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import logging
 import re
 from collections.abc import Callable, Iterator
 
@@ -65,12 +67,18 @@ def register_pdf_reader(reader: Callable[[bytes], list[str]]) -> None:
     _PDF_READER[:] = [reader]
 
 
+@functools.lru_cache(maxsize=1)
+def _warn_of_no_reader() -> None:
+    logging.getLogger(__name__).warning("no PDF reader is registered and pypdf is not installed: PDF contents give no pages")
+
+
 def _default_reader(data: bytes) -> list[str]:
     try:
         import io
 
         from pypdf import PdfReader
     except ImportError:
+        _warn_of_no_reader()
         return []
     return [page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +62,20 @@ class Versions:
             self.folders.delete(f"{self.path}/v{old}")
 
 
+class DataStore(Protocol):
+    """Where the stages keep their tables; ``Store`` is the one on Parquet folders."""
+
+    spark: SparkSession
+
+    def read(self, name: str) -> DataFrame: ...
+
+    def write(self, name: str, df: DataFrame) -> None: ...
+
+    def upsert(self, name: str, rows: DataFrame) -> None: ...
+
+    def upsert_messages(self, messages: DataFrame) -> None: ...
+
+
 class Store:
     """All tables below one folder.  A reader sees the last whole version, also if a writer is lost."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from knowloom.operators import extract, facts, graph, index
 from knowloom.session import materialise
 from knowloom.sources import files, mail
-from knowloom.storage import Store, count_batches
+from knowloom.storage import DataStore, count_batches
 from knowloom.streaming.worker import Handler, Worker, follow_ups
 
 FACTS = {"lab_results": facts.lab_results, "financial_records": facts.financial_records, "medical_events": facts.medical_events}
@@ -21,7 +21,7 @@ def now():
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
 
 
-def save_messages(store: Store, inbound: DataFrame) -> dict[str, int]:
+def save_messages(store: DataStore, inbound: DataFrame) -> dict[str, int]:
     """Messages, their attachments and their registry rows; returns how many of each."""
     inbound = materialise(inbound)
     attachments = mail.stored_attachments(inbound)
@@ -37,7 +37,7 @@ def index_tasks(inbound: DataFrame) -> list[tuple[str, dict]]:
     return [("semantic_index", {"content_id": r["content_id"]}) for r in ids]
 
 
-def ingest(store: Store, payloads: Iterable[dict], batch_size: int | None = 200, worker: Worker | None = None) -> dict[str, int]:
+def ingest(store: DataStore, payloads: Iterable[dict], batch_size: int | None = 200, worker: Worker | None = None) -> dict[str, int]:
     """Provider payloads saved batch by batch, each enqueued for indexing if there is a worker; returns the counters.
 
     No batch size, or one below 1, makes a single batch.
@@ -56,7 +56,7 @@ def ingest(store: Store, payloads: Iterable[dict], batch_size: int | None = 200,
     return {"messages": 0, "attachments": 0, "tasks": 0, "batches": 0} | count_batches(batches())
 
 
-def index_contents(store: Store, todo: DataFrame) -> None:
+def index_contents(store: DataStore, todo: DataFrame) -> None:
     """Chunks and vectors of contents (as ``index.pending`` gives them), in place of earlier ones."""
     todo = materialise(todo)
     local = todo.filter("content_type = 'local_file'").join(store.read("local_files").select("content_id", "path"), "content_id")
@@ -68,14 +68,14 @@ def index_contents(store: Store, todo: DataFrame) -> None:
     store.write("embeddings", index.replace_content(store.read("embeddings"), vectors))
 
 
-def index_pending(store: Store, limit: int | None = None) -> int:
+def index_pending(store: DataStore, limit: int | None = None) -> int:
     """Index what has no chunks yet; returns the number of contents taken."""
     todo = materialise(index.pending(store.read("content_registry"), store.read("attachment_texts"), store.read("messages"), store.read("attachments"), store.read("local_files"), limit))
     index_contents(store, todo)
     return todo.count()
 
 
-def index_one(store: Store, content_id: str) -> bool:
+def index_one(store: DataStore, content_id: str) -> bool:
     """Index one content anew; false if it is not registered or has no bytes or text."""
     one = store.read("content_registry").filter(F.col("content_id") == content_id)
     nothing = store.read("attachment_texts").limit(0)
@@ -86,7 +86,7 @@ def index_one(store: Store, content_id: str) -> bool:
     return True
 
 
-def extract_entities(store: Store, extractor: extract.Extractor, content_id: str | None = None, limit: int | None = None) -> dict[str, int]:
+def extract_entities(store: DataStore, extractor: extract.Extractor, content_id: str | None = None, limit: int | None = None) -> dict[str, int]:
     """Mentions, nodes and edges of the chunks the extractor has not read; returns the counters."""
     segs = materialise(graph.segments(store.read("attachment_texts"), store.read("content_registry"), store.read("attachments"), store.read("messages"), store.read("entity_mentions"), extractor.name, content_id, limit))
     found = materialise(extract.extract_mentions(segs, extractor))
@@ -96,14 +96,14 @@ def extract_entities(store: Store, extractor: extract.Extractor, content_id: str
     return {"segments": read.count(), "mentions": m.count(), "nodes": n.count(), "edges": r.count()}
 
 
-def build_facts(store: Store, table: str, extractor: str, content_id: str | None = None) -> int:
+def build_facts(store: DataStore, table: str, extractor: str, content_id: str | None = None) -> int:
     """Facts of one table built anew from the mentions of an extractor; returns the number of new rows."""
     new = materialise(FACTS[table](store.read("entity_mentions"), extractor, now(), content_id))
     store.write(table, facts.replace_chunks(store.read(table), new))
     return new.count()
 
 
-def handlers(store: Store, extractor: extract.Extractor, fact_extractors: dict[str, str] | None = None) -> dict[str, Handler]:
+def handlers(store: DataStore, extractor: extract.Extractor, fact_extractors: dict[str, str] | None = None) -> dict[str, Handler]:
     """The worker's handlers: indexing leads to extraction, extraction to the three kinds of facts.
 
     Laboratory facts are built from the extractor that has just run, the others

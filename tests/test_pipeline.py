@@ -164,3 +164,28 @@ def test_model_extraction_takes_other_names_and_batches(spark):
     assert [len(x) for x in e.extract_all(["urea 5", "none", "urea"])] == [2, 0, 1]
     df = spark.createDataFrame([("c", 0, " urea 5 "), ("c", 1, None), ("c", 2, " ")], "content_id string, chunk_index int, text string")
     assert extract.extract_mentions(df, extract.PatternExtractor()).count() == 1
+
+
+def test_a_stream_of_payloads_fills_the_store(spark, tmp_path):
+    from knowloom.streaming import stages
+    from knowloom.streaming.worker import ingest_stream, queue_state_stream
+
+    store, client = Store(spark, str(tmp_path / "store")), Client()
+    (tmp_path / "in").mkdir()
+    for i in ("1", "2"):
+        (tmp_path / "in" / f"{i}.json").write_text(json.dumps(mail.with_attachment_data(client, client.get(i))))
+    stream = spark.readStream.schema(mail.PROVIDER_MESSAGE).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    save = lambda df, batch: stages.save_messages(store, mail.decode_messages(df))
+    ingest_stream(stream, save, str(tmp_path / "state")).awaitTermination(120)
+    assert store.read("messages").count() == 2 and store.read("attachments").count() == 2 and store.read("content_registry").count() == 4
+    # A batch that comes again changes nothing.
+    before = {tuple(r) for r in store.read("messages").collect()}
+    save(spark.read.schema(mail.PROVIDER_MESSAGE).json(str(tmp_path / "in")), 9)
+    assert {tuple(r) for r in store.read("messages").collect()} == before
+    assert fts.bm25_of_index(store.index(), ["bill"]).count() == 2
+    (tmp_path / "events").mkdir()
+    (tmp_path / "events" / "e.json").write_text("\n".join(json.dumps({"task_id": t, "status": s, "ts": f"2025-01-01T00:0{i}:00Z"}) for i, (t, s) in enumerate([("a", "pending"), ("b", "pending"), ("a", "completed")])))
+    events = spark.readStream.schema("task_id string, status string, ts timestamp").json(str(tmp_path / "events"))
+    q = queue_state_stream(events).writeStream.outputMode("complete").format("memory").queryName("queue_state").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {(r.task_id, r.status) for r in spark.table("queue_state").collect()} == {("a", "completed"), ("b", "pending")}
