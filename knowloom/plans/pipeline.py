@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knowloom.functions import text, values
-from knowloom.operators import extract, facts, fts, graph, lookups, merge, task_queue
+from knowloom.functions import embed, text, values
+from knowloom.operators import extract, facts, fts, graph, index, lookups, merge, task_queue
 from knowloom.schemas import empty
 from knowloom.session import materialise, table
 from knowloom.sources import files, mail
@@ -293,6 +293,57 @@ def graph_build(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+@query(f"""SELECT term, count(DISTINCT id) AS messages, count(*) AS occurrences FROM (SELECT id, unnest({_TERMS}) AS term FROM (SELECT * REPLACE (CASE WHEN received_at >= TIMESTAMPTZ '2021-01-01 00:00:00+00' THEN 'changed twice, changed' ELSE subject END AS subject) FROM {_ONE})) GROUP BY term""")
+def index_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of the full-text index after the subjects of later mail were changed."""
+    m = table(spark, d, "messages").dropDuplicates(["id"])
+    changed = m.filter("received_at >= '2021-01-01'").withColumn("subject", F.lit("changed twice, changed"))
+    p, _ = fts.upsert_postings(fts.postings(m), changed)
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("messages"), F.sum("tf").alias("occurrences"))
+
+
+@query("""SELECT content_id || ':' || chunk_index || ':hashed-bow-128' AS embedding_id, 'hashed-bow-128' AS model, 128::INT AS dimensions, page::VARCHAR AS page, content_id || '.pdf' AS filename, 'attachment' AS source, '/a/' || content_id AS path, 'x' AS inner_value,
+regexp_matches(text, '[^\\s\\x{0085}\\x{00A0}\\x{3000}]')::INT AS length FROM (SELECT DISTINCT content_id, page, chunk_index, text FROM attachment_texts WHERE text IS NOT NULL)""")
+def embedding_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of all stored chunks with the provenance of their content."""
+    t = table(spark, d, "attachment_texts").filter("text is not null").select("content_id", "page", "chunk_index", "text").distinct()
+    none = F.lit(None).cast("string")
+    info = t.select("content_id").distinct().select("content_id", none.alias("message_id"), none.alias("attachment_id"), F.concat("content_id", F.lit(".pdf")).alias("filename"), F.lit("application/pdf").alias("mime_type"), F.lit("attachment").alias("content_type"), F.to_json(F.struct(F.concat(F.lit("/a/"), "content_id").alias("path"), F.lit("x").alias("k"))).alias("metadata"))
+    e = index.embed_chunks(t, info, F.lit(NOW))
+    js = lambda p: F.get_json_object("metadata", p)
+    return e.select("embedding_id", "model", "dimensions", js("$.page").alias("page"), js("$.filename").alias("filename"), js("$.source").alias("source"), js("$.path").alias("path"), js("$.content_metadata.k").alias("inner_value"), F.round(embed.norm(F.col("vector")), 3).cast("int").alias("length"))
+
+
+@query("""SELECT l_orderkey || ':' || l_linenumber AS relation_id, 'P' || l_partkey AS source_id, 'S' || l_suppkey AS target_id, CASE l_returnflag WHEN 'R' THEN 'RELATED_TO' WHEN 'A' THEN '_1_st_kind' ELSE 'kept' END AS relation_type
+FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag FROM lineitem) JOIN part ON p_partkey = l_partkey AND p_size <= 25 JOIN supplier ON s_suppkey = l_suppkey""")
+def graph_export_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as edges for a graph store: types cleaned or missing, edges without both ends left out."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").distinct()
+    kind = F.when(F.col("l_returnflag") == "A", "1 st-kind!").when(F.col("l_returnflag") != "R", "kept")
+    rel = li.select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("relation_id"), F.concat(F.lit("P"), "l_partkey").alias("source_id"), F.concat(F.lit("S"), "l_suppkey").alias("target_id"), kind.alias("relation_type"), F.lit("{bad").alias("properties"))
+    nodes = table(spark, d, "part").filter("p_size <= 25").select(F.concat(F.lit("P"), "p_partkey").alias("entity_id")).unionByName(table(spark, d, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("entity_id")))
+    return graph.export_edges(rel, nodes).drop("properties")
+
+
+@query("""WITH o AS (SELECT DISTINCT result_id AS mention_id, extractor, content_id, chunk_index FROM lab_results), n AS (SELECT DISTINCT extractor, content_id, chunk_index FROM o WHERE extractor = 'spacy:base' AND chunk_index > 0)
+SELECT extractor, content_id, chunk_index, mention_id FROM o WHERE (extractor, content_id, chunk_index) NOT IN (SELECT (extractor, content_id, chunk_index) FROM n) UNION ALL SELECT *, 'new' FROM n""")
+def mentions_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """Stored mentions after one extractor has read some chunks again; its chunks without new mentions keep theirs."""
+    old = table(spark, d, "lab_results").select("extractor", "content_id", "chunk_index", F.col("result_id").alias("mention_id")).distinct()
+    new = old.filter("extractor = 'spacy:base' and chunk_index > 0").select("extractor", "content_id", "chunk_index").distinct().withColumn("mention_id", F.lit("new"))
+    return graph.store_mentions(old, new)
+
+
+@query("""SELECT content_id, chunk_index FROM (SELECT DISTINCT t.content_id, t.chunk_index, r.first_at FROM attachment_texts t JOIN (SELECT content_id, min(created_at) AS first_at FROM lab_results GROUP BY 1) r USING (content_id)) ORDER BY first_at, content_id, chunk_index LIMIT 200""")
+def segments_oldest_first(spark: SparkSession, d: str) -> DataFrame:
+    """The 200 chunks to read next: oldest content first, in the order of its chunks."""
+    t = table(spark, d, "attachment_texts").select("content_id", "page", "chunk_index", "text").distinct()
+    none = F.lit(None).cast("string")
+    reg = table(spark, d, "lab_results").groupBy("content_id").agg(F.min("created_at").alias("created_at")).select("content_id", none.alias("message_id"), none.alias("attachment_id"), F.lit("attachment").alias("content_type"), F.lit("{}").alias("metadata"), "created_at")
+    rest = [empty(spark, n) for n in ("attachments", "messages", "entity_mentions")]
+    return graph.segments(t, reg, *rest, "pattern:default", limit=200).select("content_id", "chunk_index")
+
+
 # Texts --------------------------------------------------------------------------
 
 
