@@ -129,7 +129,7 @@ ADDRESS = re.compile(
 
 _LISTED = frozenset(g.lower() for g in GIVEN_NAMES)
 #: A capital that no word or address goes before; the patterns that begin with it are found by their first character.
-_FIRST = rf"[{_CAP}](?<![\w@.+’'-][{_CAP}])"
+_FIRST = rf"[{_CAP}](?<![\w@/.+’'-][{_CAP}])"
 _TOKEN = re.compile(rf"{_FIRST}(?:[{_LOW}]+|[{_CAP}]+)(?![\w@-])")
 _SURNAME_AFTER = re.compile(rf"(?:[ ]{_INI})?[ ]{_SUR}{_NOT_FIRM}")
 _SURNAME_AFTER_UPPER = re.compile(rf"(?:[ ]{_INI})?[ ]{_SURU}(?![\w-])")
