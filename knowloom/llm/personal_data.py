@@ -25,6 +25,8 @@ have equal digits.  Values without a numeric format get a short keyed digest.
 Defined results
 ---------------
 * null and empty texts have no personal data and stay as they are;
+* e-mail addresses with ``(at)`` and ``(dot)`` spelled out are found as they
+  stand, and have the pseudonym of the plain address;
 * where finds overlap the earlier, then the longer counts; no find lies inside
   an e-mail address;
 * a value repeated in a field counts once; repeated rows count once;
@@ -78,6 +80,9 @@ _START = r"(?<![\w@.+’'-])"
 
 #: An e-mail address from its sign on; what stands before is read backwards.
 _FROM_AT = re.compile(r"@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}")
+#: The same with its signs spelled out in brackets.
+_FROM_SPELLED_AT = re.compile(r"[(\[]at[)\]][ ]?[\w-]+(?:(?:\.|[ ]?[(\[]dot[)\]][ ]?)[\w-]+)*(?:\.|[ ]?[(\[]dot[)\]][ ]?)[A-Za-z]{2,}", re.I)
+_SPELLED = ((re.compile(r"\s*[(\[]at[)\]]\s*", re.I), "@"), (re.compile(r"\s*[(\[]dot[)\]]\s*", re.I), "."))
 
 # Number formats.
 _NUMBER = re.compile(
@@ -139,7 +144,7 @@ _INITIALS = re.compile(rf"{_FIRST}\.[ ]?(?:[{_CAP}]\.[ ]?)?{_SUR}{_NOT_FIRM}")
 _TITLED = re.compile(rf"(?:Dr|Mr|Mrs|Ms|Prof|Herrn|Herr|Frau|Mme|M|Sr|Sra|Shri|Smt|Doctor|Doktor)\.?[ ]((?:{_INI})?(?:{_SUR}|{_SURU})(?:,[ ](?P<g>{_SUR})|[ ]{_SUR})?){_NOT_FIRM}")
 # Names in lower case count after such words, or as a line of their own.
 _LOWER_NAME = re.compile(rf"(?:as per|As per|laut|Laut|selon|Selon|según|Según|segundo|Segundo|per|Per|by|By|with|With|von|Von|par|Par|por|Por) ([{_LOW}]+)((?: [a-z]\.)? [{_LOW}]{{4,}})(?![\w@-])")
-_LOWER_LINE = re.compile(rf"^[>\s|:~–—-]*([{_LOW}]+)[ \t\r|:~–—-]*$", re.M)
+_LOWER_LINE = re.compile(rf"^(?:[A-Z]{{2}}>|[>\s|:~–—-])*([{_LOW}]+)[ \t\r|:~–—-]*$", re.M)
 _ROLE = re.compile(rf"(?:Holder:|Patient|Signed by|Passport holder:?|Inhaber:|Titulaire :?|Titular:)[ ]((?:{_INI})?{_SUR}(?:,?[ ]{_SUR})?){_NOT_FIRM}")
 #: Capitalised words in a row, and what makes two of them a full name: what is done with a person or what a person did, or a closing above.
 _RUN = re.compile(rf"{_FIRST}[{_LOW}]{{2,}}(?:[-'’][{_CAP}][{_LOW}]+)?(?:[ ][{_CAP}]\.)*[ ]{_SUR}(?:(?:[ ][{_CAP}]\.)*[ ]{_SUR})?{_NOT_FIRM}")
@@ -176,12 +181,17 @@ LIST_ONLY = KnownNames()
 
 
 def _emails(text: str) -> list[tuple[int, int, str]]:
+    found = list(_FROM_AT.finditer(text)) if "@" in text else []
+    if "(" in text or "[" in text:
+        found += _FROM_SPELLED_AT.finditer(text)
     out = []
-    for m in _FROM_AT.finditer(text):
-        a = m.start()
-        while a and (text[a - 1].isalnum() or text[a - 1] in "_.+%-"):
+    for m in found:
+        # A spelled sign may have a blank before it.
+        end = m.start() - (m[0][0] != "@" and text[m.start() - 1 : m.start()] == " ")
+        a = end
+        while a > 0 and (text[a - 1].isalnum() or text[a - 1] in "_.+%-"):
             a -= 1
-        if a < m.start() and not (out and out[-1][1] > a):
+        if a < end and not (out and out[-1][1] > a):
             out.append((a, m.end(), "EMAIL"))
     return out
 
@@ -285,7 +295,7 @@ def spans(text: str | None, known: KnownNames = LIST_ONLY) -> list[tuple[int, in
     """(start, end, type) of the personal data of a text, in order and without overlap."""
     if not text:
         return []
-    got = _emails(text) if "@" in text else []
+    got = _emails(text)
     if _MAY_HOLD_ADDRESS.search(text):
         got += [(*m.span(), "ADDRESS") for m in ADDRESS.finditer(text)]
     got += _numbers(text)
@@ -428,6 +438,8 @@ def pseudonym(value: str, kind: str, key: bytes) -> str:
     if kind == "DATE":
         d = (date.fromisoformat(value) - _DATE_FIRST).days
         return (_DATE_FIRST + timedelta(days=permute(d, _DATE_DAYS, key, b"date"))).isoformat()
+    for pattern, sign in _SPELLED if kind == "EMAIL" else ():
+        value = pattern.sub(sign, value)
     norm = " ".join(value.casefold().split())
     return hashlib.blake2b(f"{kind}|{norm}".encode(), key=key[:64], digest_size=4).hexdigest()
 

@@ -236,6 +236,12 @@ def test_pseudonyms_keep_format_and_links():
     assert "[PHONE:" in personal_data.redact("Call 05553039042.", key)
 
 
+def test_spelled_out_addresses():
+    t = "Copy a.b+c (at) corp (dot) x-y (dot) example on it, or d_e [at] post.z.example. Then (at) noon."
+    assert kinds(t) == [("EMAIL", "a.b+c (at) corp (dot) x-y (dot) example"), ("EMAIL", "d_e [at] post.z.example")]
+    assert personal_data.pseudonym("d_e [at] post (dot) z.example", "EMAIL", b"k") == personal_data.pseudonym("d_e@post.z.example", "EMAIL", b"k")
+
+
 def test_numbers_that_no_format_allows():
     assert kinds("000-00-0000 and 1234 5678 9012 3456 7") == []
     assert kinds("Card 4111 1111 1111 1111, call 098765 43210 ext. 12.") == [("CARD_NUMBER", "4111 1111 1111 1111"), ("PHONE", "098765 43210 ext. 12")]
